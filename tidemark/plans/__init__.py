@@ -5,7 +5,7 @@ from importlib import import_module
 from tidemark.plans.catalog import ORACLE, QUERIES
 
 MODULES = [
-    "flagship", "queries_bars",
+    "flagship", "queries_bars", "queries_fields", "queries_flow",
 ]
 
 
