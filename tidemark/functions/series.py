@@ -140,7 +140,8 @@ def running(
 ) -> DataFrame:
     """Unbounded running ``sum``, ``min``, ``max``, ``last`` or ``first`` (both skip nulls) per key.
 
-    ``reverse`` scans from the end; ``inclusive=False`` leaves the current row out.
+    ``reverse`` scans from the end, and ``last`` is then the nearest value ahead; ``inclusive=False`` leaves
+    the current row out.
     """
     names = list(specs)
     df = df.withColumn(BKT, _expr(bucket)).withColumns({f"_x_{n}": c for n, (_, c) in specs.items()})
@@ -191,68 +192,77 @@ def running(
     )
 
 
-def decay(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    n: int,
-    out: str,
-    alpha: float | None = None,
-    start: int = 1,
-    block: int = BLOCK,
-) -> DataFrame:
-    """``y = alpha*x + (1-alpha)*y_prev`` along ``_pos``, seeded with the mean of the first ``n`` values.
+@dataclass(frozen=True)
+class Decay:
+    """``y = alpha*x + (1-alpha)*y_prev`` seeded with the mean of the first ``n`` values.
+
+    ``start`` is the first position that has a value; ``alpha`` defaults to ``2/(n+1)`` (EMA), Wilder
+    smoothing is ``1/n``.
+    """
+
+    out: str
+    value: str
+    n: int
+    alpha: float | None = None
+    start: int = 1
 
-    ``start`` is the first position with a value. Each block is scanned from zero in its own task; the part
-    owed to earlier blocks is ``(1-alpha)**k`` times their end values, summed over as many earlier blocks as
-    can still change a double. ``alpha`` defaults to ``2/(n+1)``; Wilder smoothing is ``1/n``.
+    @property
+    def a(self) -> float:
+        return 2.0 / (self.n + 1) if self.alpha is None else self.alpha
+
+
+def decay(df: DataFrame, keys: list[str], specs: list[Decay], block: int = BLOCK) -> DataFrame:
+    """First-order recursions along ``_pos``, all of them in one pass over the rows.
+
+    Each block is scanned from zero in its own task. The part owed to earlier blocks is ``(1-alpha)**k``
+    times their end values, summed over as many earlier blocks as can still change a double.
     """
     import numpy as np
     import pandas as pd
 
-    a = 2.0 / (n + 1) if alpha is None else alpha
-    keep = 1.0 - a
-    block = max(block, n + start)
-    seed_pos = start + n - 1
+    block = max([block, *[s.n + s.start for s in specs]])
+    parts = [f"_part{i}" for i in range(len(specs))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema += f", {BLK} bigint, " + ", ".join(f"{p} double" for p in parts)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, kind="stable")
-        pos = pdf[POS].to_numpy()
-        x = pdf[value].to_numpy(dtype="float64", na_value=np.nan)
-        y = np.full(len(x), np.nan)
-        if len(pos) and pos[0] == 1:
-            first = seed_pos - 1
-            if len(x) > first:
-                prev = x[start - 1 : seed_pos].mean()
-                y[first] = prev
-                for i in range(first + 1, len(x)):
-                    prev = a * x[i] + keep * prev
-                    y[i] = prev
-        else:
-            prev = 0.0
-            for i in range(len(x)):
-                prev = a * x[i] + keep * prev
-                y[i] = prev
-        return pdf.assign(_part=y)
+        first_block = len(pdf) > 0 and pdf[POS].iloc[0] == 1
+        found = {}
+        for part, spec in zip(parts, specs):
+            x = pdf[spec.value].to_numpy(dtype="float64", na_value=np.nan)
+            y = np.full(len(x), np.nan)
+            at = spec.start + spec.n - 2 if first_block else 0
+            if first_block and len(x) > at:
+                chain = np.concatenate([[x[spec.start - 1 : at + 1].mean()], x[at + 1 :]])
+                y[at:] = pd.Series(chain).ewm(alpha=spec.a, adjust=False).mean().to_numpy()
+            elif not first_block:
+                chain = np.concatenate([[0.0], x])
+                y = pd.Series(chain).ewm(alpha=spec.a, adjust=False).mean().to_numpy()[1:]
+            found[part] = y
+        return pdf.assign(**found)
 
     blocked = df.withColumn(BLK, F.floor((F.col(POS) - 1) / block).cast("bigint"))
-    parts = blocked.groupBy(*keys, BLK).applyInPandas(scan, f"{schema}, {BLK} bigint, _part double")
-    per_block = keep**block
-    reach = 1 if per_block == 0.0 else max(1, math.ceil(math.log(1e-18) / math.log(per_block)))
+    scanned = blocked.groupBy(*keys, BLK).applyInPandas(scan, schema)
     by_key = Window.partitionBy(*keys).orderBy(BLK)
-    owed = [F.coalesce(F.lag("_end", k + 1).over(by_key), F.lit(0.0)) * (per_block**k) for k in range(reach)]
-    ends = parts.groupBy(*keys, BLK).agg(F.max_by("_part", POS).alias("_end"))
-    carry = ends.select(*keys, BLK, reduce(lambda l, r: l + r, owed).alias("_carry"))
-    inside = (F.col(POS) - 1) % block + 1
-    y = F.when(F.col(BLK) == 0, F.col("_part")).otherwise(
-        F.col("_part") + F.col("_carry") * F.pow(F.lit(keep), inside)
-    )
-    return (
-        parts.join(carry, [*keys, BLK])
-        .withColumn(out, F.when(~F.isnan(y), y))
-        .drop("_part", "_carry", BLK)
+    carries = []
+    for i, spec in enumerate(specs):
+        whole = (1.0 - spec.a) ** block
+        reach = 1 if whole < 1e-18 else math.ceil(math.log(1e-18) / math.log(whole))
+        owed = [F.coalesce(F.lag(f"_end{i}", k + 1).over(by_key), F.lit(0.0)) * (whole**k) for k in range(reach)]
+        carries.append(reduce(lambda l, r: l + r, owed).alias(f"_carry{i}"))
+    ends = scanned.groupBy(*keys, BLK).agg(
+        *[F.nanvl(F.max_by(p, POS), F.lit(0.0)).alias(f"_end{i}") for i, p in enumerate(parts)]
     )
+    joined = scanned.join(ends.select(*keys, BLK, *carries), [*keys, BLK])
+    inside = (F.col(POS) - 1) % block + 1
+    out = {}
+    for i, (part, spec) in enumerate(zip(parts, specs)):
+        later = F.col(part) + F.col(f"_carry{i}") * F.pow(F.lit(1.0 - spec.a), inside)
+        y = F.when(F.col(BLK) == 0, F.col(part)).otherwise(later)
+        out[spec.out] = F.when(~F.isnan(y), y)
+    helper = [c for i, p in enumerate(parts) for c in (p, f"_carry{i}")]
+    return joined.withColumns(out).drop(BLK, *helper)
 
 
 def value_bucket(value: Column) -> Column:

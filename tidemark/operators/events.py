@@ -93,7 +93,7 @@ def next_trade_time(deals: DataFrame, keys: list[str], default: int = END_OF_DAY
     """Time of the next row that is not a cancel; the session end where none follows."""
     valid = F.when(~C.is_cancel(F.col("Side")), F.col("DealTime"))
     out = running(
-        deals, keys, ["DealTime", "DealID"], "DealTime div 100000", {"next_time": ("first", valid)},
+        deals, keys, ["DealTime", "DealID"], "DealTime div 100000", {"next_time": ("last", valid)},
         reverse=True, inclusive=False,
     )
     return out.withColumn("next_time", F.coalesce("next_time", F.lit(default)))

@@ -208,7 +208,7 @@ V.VIEW_SQL["sizes"] = "SELECT SecuCode, TradingDay, order_side, OrderID, sum(Vol
 
 
 @query("ag07_order_tier_arrays", """
-SELECT SecuCode, TradingDay, 0 AS part, round(avg(volume) FILTER (WHERE order_side = 'buy'), 6) AS BidVolumeMean,
+SELECT SecuCode, TradingDay, 0::BIGINT AS part, round(avg(volume) FILTER (WHERE order_side = 'buy'), 6) AS BidVolumeMean,
   round(avg(volume) FILTER (WHERE order_side = 'sell'), 6) AS AskVolumeMean,
   array_to_string(list(volume ORDER BY volume) FILTER (WHERE order_side = 'buy'), ',') AS BidVolume,
   array_to_string(list(volume ORDER BY volume) FILTER (WHERE order_side = 'sell'), ',') AS AskVolume
@@ -355,7 +355,8 @@ x AS (SELECT SecuCode, TradingDay, dy, sum(large_buy_cancels) OVER w / (sum(larg
   FROM r WINDOW w AS (PARTITION BY SecuCode ORDER BY TradingDay ROWS 3 PRECEDING),
   p AS (PARTITION BY SecuCode ORDER BY TradingDay ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
 SELECT SecuCode, TradingDay, round(b, 6) AS rolling_buy_cancel_ratio, round(s, 6) AS rolling_sell_cancel_ratio,
-  round(b - s, 6) AS cancel_asymmetry, round((dy - mean) / (sd + 1e-8), 3) AS cancel_asymmetry_zscore,
+  round(b - s, 6) AS cancel_asymmetry, CASE WHEN abs((dy - mean) / (sd + 1e-8)) < 10000 THEN round((dy - mean) / (sd + 1e-8), 3)
+    ELSE round((dy - mean) / (sd + 1e-8) / 10000) * 10000 END AS cancel_asymmetry_zscore,
   round(b * greatest(0, b - s), 6) AS spoofing_score, n AS actual_lookback_days FROM x""")
 def _(spark, d):
     side = lambda k: F.count(F.when(F.col("Side") == k, 1))
@@ -364,7 +365,8 @@ def _(spark, d):
         side(-1).alias("large_buy_cancels"), side(-11).alias("large_sell_cancels"))
     out = O.cancel_asymmetry(days, 4)
     z = "cancel_asymmetry_zscore"
-    return rounded(out, skip=(z,)).withColumn(z, F.round(z, 3))
+    big = F.round(F.col(z) / 10000) * 10000
+    return rounded(out, skip=(z,)).withColumn(z, F.when(F.abs(z) < 10000, F.round(z, 3)).otherwise(big))
 
 
 @query("ag14_cancel_pulse", """
