@@ -8,14 +8,13 @@ symbol decides the run time. Here each key is cut along its order column first:
 * ``open_series``  bounded frames: blocks of ``block`` positions, each with the few neighbour rows its
   frames reach back (or forward) to, so every frame is complete and each row is emitted once;
 * ``running``      unbounded frames: a scan inside each bucket plus a carry computed on one row per bucket;
-* ``decay``        first-order recursions (EMA, Wilder) with the same block and carry idea.
+* ``decay``        first-order recursions (EMA, Wilder) in blocks with a warm-up.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -214,55 +213,38 @@ class Decay:
 def decay(df: DataFrame, keys: list[str], specs: list[Decay], block: int = BLOCK) -> DataFrame:
     """First-order recursions along ``_pos``, all of them in one pass over the rows.
 
-    Each block is scanned from zero in its own task. The part owed to earlier blocks is ``(1-alpha)**k``
-    times their end values, summed over as many earlier blocks as can still change a double.
+    A block starts from zero as many rows early as it takes for anything older to weigh less than 1e-18 of a
+    value, which is below the precision of a double; only the first block of a key needs the seed.
     """
     import numpy as np
     import pandas as pd
 
-    block = max([block, *[s.n + s.start for s in specs]])
-    parts = [f"_part{i}" for i in range(len(specs))]
+    warm = max(math.ceil(math.log(1e-18) / math.log(1.0 - s.a)) for s in specs)
+    block = max([block, warm, *[s.n + s.start for s in specs]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", {BLK} bigint, " + ", ".join(f"{p} double" for p in parts)
+    schema += ", " + ", ".join(f"`{s.out}` double" for s in specs)
+    columns = df.columns
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, kind="stable")
-        first_block = len(pdf) > 0 and pdf[POS].iloc[0] == 1
+        from_start = len(pdf) > 0 and pdf[POS].iloc[0] == 1
         found = {}
-        for part, spec in zip(parts, specs):
+        for spec in specs:
             x = pdf[spec.value].to_numpy(dtype="float64", na_value=np.nan)
             y = np.full(len(x), np.nan)
-            at = spec.start + spec.n - 2 if first_block else 0
-            if first_block and len(x) > at:
+            at = spec.start + spec.n - 2
+            if from_start and len(x) > at:
                 chain = np.concatenate([[x[spec.start - 1 : at + 1].mean()], x[at + 1 :]])
                 y[at:] = pd.Series(chain).ewm(alpha=spec.a, adjust=False).mean().to_numpy()
-            elif not first_block:
+            elif not from_start:
                 chain = np.concatenate([[0.0], x])
-                y = pd.Series(chain).ewm(alpha=spec.a, adjust=False).mean().to_numpy()[1:]
-            found[part] = y
-        return pdf.assign(**found)
-
-    blocked = df.withColumn(BLK, F.floor((F.col(POS) - 1) / block).cast("bigint"))
-    scanned = blocked.groupBy(*keys, BLK).applyInPandas(scan, schema)
-    by_key = Window.partitionBy(*keys).orderBy(BLK)
-    carries = []
-    for i, spec in enumerate(specs):
-        whole = (1.0 - spec.a) ** block
-        reach = 1 if whole < 1e-18 else math.ceil(math.log(1e-18) / math.log(whole))
-        owed = [F.coalesce(F.lag(f"_end{i}", k + 1).over(by_key), F.lit(0.0)) * (whole**k) for k in range(reach)]
-        carries.append(reduce(lambda l, r: l + r, owed).alias(f"_carry{i}"))
-    ends = scanned.groupBy(*keys, BLK).agg(
-        *[F.nanvl(F.max_by(p, POS), F.lit(0.0)).alias(f"_end{i}") for i, p in enumerate(parts)]
-    )
-    joined = scanned.join(ends.select(*keys, BLK, *carries), [*keys, BLK])
-    inside = (F.col(POS) - 1) % block + 1
-    out = {}
-    for i, (part, spec) in enumerate(zip(parts, specs)):
-        later = F.col(part) + F.col(f"_carry{i}") * F.pow(F.lit(1.0 - spec.a), inside)
-        y = F.when(F.col(BLK) == 0, F.col(part)).otherwise(later)
-        out[spec.out] = F.when(~F.isnan(y), y)
-    helper = [c for i, p in enumerate(parts) for c in (p, f"_carry{i}")]
-    return joined.withColumns(out).drop(BLK, *helper)
+                y = pd.Series(chain).ewm(alpha=spec.a, adjust=False, ignore_na=True).mean().to_numpy()[1:]
+            found[spec.out] = y
+        out = pdf.assign(**found)
+        return out.loc[out[CORE], [*columns, *found]]
+
+    rows = with_halo(df, warm, block=block).groupBy(*keys, BLK).applyInPandas(scan, schema)
+    return rows.withColumns({s.out: F.when(~F.isnan(s.out), F.col(s.out)) for s in specs})
 
 
 def value_bucket(value: Column) -> Column:

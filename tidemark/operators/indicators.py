@@ -100,9 +100,9 @@ def vcp(s: Series, n: int, threshold: float) -> Series:
     """Volatility contraction: calmer than ``n`` rows ago in mean and spread, and close above the pivot."""
     s = s.add(vcp=(F.col("high") - F.col("low")) / F.col("low"))
     s = s.add(vcp_range=s.sma("vcp", n), vcp_std=s.std("vcp", n), _high=s.high("high", n))
-    s = s.add(_r=s.lag("vcp_range", n), _s=s.lag("vcp_std", n), pivot=s.lag("_high"))
+    s = s.add(_r=s.lag("vcp_range", n), _s=s.lag("vcp_std", n), pivot_high=s.lag("_high"))
     calm = (F.col("vcp_range") < F.col("_r") * threshold) & (F.col("vcp_std") < F.col("_s") * threshold)
-    return s.add(vcp_signal=F.coalesce(calm & (F.col("close") > F.col("pivot")), F.lit(False)))
+    return s.add(vcp_signal=F.coalesce(calm & (F.col("close") > F.col("pivot_high")), F.lit(False)))
 
 
 def range_contraction(s: Series, n: int = 20, long: int = 60, ratio: float = 0.6) -> Series:

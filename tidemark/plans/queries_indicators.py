@@ -131,11 +131,11 @@ def _(spark, d):
 WITH a AS (SELECT *, (high - low) / low AS v FROM pb),
 b AS (SELECT symbol, ts, pos, close, v, CASE WHEN pos >= 10 THEN avg(v) OVER w END AS r, CASE WHEN pos >= 10 THEN stddev_samp(v) OVER w END AS s,
   CASE WHEN pos >= 10 THEN max(high) OVER w END AS hh FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING)),
-c AS (SELECT *, lag(r, 10) OVER w AS r0, lag(s, 10) OVER w AS s0, lag(hh) OVER w AS pivot FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))
-SELECT symbol, ts, round(r, 6) AS vcp_range, round(s, 6) AS vcp_std, pivot,
-  coalesce(r < r0 * 0.9 AND s < s0 * 0.9 AND close > pivot, false) AS vcp_signal FROM c""")
+c AS (SELECT *, lag(r, 10) OVER w AS r0, lag(s, 10) OVER w AS s0, lag(hh) OVER w AS pivot_high FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, round(r, 6) AS vcp_range, round(s, 6) AS vcp_std, pivot_high,
+  coalesce(r < r0 * 0.9 AND s < s0 * 0.9 AND close > pivot_high, false) AS vcp_signal FROM c""")
 def _(spark, d):
-    return out(I.vcp(series(spark, d, 20), 10, 0.9), "vcp_range", "vcp_std", "pivot", "vcp_signal")
+    return out(I.vcp(series(spark, d, 20), 10, 0.9), "vcp_range", "vcp_std", "pivot_high", "vcp_signal")
 
 
 @query("wn10_range_contraction", """

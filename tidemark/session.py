@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -29,23 +28,38 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get(CHECKPOINT_CONF, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/tidemark-work"
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the cluster's shared checkpoint folder.
 
     Only a local session without that setting falls back to a temporary folder: on a cluster a
     machine-local path would be invisible to the other executors.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        base = os.path.join(tempfile.gettempdir(), "tidemark-work")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    Used where several branches of a plan need the same expensive rows: the lineage is cut, nothing is
+    recomputed per branch, and later stages still read single columns. Survives executor loss.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the staged tables and checkpoints of finished queries."""
+    base = _base(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
