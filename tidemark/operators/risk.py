@@ -158,11 +158,10 @@ def hurst(s: Series, column: str, lags: range = range(2, 100)) -> DataFrame:
     """Twice the slope of log sqrt(std of lagged differences) on log lag; one pass for all lags."""
     top = max(lags)
     s = s.add(_past=F.collect_list(column).over(s.rows(-top, 0)))
-    # The array ends with the current value; earlier rows have shorter arrays, where a lag is missing.
-    wanted = F.array(*[F.lit(n) for n in lags])
-    diffs = F.transform(wanted, lambda n: F.struct(
-        n.alias("lag"), (F.col(column) - F.try_element_at("_past", F.size("_past") - n)).alias("d")))
-    reach = F.filter(diffs, lambda p: p["lag"] < F.size("_past"))
+    # The array ends with the current value; a lag longer than the array is not there yet.
+    reach = F.filter(F.array(*[F.lit(n) for n in lags]), lambda n: n < F.size("_past"))
+    reach = F.transform(reach, lambda n: F.struct(
+        n.alias("lag"), (F.col(column) - F.element_at("_past", F.size("_past") - n)).alias("d")))
     rows = s.df.where("_core").select(*s.keys, F.explode(reach).alias("_p")).select(*s.keys, "_p.*")
     spread = rows.groupBy(*s.keys, "lag").agg(F.stddev_pop("d").alias("_s"))
     return spread.groupBy(*s.keys).agg(
@@ -240,7 +239,7 @@ def equity_statistics(equity: DataFrame, keys: list[str], t: str, bucket: str, p
     base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("value", t).alias("start_value"), F.max_by("value", t).alias("end_value"),
         F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"),
-        F.sqrt(F.avg(F.least("_x", F.lit(0.0)) ** 2)).alias("_down"),
+        F.sqrt(F.avg(F.when(F.col("_x") < 0, F.col("_x") ** 2).when(F.col("_x") >= 0, 0.0))).alias("_down"),
         F.max("drawdown").alias("_dd"), F.max("money").alias("max_money_drawdown"),
         F.max("bars_down").alias("max_drawdown_length"),
     )
