@@ -189,15 +189,15 @@ def _(spark, d):
 @query("snk01_split_by_stock", "SELECT SecuCode::INTEGER AS SecuCode, TradingDay::INTEGER AS TradingDay, DealID, Price FROM deals")
 def _(spark, d):
     path = work_dir(spark, "split")
-    W.write_by_stock(V.deals(spark, d).select("SecuCode", "TradingDay", "DealID", "Price"), path)
-    return spark.read.schema("DealID bigint, Price bigint, TradingDay int, SecuCode int").parquet(path)
+    W.write_by_stock(V.deals(spark, d).withColumn("SecuCode", F.col("SecuCode").cast("int")).select("SecuCode", "TradingDay", "DealID", "Price"), path)
+    return spark.read.schema("SecuCode int, DealID bigint, Price bigint, TradingDay int").parquet(path)
 
 
 @query("snk02_staged_sorted", "SELECT SecuCode::INTEGER AS SecuCode, TradingDay::INTEGER AS TradingDay, DealID, DealTime FROM deals")
 def _(spark, d):
     path = work_dir(spark, "sorted")
-    W.write_staged(V.deals(spark, d).select("SecuCode", "TradingDay", "DealID", "DealTime"), path, "DealTime", "DealID")
-    return spark.read.schema("DealID bigint, DealTime bigint, TradingDay int, SecuCode int").parquet(path)
+    W.write_staged(V.deals(spark, d).withColumn("SecuCode", F.col("SecuCode").cast("int")).select("SecuCode", "TradingDay", "DealID", "DealTime"), path, "DealTime", "DealID")
+    return spark.read.schema("SecuCode int, DealID bigint, DealTime bigint, TradingDay int").parquet(path)
 
 
 @query("snk03_compaction", "SELECT SecuCode, TradingDay, DealID, DealTime FROM deals")
@@ -260,12 +260,13 @@ def _(spark, d):
 WITH a AS (SELECT b.symbol, b.t, b.close, arg_min(r.assets, r.t) AS assets, arg_min(r.shares, r.t) AS shares
   FROM bars_m b JOIN reports r ON r.symbol = b.symbol AND r.t > b.t GROUP BY ALL),
 f AS (SELECT symbol, t, (assets / 10000 - 300) / shares AS ncav FROM a WHERE (assets / 10000 - 300) / shares > 1.5)
-SELECT symbol, t, round(ncav, 6) AS ncav, round(1.0 / count(*) OVER (PARTITION BY t), 6) AS weight FROM f""")
+SELECT symbol, t, round(ncav, 3) AS ncav, round(1.0 / count(*) OVER (PARTITION BY t), 6) AS weight FROM f""")
 def _(spark, d):
     out = J.as_of(V.bars_m(spark, d).select("symbol", "t"), reports(spark, d), K, "t", "rep", YEARS, "forward", False)
     value = (F.col("rep.assets") / 10000 - 300) / F.col("rep.shares")
     cheap = stage(out.select("symbol", "t", value.alias("ncav")).where("ncav > 1.5"))
-    return rounded(S.equal_weights(cheap, "t"))
+    return S.equal_weights(cheap, "t").select(
+        "symbol", "t", F.round("ncav", 3).alias("ncav"), F.round("weight", 6).alias("weight"))
 
 
 @query("jn12_calendar_roll", """

@@ -13,20 +13,25 @@ SORT_KEYS = {
 
 
 def write_by_stock(df: DataFrame, path: str) -> None:
-    """Split a market table by day and stock.
+    """Split a market table by day, each file sorted by stock.
 
-    The rebalance hint lets adaptive execution cut a heavy stock-day into several tasks and files.
+    A directory per stock-day would leave millions of tiny files; sorted files let a reader skip to its stocks
+    by their row-group statistics. The rebalance hint lets adaptive execution cut a heavy stock-day into
+    several tasks, and merges light ones.
     """
-    df.hint("rebalance", F.col("TradingDay"), F.col("SecuCode")).write.mode("overwrite").partitionBy(
-        "TradingDay", "SecuCode").parquet(path)
+    (
+        df.hint("rebalance", F.col("TradingDay"), F.col("SecuCode"))
+        .sortWithinPartitions("TradingDay", "SecuCode")
+        .write.mode("overwrite").partitionBy("TradingDay").parquet(path)
+    )
 
 
 def write_staged(df: DataFrame, path: str, clock: str, seq: str) -> None:
-    """Sorted zstd files per stock-day. Range partitioning may split a heavy stock-day, keeping its order."""
+    """Time-ordered zstd files per day. Range partitioning may split a heavy stock-day, keeping its order."""
     order = ["TradingDay", "SecuCode", clock, seq]
     (
         df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode("overwrite").option("compression", "zstd").partitionBy("TradingDay", "SecuCode").parquet(path)
+        .write.mode("overwrite").option("compression", "zstd").partitionBy("TradingDay").parquet(path)
     )
 
 
