@@ -47,8 +47,8 @@ def _(spark, d):
 @query("ob03_book_totals", """
 SELECT SecuCode, TradingDay, seq, order_id, sum(CASE WHEN side = 'B' THEN delta ELSE 0 END) OVER w::BIGINT AS bid_volume,
   sum(CASE WHEN side = 'S' THEN delta ELSE 0 END) OVER w::BIGINT AS ask_volume,
-  coalesce(round(sum(CASE WHEN side = 'B' THEN delta * iprice ELSE 0 END) OVER w / nullif(sum(CASE WHEN side = 'B' THEN delta ELSE 0 END) OVER w, 0), 4), 0) AS bid_price,
-  coalesce(round(sum(CASE WHEN side = 'S' THEN delta * iprice ELSE 0 END) OVER w / nullif(sum(CASE WHEN side = 'S' THEN delta ELSE 0 END) OVER w, 0), 4), 0) AS ask_price,
+  coalesce((sum(CASE WHEN side = 'B' THEN delta * iprice * 20000 + delta ELSE 0 END) OVER w::BIGINT // nullif(sum(CASE WHEN side = 'B' THEN delta * 2 ELSE 0 END) OVER w::BIGINT, 0)) / 10000, 0) AS bid_price,
+  coalesce((sum(CASE WHEN side = 'S' THEN delta * iprice * 20000 + delta ELSE 0 END) OVER w::BIGINT // nullif(sum(CASE WHEN side = 'S' THEN delta * 2 ELSE 0 END) OVER w::BIGINT, 0)) / 10000, 0) AS ask_price,
   sum(CASE WHEN side = 'B' AND kind = 'trade' THEN -delta ELSE 0 END) OVER w::BIGINT AS matched
 FROM eff_events WINDOW w AS (PARTITION BY SecuCode, TradingDay ORDER BY seq, order_id ROWS UNBOUNDED PRECEDING)""")
 def _(spark, d):
