@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions import fields as C
 from tidemark.functions.series import (
@@ -288,7 +289,7 @@ def mean_and_covariance(returns: DataFrame, name: str, t: str, periods: int = 25
         (F.covar_samp("x", "y") * periods).alias("cov"), (F.avg("x") * periods).alias("mean_a"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Standard normal distribution function (Spark has no error function)."""
     return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)))

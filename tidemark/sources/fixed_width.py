@@ -128,7 +128,7 @@ def read_custom_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     names = _files(spark, path, "blocknew.cfg").mapInPandas(decode, "blockname string, block_type string")
     lines = (
-        spark.read.option("pathGlobFilter", "*.blk").option("wholetext", True).text(path)
+        spark.read.option("pathGlobFilter", "*.blk").text(path, wholetext=True)
         .select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.blk$", 1).alias("block_type"),
                 F.posexplode(F.split("value", "\r?\n")).alias("code_index", "line"))
         .where("line <> ''")
