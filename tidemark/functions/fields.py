@@ -58,6 +58,23 @@ DEFAULT_TIERS = (1000.0, 8000.0, 50000.0)
 TIERS = ["Small", "Medium", "Large", "Mega"]
 
 
+def order_key(*parts: tuple[Column, int]) -> Column:
+    """One number that sorts like the given non-negative columns; each comes with its most decimal digits.
+
+    ``min_by``/``max_by`` on a struct fall back to sorted aggregation, on a number they stay hash aggregates.
+    Up to 18 digits the key is a long, up to 38 a decimal.
+    """
+    digits = sum(n for _, n in parts)
+    if digits > 38:
+        raise ValueError(f"{digits} digits do not fit an order key")
+    kind = "bigint" if digits <= 18 else "decimal(38,0)"
+    key = parts[0][0].cast(kind)
+    for column, n in parts[1:]:
+        key = (key * F.lit(str(10**n)).cast(kind)).cast(kind) + column.cast(kind)
+        key = key.cast(kind)
+    return key
+
+
 def event_time(day: Column, clock: Column) -> Column:
     """``yyyymmdd`` and ``HHMMSSmmm`` integers to a timestamp, by arithmetic (no text parsing)."""
     date = F.make_date(

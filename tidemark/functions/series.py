@@ -144,7 +144,7 @@ def running(
     """
     names = list(specs)
     df = df.withColumn(BKT, _expr(bucket)).withColumns({f"_x_{n}": c for n, (_, c) in specs.items()})
-    at = F.struct(*order)
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])  # one number keeps hash aggregation
 
     def total(name: str, kind: str) -> Column:
         x = F.col(f"_x_{name}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.fields import order_key
+
 # Bar widths by name, in seconds (fixed values).
 FREQUENCIES = {
     "1min": 60, "5min": 300, "15min": 900, "30min": 1800, "60min": 3600, "1d": 86400,
@@ -31,13 +33,17 @@ def bar_label(ts_us: str, step: int) -> Column:
     return F.expr(f"(({ts_us} + {width - 1}) div {width}) * {step}")
 
 
+def tick_key(ts_us: str, seq: str) -> Column:
+    return order_key((F.col(ts_us), 18), (F.col(seq), 19))
+
+
 def tick_bars(
     ticks: DataFrame, keys: list[str], ts_us: str, seq: str, step: int,
     price: str = "price", volume: str = "volume",
 ) -> DataFrame:
     """Bars of ``step`` seconds; bars without volume are dropped."""
     labelled = ticks.withColumn("ts", bar_label(ts_us, step))
-    bars = ohlcv(labelled, [*keys, "ts"], F.col(price), F.col(volume), F.struct(ts_us, seq))
+    bars = ohlcv(labelled, [*keys, "ts"], F.col(price), F.col(volume), tick_key(ts_us, seq))
     return bars.where(F.col("volume") > 0)
 
 
@@ -47,7 +53,7 @@ def all_bars(ticks: DataFrame, keys: list[str], ts_us: str, seq: str, names: lis
         *[F.struct(F.lit(n).alias("freq"), bar_label(ts_us, FREQUENCIES[n]).alias("ts")) for n in names]
     )
     rows = ticks.withColumn("_b", F.explode(labels)).select("*", "_b.freq", "_b.ts").drop("_b")
-    bars = ohlcv(rows, [*keys, "freq", "ts"], F.col("price"), F.col("volume"), F.struct(ts_us, seq))
+    bars = ohlcv(rows, [*keys, "freq", "ts"], F.col("price"), F.col("volume"), tick_key(ts_us, seq))
     return bars.where(F.col("volume") > 0)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
 from tidemark.functions.series import exact_percentiles, open_series
+from tidemark.session import stage
 
 DAY = ["SecuCode", "TradingDay"]
 EPS = 1e-8
@@ -18,6 +19,11 @@ TIER_PROBS = {"p70": 0.70, "p95": 0.95, "p995": 0.995}
 CATEGORIES = ["act_buy", "pas_buy", "act_sell", "pas_sell"]
 
 
+def deal_key() -> Column:
+    """Order of deals inside a day: clock, number, price."""
+    return C.order_key((F.col("DealTime"), 9), (F.col("DealID"), 18), (F.col("Price"), 10))
+
+
 def both_sides(deals: DataFrame) -> DataFrame:
     """Each trade twice: once under its buy order, once under its sell order."""
     sides = F.array(
@@ -34,7 +40,7 @@ def both_sides(deals: DataFrame) -> DataFrame:
 
 def order_executions(deals: DataFrame) -> DataFrame:
     """Per order: times, price range, first/last price, volume, turnover, price levels and fills."""
-    at = F.struct("DealTime", "DealID", "Price")
+    at = deal_key()
     return both_sides(deals).groupBy(*DAY, "order_side", "OrderID").agg(
         F.min("DealTime").alias("start_time"),
         F.max("DealTime").alias("end_time"),
@@ -133,6 +139,7 @@ def tier_thresholds(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or ["SecuCode"]
     day_keys = [*by, "TradingDay"]
     one = F.when(F.col("order_side") == "buy", "bid").otherwise("ask")
+    sizes = stage(sizes)
     rows = sizes.withColumn("book", F.explode(F.array(one, F.lit("total"))))
     means = (
         rows.groupBy(*day_keys, "book")
@@ -147,28 +154,21 @@ def tier_thresholds(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def _cuts(thresholds: DataFrame | None, book: str, prefix: str) -> DataFrame | None:
-    if thresholds is None:
-        return None
-    return thresholds.where(F.col("book") == book).select(
-        "SecuCode", *[F.col(p).alias(f"{prefix}{p}") for p in TIER_PROBS]
-    )
-
-
 def with_tier(rows: DataFrame, volume: Column, side: Column, thresholds: DataFrame | None) -> DataFrame:
     """Add ``tier``: bid cut-offs for buys, ask cut-offs for sells, defaults where none are known."""
-    for book, prefix in (("bid", "_b_"), ("ask", "_a_")):
-        cut = _cuts(thresholds, book, prefix)
-        if cut is not None:
-            rows = rows.join(cut, "SecuCode", "left")
-        else:
-            rows = rows.withColumns({f"{prefix}{p}": F.lit(None).cast("double") for p in TIER_PROBS})
+    names = {(book, p): f"_{book}_{p}" for book in ("bid", "ask") for p in TIER_PROBS}
+    if thresholds is None:
+        rows = rows.withColumns({n: F.lit(None).cast("double") for n in names.values()})
+    else:
+        cuts = thresholds.groupBy("SecuCode").agg(
+            *[F.max(F.when(F.col("book") == book, F.col(p))).alias(n) for (book, p), n in names.items()])
+        rows = rows.join(cuts, "SecuCode", "left")
     limit = [
-        F.coalesce(F.when(side == "buy", F.col(f"_b_{p}")).otherwise(F.col(f"_a_{p}")), F.lit(default))
+        F.coalesce(
+            F.when(side == "buy", F.col(names["bid", p])).otherwise(F.col(names["ask", p])), F.lit(default))
         for p, default in zip(TIER_PROBS, C.DEFAULT_TIERS)
     ]
-    helper = [f"{x}{p}" for x in ("_b_", "_a_") for p in TIER_PROBS]
-    return rows.withColumn("tier", C.size_tier(volume, *limit)).drop(*helper)
+    return rows.withColumn("tier", C.size_tier(volume, *limit)).drop(*names.values())
 
 
 def minute_orders(deals: DataFrame) -> DataFrame:

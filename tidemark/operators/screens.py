@@ -15,9 +15,10 @@ INVESTED = 0.95
 
 
 def latest(df: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """Last row of each key: a partial aggregate, not a sort of the key."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), t).alias("_row")).select(*keys, "_row.*")
+    """Last row of each key: one partial hash aggregate, not a sort of the key. ``t`` is unique per key."""
+    rest = [c for c in df.columns if c not in (*keys, t)]
+    out = df.groupBy(*keys).agg(F.max(t).alias(t), *[F.max_by(c, t).alias(c) for c in rest])
+    return out.select(*df.columns)
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -144,11 +145,12 @@ def grid_back(grid: list[Params]) -> int:
     return max(p.long + p.cv_w for p in grid) + 12
 
 
-def grid_signals(s: Series, grid: list[Params], day_gain: float = 0.02, total_gain: float = 0.05) -> DataFrame:
-    """Entry flag of every grid point on every row, long form with ``param_id``.
+def grid_signals(s: Series, grid: list[Params], t: str, bucket: str, day_gain: float = 0.02,
+                 total_gain: float = 0.05) -> DataFrame:
+    """Entry flag and entries so far (``seg``) of every grid point on every row, long form with ``param_id``.
 
-    Averages and convergences are evaluated once per distinct setting; the grid is spread with ``explode``,
-    so neither a join nor one pass per point is needed.
+    Averages and convergences are evaluated once per distinct setting, the entries are counted for all points
+    in one pass, and the grid is spread with ``explode`` last: no join and no pass per point.
     """
     spans = sorted({n for p in grid for n in (p.short, p.mid, p.long)})
     s = s.add(**{f"ma_{n}": s.sma("ohlc", n) for n in spans})
@@ -165,19 +167,25 @@ def grid_signals(s: Series, grid: list[Params], day_gain: float = 0.02, total_ga
     )
     s = s.add(_min=F.min("pct").over(s.last(3)), _max=F.max("pct").over(s.last(3)), _sum=F.sum("pct").over(s.last(3)))
     common = (F.col("_min") > 1e-6) & (F.col("_max") > day_gain) & (F.col("_sum") > total_gain)
-    points = []
+    hits = {}
     for i, p in enumerate(grid):
         conv = F.col(f"{name((p.short, p.mid, p.long))}_{p.cv_w}")
         hit = (
             common & (F.col("vol3") > F.col("vol_long") * p.vg) & F.col(f"rise_{p.long}")
             & (F.col("close") > F.col(f"ma_{p.long}")) & (conv < p.ct)
         )
-        points.append(F.struct(
-            F.lit(i).alias("param_id"), F.lit(float(p.k_atr)).alias("k_atr"),
-            F.coalesce(hit, F.lit(False)).alias("entry")))
-    rows = s.df.where("_core").withColumn("_g", F.explode(F.array(*points)))
-    keep = [*s.keys, *[c for c in ("t", "ts", "high", "close", "atr") if c in s.df.columns]]
-    return rows.select(*keep, "_g.*")
+        hits[f"_hit{i}"] = F.coalesce(hit, F.lit(False))
+    keep = [*s.keys, t, "high", "close", "atr"]
+    rows = stage(s.df.where("_core").select(*keep, *[c.alias(n) for n, c in hits.items()]))
+    sums = {f"_seg{i}": ("sum", F.col(f"_hit{i}").cast("bigint")) for i in range(len(grid))}
+    rows = running(rows, list(s.keys), [t], bucket, sums)
+    points = F.array(*[
+        F.struct(
+            F.lit(i).alias("param_id"), F.lit(float(p.k_atr)).alias("k_atr"), F.col(f"_hit{i}").alias("entry"),
+            F.col(f"_seg{i}").alias("seg"))
+        for i, p in enumerate(grid)
+    ])
+    return rows.select(*keep, F.explode(points).alias("_g")).select(*keep, "_g.*")
 
 
 def chandelier_exits(rows: DataFrame, keys: list[str], t: str, bucket: str) -> DataFrame:
@@ -185,14 +193,18 @@ def chandelier_exits(rows: DataFrame, keys: list[str], t: str, bucket: str) -> D
 
     Entries number the segments; maximum and first breach are then plain running values per segment.
     """
-    seg = stage(running(stage(rows), keys, [t], bucket, {"seg": ("sum", F.col("entry").cast("bigint"))}))
+    if "seg" in rows.columns:
+        seg = stage(rows)
+    else:
+        seg = stage(running(stage(rows), keys, [t], bucket, {"seg": ("sum", F.col("entry").cast("bigint"))}))
     in_seg = [*keys, "seg"]
     hh = running(seg, in_seg, [t], bucket, {"peak": ("max", F.col("high"))})
     stop = F.col("peak") - F.col("k_atr") * F.col("atr")
     hh = hh.withColumns({"stop": stop, "breach": F.coalesce((F.col("seg") > 0) & (F.col("close") < stop), F.lit(False))})
     hh = stage(hh)
-    first = running(hh, in_seg, [t], bucket, {"_n": ("sum", F.col("breach").cast("bigint"))})
-    return first.withColumn("exit", F.col("breach") & (F.col("_n") == 1)).drop("_n", "breach")
+    first = hh.where("breach").groupBy(*in_seg).agg(F.min(t).alias("_exit"))
+    out = hh.join(first, in_seg, "left")
+    return out.withColumn("exit", F.coalesce(F.col(t) == F.col("_exit"), F.lit(False))).drop("_exit", "breach")
 
 
 def ranked(df: DataFrame, by: str, n: int, *order: Column, out: str = "rnk") -> DataFrame:

@@ -458,7 +458,7 @@ def _(spark, d):
     deals = V.deals(spark, d)
     profile = P.volume_at_price(deals)
     closes = deals.where(C.is_trade(F.col("Side"))).groupBy("SecuCode", "TradingDay").agg(
-        F.max_by("Price", F.struct("DealTime", "DealID", "Price")).alias("close"))
+        F.max_by("Price", O.deal_key()).alias("close"))
     out = P.profile_metrics(profile, turnover_pairs(spark, d, profile), closes)
     at = "price_position_in_va"
     return rounded(out, skip=(at,)).withColumn(at, F.round(at, 4))

@@ -7,6 +7,7 @@ from tidemark.operators import indicators as I
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_flow import rounded
+from tidemark.session import stage
 
 K, T, MONTH = ["symbol"], ["ts"], "ts div 2592000"
 V.VIEW_SQL["pb"] = """
@@ -14,7 +15,7 @@ SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos, (high + 2
 
 
 def series(spark, d, back, forward=0):
-    return open_series(V.bars_h(spark, d), K, T, MONTH, back, forward)
+    return open_series(stage(V.bars_h(spark, d)), K, T, MONTH, back, forward)
 
 
 def out(s, *cols, n=6):

@@ -9,6 +9,7 @@ from tidemark.operators import screens as S
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_flow import rounded
+from tidemark.session import stage
 
 K, T, YEARS = ["symbol"], ["t"], "t div 24"
 V.VIEW_SQL["pm"] = """
@@ -18,11 +19,11 @@ V.VIEW_SQL["sb"] = "SELECT *, row_number() OVER (PARTITION BY sector ORDER BY t)
 
 def stocks(spark, d, back):
     ohlc = (F.col("high") + 2 * F.col("open") + 2 * F.col("close") + F.col("low")) / 6
-    return open_series(V.bars_m(spark, d).withColumn("ohlc", ohlc), K, T, YEARS, back)
+    return open_series(stage(V.bars_m(spark, d)).withColumn("ohlc", ohlc), K, T, YEARS, back)
 
 
 def sector_series(spark, d, back):
-    return open_series(V.sector_bars(spark, d), ["sector"], T, YEARS, back)
+    return open_series(stage(V.sector_bars(spark, d)), ["sector"], T, YEARS, back)
 
 
 def avg_rank(col, n="count(*) OVER ()"):
@@ -189,7 +190,7 @@ FROM a, (VALUES """ + ", ".join(f"({i}, {p.cv_w}, {p.ct}, {p.vg}::DOUBLE, {p.k_a
 def grid(spark, d):
     s = stocks(spark, d, S.grid_back(GRID))
     s = s.add(_range=F.col("high") - F.col("low"))
-    return S.grid_signals(s.add(atr=s.sma("_range", 5)), GRID)
+    return S.grid_signals(s.add(atr=s.sma("_range", 5)), GRID, "t", YEARS)
 
 
 @query("wn22_grid_entries", "SELECT symbol, t, param_id, entry FROM grid_sig")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.fields import order_key
 from tidemark.operators.bars import ohlcv, tick_bars
 
 HOUR = 3_600
@@ -46,8 +47,9 @@ def bars_m(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1).alias("t"),
         cents("l_extendedprice").alias("price"),
         F.col("l_quantity").cast("bigint").alias("volume"),
-        F.struct(
-            "l_shipdate", "l_orderkey", "l_linenumber", cents("l_extendedprice").alias("p")
+        order_key(
+            (F.unix_date(F.col("l_shipdate").cast("date")), 6), (F.col("l_orderkey"), 17), (F.col("l_linenumber"), 3),
+            (cents("l_extendedprice"), 12),
         ).alias("at"),
     )
     return ohlcv(lines, ["symbol", "t"], F.col("price"), F.col("volume"), F.col("at"))
