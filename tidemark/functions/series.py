@@ -257,12 +257,14 @@ def value_bucket(value: Column) -> Column:
     return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0)).cast("bigint")
 
 
-def _distribution(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+def _distribution(df: DataFrame, keys: list[str], value: str,
+                  weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts of distinct values, and cumulative counts of value buckets, per key."""
     v = F.col(value).cast("double")
     dist = (
         df.where(v.isNotNull())
         .groupBy(*keys, value_bucket(v).alias(BKT), v.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     )
     by_key = Window.partitionBy(*keys)
     cum = by_key.orderBy(BKT).rowsBetween(Window.unboundedPreceding, 0)
@@ -281,16 +283,18 @@ def _distribution(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], method: str = "linear"
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], method: str = "linear",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact percentiles per key: find the bucket that holds each rank, then look only inside it.
 
-    ``method`` is ``linear`` (interpolated), ``higher`` or ``lower``. One row per key.
+    ``method`` is ``linear`` (interpolated), ``higher`` or ``lower``; ``weight`` is a column of repetitions.
+    One row per key.
     """
     by = keys or ["_all"]
     if not keys:
         df = df.withColumn("_all", F.lit(0))
-    dist, buckets = _distribution(df, by, value)
+    dist, buckets = _distribution(df, by, value, weight)
     wanted = []
     for i, p in enumerate(probs.values()):
         at = F.lit(float(p)) * (F.col("_total") - 1)

@@ -20,8 +20,8 @@ CATEGORIES = ["act_buy", "pas_buy", "act_sell", "pas_sell"]
 
 
 def deal_key() -> Column:
-    """Order of deals inside a day: clock, number, price."""
-    return C.order_key((F.col("DealTime"), 9), (F.col("DealID"), 18), (F.col("Price"), 10))
+    """Order of deals inside a stock-day: clock, then number (unique in its day, below 10^10) in one long."""
+    return F.col("DealTime").cast("bigint") * 10_000_000_000 + F.col("DealID")
 
 
 def both_sides(deals: DataFrame) -> DataFrame:
@@ -139,15 +139,16 @@ def tier_thresholds(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or ["SecuCode"]
     day_keys = [*by, "TradingDay"]
     one = F.when(F.col("order_side") == "buy", "bid").otherwise("ask")
-    sizes = stage(sizes)
-    rows = sizes.withColumn("book", F.explode(F.array(one, F.lit("total"))))
+    counts = sizes.groupBy(*day_keys, one.alias("book"), "volume").agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(counts)  # sizes repeat, so the counts are far smaller than the orders
+    rows = counts.withColumn("book", F.explode(F.array("book", F.lit("total"))))
     means = (
         rows.groupBy(*day_keys, "book")
-        .agg((F.sum("volume") / F.count("volume")).alias("_mean"))
+        .agg((F.sum(F.col("volume") * F.col("_n")) / F.sum("_n")).alias("_mean"))
         .where("_mean > 0")
     )
     pool = rows.join(means, [*day_keys, "book"]).withColumn("_rel", F.col("volume") / F.col("_mean"))
-    cuts = exact_percentiles(pool, [*by, "book"], "_rel", TIER_PROBS)
+    cuts = exact_percentiles(pool, [*by, "book"], "_rel", TIER_PROBS, weight="_n")
     scale = means.groupBy(*by, "book").agg(F.avg("_mean").alias("_scale"))
     return cuts.join(scale, [*by, "book"]).select(
         *by, "book", *[(F.col(p) * F.col("_scale")).alias(p) for p in TIER_PROBS]

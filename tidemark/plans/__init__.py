@@ -5,7 +5,7 @@ from importlib import import_module
 from tidemark.plans.catalog import ORACLE, QUERIES
 
 MODULES = [
-    "flagship", "queries_bars", "queries_fields", "queries_flow", "queries_indicators", "queries_screens", "queries_risk", "queries_tables", "queries_book", "queries_pool", "queries_streaming",
+    "flagship", "queries_bars", "queries_fields", "queries_flow", "queries_indicators", "queries_screens", "queries_risk", "queries_tables", "queries_book", "queries_pool", "queries_streaming", "queries_binary",
 ]
 
 

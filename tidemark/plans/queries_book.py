@@ -146,13 +146,13 @@ def _(spark, d):
 def _(spark, d):
     """Sweeps, profile and cancel metrics of every stock-day in one job, keyed by stock and day."""
     deals = V.deals(spark, d)
-    profile = P.volume_at_price(deals)
+    profile = stage(P.volume_at_price(deals))
     closes = deals.where(C.is_trade(F.col("Side"))).groupBy(*O.DAY).agg(
         F.max_by("Price", O.deal_key()).alias("close"))
     flow = O.minute_features(deals, day_cuts(spark, d)).groupBy(*O.DAY).agg(
         F.count(F.lit(1)).alias("minutes"), *[F.sum(f"deal_{c}_vol_Mega").alias(f"{c}_mega") for c in O.CATEGORIES])
     metrics = O.sweep_metrics(deals).join(flow, O.DAY).join(
-        P.profile_metrics(profile, turnover_pairs(spark, d, profile), closes), O.DAY)
+        P.profile_metrics(profile, stage(turnover_pairs(spark, d, profile)), closes), O.DAY)
     return rounded(metrics)
 
 

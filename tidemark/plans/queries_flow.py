@@ -8,6 +8,7 @@ from tidemark.operators import flow as O
 from tidemark.operators import profile as P
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
+from tidemark.session import stage
 
 V.VIEW_SQL["deal_log"] = """
 SELECT SecuCode, TradingDay, BizIndex - 40 + OrderID % 97 AS DealID, OrderTime + OrderID % 7 * 1000 AS DealTime,
@@ -456,9 +457,9 @@ SELECT SecuCode, target AS TradingDay, poc, val, vah, round((vah - val) / (poc +
 FROM f JOIN en USING (SecuCode, target) JOIN dr USING (SecuCode, target) JOIN cl USING (SecuCode, target)""")
 def _(spark, d):
     deals = V.deals(spark, d)
-    profile = P.volume_at_price(deals)
+    profile = stage(P.volume_at_price(deals))
     closes = deals.where(C.is_trade(F.col("Side"))).groupBy("SecuCode", "TradingDay").agg(
         F.max_by("Price", O.deal_key()).alias("close"))
-    out = P.profile_metrics(profile, turnover_pairs(spark, d, profile), closes)
+    out = P.profile_metrics(profile, stage(turnover_pairs(spark, d, profile)), closes)
     at = "price_position_in_va"
     return rounded(out, skip=(at,)).withColumn(at, F.round(at, 4))

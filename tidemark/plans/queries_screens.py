@@ -414,3 +414,16 @@ def _(spark, d):
     last = V.bars_m(spark, d).agg(F.max("t").alias("t"))
     best = S.top(rows.join(F.broadcast(last), "t"), 10, F.desc("alpha"), F.asc("symbol"))  # one row
     return best.select("symbol", F.round("alpha", 4).alias("alpha"))
+
+
+@query("udf01_strategy_registry", """
+WITH a AS (SELECT symbol, t, CASE WHEN pos >= 8 THEN avg(close) OVER (w ROWS 2 PRECEDING) - avg(close) OVER (w ROWS 7 PRECEDING) END AS g FROM pm WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+c AS (SELECT symbol, t, pos, close, max(high) OVER (w ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS u, min(low) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS l FROM pm WINDOW w AS (PARTITION BY symbol ORDER BY t))
+SELECT symbol, t, 'cross_over' AS name, CASE WHEN g > 0 AND lag(g) OVER w <= 0 THEN 1 WHEN g < 0 AND lag(g) OVER w >= 0 THEN -1 ELSE 0 END AS signal FROM a WINDOW w AS (PARTITION BY symbol ORDER BY t)
+UNION ALL SELECT symbol, t, 'channel_breakout', CASE WHEN pos >= 10 AND close > u THEN 1 WHEN pos >= 5 AND close < l THEN -1 ELSE 0 END FROM c""")
+def _(spark, d):
+    from tidemark.functions.registry import run_strategy
+    bars = stage(V.bars_m(spark, d))
+    cross = run_strategy("cross_over", bars, fast=3, slow=8, bucket=YEARS).withColumn("name", F.lit("cross_over"))
+    channel = run_strategy("channel_breakout", bars, entry=10, exit=5, bucket=YEARS).withColumn("name", F.lit("channel_breakout"))
+    return cross.unionByName(channel)
