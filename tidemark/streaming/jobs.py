@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidemark.functions.fields import order_key
 from tidemark.session import work_dir
 from tidemark.sinks.tables import newer_rows
 
@@ -54,10 +55,11 @@ def bars(ticks: DataFrame, symbol: str, width: str, delay: str = "10 minutes") -
     Update mode replays the forming bar, append mode gives final bars once.
     """
     # A window is left-closed; moving every tick back one microsecond closes it on the right instead.
-    at = F.window(F.col("ts") - F.expr("interval 1 microsecond"), width)
-    order = F.struct("ts", "seq")
+    # The watermark belongs to the moved column, else the window would carry none.
+    moved = ticks.withColumn("_at", F.col("ts") - F.expr("interval 1 microsecond"))
+    order = order_key((F.unix_micros("ts"), 18), (F.col("seq"), 19))
     return (
-        ticks.withWatermark("ts", delay).groupBy(symbol, at.alias("w"))
+        moved.withWatermark("_at", delay).groupBy(symbol, F.window("_at", width).alias("w"))
         .agg(
             F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
             F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
