@@ -20,7 +20,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def timeline(orders: DataFrame, deals: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+def timeline(orders: DataFrame, deals: DataFrame, snapshots: DataFrame | None = None,
+             bucket: str = "time div 100000") -> DataFrame:
     """One ordered event log: by time, then sequence, then order < deal < snapshot.
 
     The sequence of an order is BizIndex where positive, else OrderID; of a deal its DealID.
@@ -37,7 +38,7 @@ def timeline(orders: DataFrame, deals: DataFrame, snapshots: DataFrame | None =
     log = parts[0]
     for part in parts[1:]:
         log = log.unionByName(part, allowMissingColumns=True)
-    return number_rows(log, DAY, ["time", "seq", "prio"], "time div 100000").withColumnRenamed(POS, "event_no")
+    return number_rows(log, DAY, ["time", "seq", "prio"], bucket).withColumnRenamed(POS, "event_no")
 
 
 def uses_biz_index(orders: DataFrame) -> DataFrame:
@@ -89,22 +90,23 @@ def fill_cancels(orders: DataFrame, deals: DataFrame) -> DataFrame:
     return deals.unionByName(missing)
 
 
-def next_trade_time(deals: DataFrame, keys: list[str], default: int = END_OF_DAY) -> DataFrame:
+def next_trade_time(deals: DataFrame, keys: list[str], default: int = END_OF_DAY,
+                    bucket: str = "DealTime div 100000") -> DataFrame:
     """Time of the next row that is not a cancel; the session end where none follows."""
     valid = F.when(~C.is_cancel(F.col("Side")), F.col("DealTime"))
     out = running(
-        deals, keys, ["DealTime", "DealID"], "DealTime div 100000", {"next_time": ("last", valid)},
+        deals, keys, ["DealTime", "DealID"], bucket, {"next_time": ("last", valid)},
         reverse=True, inclusive=False,
     )
     return out.withColumn("next_time", F.coalesce("next_time", F.lit(default)))
 
 
-def running_matched(deals: DataFrame) -> DataFrame:
+def running_matched(deals: DataFrame, bucket: str = "DealTime div 100000") -> DataFrame:
     """Running trade count, volume and turnover of a day."""
     trade = C.is_trade(F.col("Side"))
     one = F.when(trade, 1).otherwise(0)
     return running(
-        deals, DAY, ["DealTime", "DealID", "Price", "Volume"], "DealTime div 100000",
+        deals, DAY, ["DealTime", "DealID", "Price", "Volume"], bucket,
         {
             "cum_count": ("sum", one),
             "cum_volume": ("sum", one * F.col("Volume")),

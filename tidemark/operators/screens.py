@@ -212,16 +212,17 @@ def ranked(df: DataFrame, by: str, n: int, *order: Column, out: str = "rnk") ->
     return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(out) <= n)
 
 
-def composite_screen(legs: DataFrame, n: int = 300, min_mdd: float = -0.35, min_days: int = 50,
+def composite_screen(legs: DataFrame, n: int | None = 300, min_mdd: float = -0.35, min_days: int = 50,
                      min_gain: float = 1.0) -> DataFrame:
-    """Filter legs, then 0.6 rank(gain)^2 + 0.25 rank(calmar) + 0.15 rank(sharpe); best ``n``."""
+    """Filter legs, then 0.6 rank(gain)^2 + 0.25 rank(calmar) + 0.15 rank(sharpe); best ``n`` (None: all)."""
     rows = legs.where(
         (F.col("mdd") > min_mdd) & (F.col("duration") >= min_days) & (F.col("max_gain") > min_gain))
     for c in ("max_gain", "calmar", "sharpe"):
         rows = average_rank(stage(rows), [], c, f"_{c}")
     score = F.col("_max_gain") ** 2 * 0.60 + F.col("_calmar") * 0.25 + F.col("_sharpe") * 0.15
     rows = rows.withColumn("final_score", score).drop("_max_gain", "_calmar", "_sharpe")
-    return top(rows, n, F.desc("final_score"), F.desc("max_gain"), F.asc("symbol"))
+    order = [F.desc("final_score"), F.desc("max_gain"), F.asc("symbol")]
+    return rows if n is None else top(rows, n, *order)
 
 
 def consecutive_members(lists: DataFrame, days: int = 7) -> DataFrame:

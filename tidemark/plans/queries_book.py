@@ -110,7 +110,7 @@ def snapshots(spark, d):
                  F.struct("seq", "order_id")).alias("x"), F.max("seq").alias("deadline"))
     key = F.col("SecuCode") + F.col("TradingDay")
     return books.join(totals, B.DAY).select(
-        *B.DAY, F.lit(1).alias("snap_no"), F.lit(100_000_000).alias("TickTime"), "deadline",
+        *B.DAY, F.lit(1).alias("snap_no"), F.lit(100_000_000).alias("TickTime"), F.lit(0).cast("bigint").alias("since"), "deadline",
         F.col("x.matched").alias("TotalVolume"), F.col("x.matched_value").alias("TotalTurnover"),
         (F.col("x.bid_volume") + F.when(key % 3 == 0, 1).otherwise(0)).alias("TotalBidVolume"),
         F.col("x.ask_volume").alias("TotalAskVolume"), F.round(F.col("x.bid_price") * 10).alias("WeightBidPrice"),

@@ -116,7 +116,7 @@ def _(spark, d):
         "symbol", F.col("seq").alias("DealID"), F.col("ts_us").alias("DealTime"),
         F.when(user % 5 == 0, -1).when(user % 5 == 1, -11).otherwise(user % 2).alias("Side"),
     )
-    return E.next_trade_time(rows, ["symbol"]).select(F.col("DealID").alias("event_id"), "next_time")
+    return E.next_trade_time(rows, ["symbol"], bucket="DealTime div 3600000000").select(F.col("DealID").alias("event_id"), "next_time")
 
 
 @query("ag36_running_matched", """

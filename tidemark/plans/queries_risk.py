@@ -69,7 +69,7 @@ SELECT symbol, max_gain, """ + ", ".join(
 SELECT symbol, round(max_gain, 5) AS max_gain, round(r_max_gain * r_max_gain * 0.6 + r_calmar * 0.25 + r_sharpe * 0.15, 6) AS final_score
 FROM scored""")
 def _(spark, d):
-    return screened(spark, d, 10**9)
+    return screened(spark, d, None)
 
 
 @query("tk03_top_legs", """
