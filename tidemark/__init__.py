@@ -1 +1,8 @@
-"""Market-data analytics expressed as Spark DataFrame jobs."""
+"""Market-data analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package: its functions and classes travel with the jobs that use them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
