@@ -29,7 +29,7 @@ from tidemark.llm.shared import mixed, powers, prefix_hash, settle, slices, span
 
 LENGTH, ANCHOR = 200, 32
 #: Places of one anchor that a task may sort together, and bytes of strings it holds at once.
-MOST, CHUNK = 16_384, 4 << 20
+MOST, CHUNK = 4_096, 1 << 20
 _PLACE_BITS = 22
 
 
