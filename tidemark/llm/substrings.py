@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import mixed, powers, prefix_hash, settle, slices, span_hash, utf8
 
 LENGTH, ANCHOR = 200, 32
-#: Places of one anchor that a task may sort together, and bytes of strings it holds at once.
-MOST, CHUNK = 4_096, 1 << 20
+#: Places of one anchor that a task may sort together (some 20 MB), and bytes of strings it holds at once otherwise.
+MOST, CHUNK = 65_536, 2 << 20
 _PLACE_BITS = 22
 
 
@@ -99,9 +99,9 @@ def _string_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             view = raw.tobytes()
             yield pa.RecordBatch.from_arrays([
                 pa.array([view[p:p + 8] for p in place[keep].tolist()], pa.binary()), pa.array(h[keep].view(np.int64)), pa.array(many[at_wanted[keep]]),
-                pa.array([keys[a + r] for r in row[keep].tolist()], pa.int64()), pa.array(first[keep] - bounds[row[keep]]),
+                pa.array([keys[a + r] for r in row[keep].tolist()], pa.int64()), pa.array(first[keep] - bounds[row[keep]]), pa.array(place[keep] - first[keep]),
                 pa.array([view[x:y + LENGTH] for x, y in zip(first[keep].tolist(), last[keep].tolist(), strict=True)], pa.binary())],
-                ["lead", "h", "n", "th", "start", "bytes"])
+                ["lead", "h", "n", "th", "start", "off", "bytes"])
 
 
 def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,23 +116,34 @@ def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _repeated(rows: list[tuple]) -> pa.RecordBatch:
-    """Spans of the strings that stand twice among the rows (th, start, bytes)."""
-    keys, _, text, place = _windows([r[2] for r in rows])
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = np.zeros(len(keys), bool)
-    equal = ranked[1:] == ranked[:-1]
-    same[order[1:]] |= equal
-    same[order[:-1]] |= equal
-    at = np.flatnonzero(same)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])
+    """Spans of the strings that stand twice among the rows (th, start, offset of the anchor, bytes).
+
+    Equal strings lie alike about their anchor, so each distance from it is sorted by itself.
+    """
+    size = np.array([len(r[3]) for r in rows], np.int64)
+    prefix = prefix_hash(np.frombuffer(b"".join([r[3] for r in rows]), np.uint8))
+    base, many, anchor = np.cumsum(size) - size, size - LENGTH + 1, np.array([r[2] for r in rows], np.int64)
+    texts, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for away in range(int(anchor.max()) + 1):
+        place = anchor - away
+        own = np.flatnonzero((place >= 0) & (place < many))
+        where = base[own] + place[own]
+        keys = span_hash(prefix, where, where + LENGTH)
+        order = np.argsort(keys)
+        equal = keys[order[1:]] == keys[order[:-1]]
+        twice = np.unique(np.concatenate([order[1:][equal], order[:-1][equal]]))
+        texts.append(own[twice])
+        places.append(place[own[twice]])
+    text, place = np.concatenate(texts), np.concatenate(places)
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at))[:len(first)] - 1
-    begin, end = at[first], at[last]
+    last = np.append(first[1:], len(text))[:len(first)] - 1
     th, start = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(th[text[begin]]), pa.array(start[text[begin]] + place[begin]), pa.array(start[text[end]] + place[end] + LENGTH)], ["th", "a", "b"])
+    begin = start[text[first]]
+    return pa.RecordBatch.from_arrays([pa.array(th[text[first]]), pa.array(begin + place[first]), pa.array(begin + place[last] + LENGTH)], ["th", "a", "b"])
 
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +151,11 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: list[tuple] = []
     size, last = 0, None
     for batch in batches:
-        for h, th, start, data in zip(*(batch.column(c).to_pylist() for c in ("h", "th", "start", "bytes")), strict=True):
+        for h, th, start, off, data in zip(*(batch.column(c).to_pylist() for c in ("h", "th", "start", "off", "bytes")), strict=True):
             if size > CHUNK and h != last:
                 yield _repeated(held)
                 held, size = [], 0
-            held.append((th, start, data))
+            held.append((th, start, off, data))
             size, last = size + len(data), h
     if held:
         yield _repeated(held)
@@ -205,10 +216,10 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     packed = rows.mapInArrow(_packed, "doc_id bigint, th bigint, z binary")
     marked = marks.join(texts, "th").select(F.col("th").alias("mark_th"), "first_id", "marks")
     once = packed.join(marked, (F.col("th") == F.col("mark_th")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    strings = settle(once.select("th", "z", "marks").mapInArrow(_string_batches, "lead binary, h bigint, n bigint, th bigint, start bigint, bytes binary"), "strings")
+    strings = settle(once.select("th", "z", "marks").mapInArrow(_string_batches, "lead binary, h bigint, n bigint, th bigint, start bigint, off bigint, bytes binary"), "strings")
     few = strings.where(F.col("n") <= most)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = few.repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h").select("h", "th", "start", "bytes")
+    buckets = few.repartitionByRange(parts, "lead", "h").sortWithinPartitions("lead", "h").select("h", "th", "start", "off", "bytes")
     spans = buckets.mapInArrow(_bucket_batches, "th bigint, a bigint, b bigint")
     many = strings.where(F.col("n") > most).select("th", "start", "bytes").mapInArrow(_window_batches, "w1 bigint, w2 bigint, th bigint, a bigint")
     twice = many.groupBy("w1", "w2").agg(F.min(F.xxhash64("th", "a")).alias("lo"), F.max(F.xxhash64("th", "a")).alias("hi")).where("lo <> hi")
