@@ -193,3 +193,17 @@ def test_snapshot_verification(spark):
     snaps = spark.createDataFrame(rows, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names))
     ok = {r.snap_no: r.ok for r in K.verify_snapshots(book(spark), snaps, n_levels=2, block=3).collect()}
     assert ok == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_deal_numbers_above_ten_digits_keep_their_order(spark):
+    deals = [(1, 1, 93000000, 25_000_000_000, 100), (1, 1, 93000000, 3, 90), (1, 1, 93000001, 1, 110)]
+    df = spark.createDataFrame(deals, "SecuCode int, TradingDay int, DealTime int, DealID long, Price int")
+    r = df.agg(F.min_by("Price", O.deal_key()).alias("a"), F.max_by("Price", O.deal_key()).alias("z")).first()
+    assert (r["a"], r["z"]) == (90, 110)
+
+
+def test_turnover_is_at_the_trade_price(spark):
+    events = [(1, 1, 1, "insert", 1, "B", 11, 50), (1, 1, 2, "insert", 2, "S", 10, 20), (1, 1, 3, "trade", 1, "B", 10, 20), (1, 1, 3, "trade", 2, "S", 10, 20)]
+    df = spark.createDataFrame(events, "SecuCode int, TradingDay int, seq long, kind string, order_id long, side string, price long, qty long")
+    last = K.book_totals(df).orderBy("seq", "order_id").collect()[-1]
+    assert (last["matched"], last["matched_value"]) == (20, 200)

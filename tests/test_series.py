@@ -128,3 +128,12 @@ def test_relay_equals_one_scan(rows, block):
     for k, g in plain(rows).groupby("k"):
         want |= {(k, *r) for r in step(g, None)[0].itertuples(index=False)}
     assert got == want
+
+
+def test_null_keys_and_order_values_lose_no_row(spark):
+    rows = [(None, 1, 10), (None, None, 20), ("a", None, 30), ("a", 3, 40), ("", 2, 50)]
+    df = spark.createDataFrame(rows, "k string, t long, v long")
+    numbered = number_rows(df, ["k"], ["t"], "t div 2").collect()
+    assert sorted(("-" if r["k"] is None else r["k"], r["v"], r["_pos"]) for r in numbered) == [("", 50, 1), ("-", 10, 2), ("-", 20, 1), ("a", 30, 1), ("a", 40, 2)]
+    total = running(df, ["k"], ["t"], "t div 2", {"s": ("sum", F.col("v"))}).collect()
+    assert sorted(("-" if r["k"] is None else r["k"], r["s"]) for r in total) == [("", 50), ("-", 20), ("-", 30), ("a", 30), ("a", 70)]

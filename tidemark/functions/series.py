@@ -31,21 +31,39 @@ def _expr(bucket: str | Column) -> Column:
     return F.expr(bucket) if isinstance(bucket, str) else bucket
 
 
+#: Stands for "no bucket": below every bucket, as nulls sort first.
+_NO_BUCKET = -(1 << 62)
+
+
+def _joinable(df: DataFrame, keys: list[str], bucket: str | Column) -> tuple[DataFrame, list[str]]:
+    """Add the bucket and columns that say the same as the keys but are never null, so that plain equality joins
+    every row to its own group and null keys, order values or buckets lose none."""
+    names, columns, kinds = [], {}, dict(df.dtypes)
+    for i, key in enumerate(keys):
+        number = kinds[key] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[key].startswith("decimal")
+        columns[f"_k{i}"] = F.coalesce(F.col(key), F.lit(0).cast(kinds[key])) if number else F.coalesce(F.col(key).cast("string"), F.lit(""))
+        names.append(f"_k{i}")
+    missing = [F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)]
+    columns["_knull"] = sum(missing[1:], missing[0]) if missing else F.lit(0)
+    columns[BKT] = F.coalesce(_expr(bucket).cast("bigint"), F.lit(_NO_BUCKET))
+    return df.withColumns(columns), [*names, "_knull"]
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], bucket: str | Column) -> DataFrame:
     """Add ``_pos``, 1 for the first row of each key. ``bucket`` must not decrease along ``order``."""
-    df = df.withColumn(BKT, _expr(bucket))
-    by_key = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
+    df, own = _joinable(df, keys, bucket)
+    by_key = Window.partitionBy(*own).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, BKT)
+        df.groupBy(*own, BKT)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, BKT, F.coalesce(F.sum("_n").over(by_key), F.lit(0)).alias("_off"))
+        .select(*own, BKT, F.coalesce(F.sum("_n").over(by_key), F.lit(0)).alias("_off"))
     )
-    local = F.row_number().over(Window.partitionBy(*keys, BKT).orderBy(*_sort(order)))
+    local = F.row_number().over(Window.partitionBy(*own, BKT).orderBy(*_sort(order)))
     return (
         df.withColumn("_rn", local)
-        .join(offsets, [*keys, BKT])
+        .join(offsets, [*own, BKT])
         .withColumn(POS, F.col("_rn") + F.col("_off"))
-        .drop("_rn", "_off", BKT)
+        .drop("_rn", "_off", BKT, *own)
     )
 
 
@@ -143,7 +161,8 @@ def running(
     the current row out.
     """
     names = list(specs)
-    df = df.withColumn(BKT, _expr(bucket)).withColumns({f"_x_{n}": c for n, (_, c) in specs.items()})
+    df, own = _joinable(df, keys, bucket)
+    df = df.withColumns({f"_x_{n}": c for n, (_, c) in specs.items()})
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])  # one number keeps hash aggregation
 
     def total(name: str, kind: str) -> Column:
@@ -160,16 +179,16 @@ def running(
         return getattr(F, kind)(column, ignorenulls=True).over(window)
 
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*own)
         .orderBy(F.col(BKT).desc() if reverse else F.col(BKT).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = df.groupBy(*keys, BKT).agg(*[total(n, specs[n][0]).alias(f"_t_{n}") for n in names])
+    totals = df.groupBy(*own, BKT).agg(*[total(n, specs[n][0]).alias(f"_t_{n}") for n in names])
     carry = totals.select(
-        *keys, BKT, *[over(n, specs[n][0], F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n in names]
+        *own, BKT, *[over(n, specs[n][0], F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n in names]
     )
     inside = (
-        Window.partitionBy(*keys, BKT)
+        Window.partitionBy(*own, BKT)
         .orderBy(*_sort(order, reverse))
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
@@ -185,9 +204,9 @@ def running(
             return F.least(local, prior)
         return F.coalesce(local, prior) if kind == "last" else F.coalesce(prior, local)
 
-    helper = [BKT, *[f"_{p}_{n}" for n in names for p in "xlc"]]
+    helper = [BKT, *own, *[f"_{p}_{n}" for n in names for p in "xlc"]]
     return (
-        df.join(carry, [*keys, BKT]).withColumns({n: combine(n) for n in names}).drop(*helper)
+        df.join(carry, [*own, BKT]).withColumns({n: combine(n) for n in names}).drop(*helper)
     )
 
 

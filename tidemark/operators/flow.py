@@ -20,8 +20,8 @@ CATEGORIES = ["act_buy", "pas_buy", "act_sell", "pas_sell"]
 
 
 def deal_key() -> Column:
-    """Order of deals inside a stock-day: clock, then number (unique in its day, below 10^10) in one long."""
-    return F.col("DealTime").cast("bigint") * 10_000_000_000 + F.col("DealID")
+    """Order of deals inside a stock-day in one number: clock, then the deal's number, any non-negative long."""
+    return C.order_key((F.col("DealTime"), 9), (F.col("DealID"), 19))
 
 
 def both_sides(deals: DataFrame) -> DataFrame:

@@ -24,20 +24,20 @@ SELECT SecuCode, TradingDay, order_id, side, iprice AS price, min(iseq) AS a, co
 
 
 @query("ob01_live_orders", """
-SELECT SecuCode, TradingDay, order_id, side, price, greatest(sum(delta), 0)::BIGINT AS live FROM eff_events GROUP BY 1, 2, 3, 4, 5""")
+SELECT SecuCode, TradingDay, order_id, side, iprice AS price, greatest(sum(delta), 0)::BIGINT AS live FROM eff_events GROUP BY 1, 2, 3, 4, 5""")
 def _(spark, d):
     return B.live_orders(V.book_events(spark, d))
 
 
 @query("ob02_depth", """
-WITH l AS (SELECT SecuCode, TradingDay, order_id, side, price, sum(delta) AS live FROM eff_events GROUP BY 1, 2, 3, 4, 5)
+WITH l AS (SELECT SecuCode, TradingDay, order_id, side, iprice AS price, sum(delta) AS live FROM eff_events GROUP BY 1, 2, 3, 4, 5)
 SELECT SecuCode, TradingDay, side, price, sum(live)::BIGINT AS volume, count(*) AS orders FROM l WHERE live > 0 GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
     return B.depth(B.live_orders(V.book_events(spark, d)))
 
 
 @query("tk07_top_levels", """
-WITH l AS (SELECT SecuCode, TradingDay, order_id, side, price, sum(delta) AS live FROM eff_events GROUP BY 1, 2, 3, 4, 5),
+WITH l AS (SELECT SecuCode, TradingDay, order_id, side, iprice AS price, sum(delta) AS live FROM eff_events GROUP BY 1, 2, 3, 4, 5),
 p AS (SELECT SecuCode, TradingDay, side, price, sum(live)::BIGINT AS volume, count(*) AS orders FROM l WHERE live > 0 GROUP BY 1, 2, 3, 4)
 SELECT *, (row_number() OVER (PARTITION BY SecuCode, TradingDay, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END))::INTEGER AS level FROM p QUALIFY level <= 5""")
 def _(spark, d):
@@ -49,11 +49,12 @@ SELECT SecuCode, TradingDay, seq, order_id, sum(CASE WHEN side = 'B' THEN delta
   sum(CASE WHEN side = 'S' THEN delta ELSE 0 END) OVER w::BIGINT AS ask_volume,
   coalesce((sum(CASE WHEN side = 'B' THEN delta * iprice * 20000 + delta ELSE 0 END) OVER w::BIGINT // nullif(sum(CASE WHEN side = 'B' THEN delta * 2 ELSE 0 END) OVER w::BIGINT, 0)) / 10000, 0) AS bid_price,
   coalesce((sum(CASE WHEN side = 'S' THEN delta * iprice * 20000 + delta ELSE 0 END) OVER w::BIGINT // nullif(sum(CASE WHEN side = 'S' THEN delta * 2 ELSE 0 END) OVER w::BIGINT, 0)) / 10000, 0) AS ask_price,
-  sum(CASE WHEN side = 'B' AND kind = 'trade' THEN -delta ELSE 0 END) OVER w::BIGINT AS matched
+  sum(CASE WHEN side = 'B' AND kind = 'trade' THEN -delta ELSE 0 END) OVER w::BIGINT AS matched,
+  sum(CASE WHEN side = 'B' AND kind = 'trade' THEN -delta * price ELSE 0 END) OVER w::BIGINT AS matched_value
 FROM eff_events WINDOW w AS (PARTITION BY SecuCode, TradingDay ORDER BY seq, order_id ROWS UNBOUNDED PRECEDING)""")
 def _(spark, d):
     return B.book_totals(V.book_events(spark, d)).select(
-        "SecuCode", "TradingDay", "seq", "order_id", "bid_volume", "ask_volume", "bid_price", "ask_price", "matched")
+        "SecuCode", "TradingDay", "seq", "order_id", "bid_volume", "ask_volume", "bid_price", "ask_price", "matched", "matched_value")
 
 
 @query("ob04_best_prices", """

@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    c = f"`{column}`"
+    return F.expr(f"unix_date(cast({c} as date)) * 86400000000L + hour({c}) * 3600000000L + minute({c}) * 60000000L"
+                  f" + cast(extract(SECOND FROM {c}) * 1000000 as bigint)")
 
 
 def cents(column: str) -> Column:
@@ -157,7 +160,7 @@ def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("st") == "F", "trade").otherwise("cancel").alias("kind"),
         "order_id",
         "side",
-        "price",
+        F.when(F.col("st") == "F", F.col("price") - F.col("order_id") % 2).otherwise(F.col("price")).alias("price"),
         F.when(F.col("order_id") % 3 == 0, F.col("qty"))
         .otherwise(F.floor(F.col("qty") / 2))
         .cast("bigint")
@@ -242,7 +245,8 @@ UNION ALL
 SELECT o_custkey % 10, o_orderkey // 3000,
        (o_orderkey + 31 + o_orderkey % 211) * 4 + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END,
        CASE WHEN o_orderstatus = 'F' THEN 'trade' ELSE 'cancel' END, o_orderkey,
-       CASE WHEN o_custkey % 3 = 0 THEN 'S' ELSE 'B' END, floor(o_totalprice / 25000)::BIGINT,
+       CASE WHEN o_custkey % 3 = 0 THEN 'S' ELSE 'B' END,
+       floor(o_totalprice / 25000)::BIGINT - CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2 ELSE 0 END,
        CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 20 + 5 ELSE (o_orderkey % 20 + 5) // 2 END
 FROM orders WHERE o_orderstatus IN ('F', 'P')""",
     "trades": """
