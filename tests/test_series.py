@@ -137,3 +137,10 @@ def test_null_keys_and_order_values_lose_no_row(spark):
     assert sorted(("-" if r["k"] is None else r["k"], r["v"], r["_pos"]) for r in numbered) == [("", 50, 1), ("-", 10, 2), ("-", 20, 1), ("a", 30, 1), ("a", 40, 2)]
     total = running(df, ["k"], ["t"], "t div 2", {"s": ("sum", F.col("v"))}).collect()
     assert sorted(("-" if r["k"] is None else r["k"], r["s"]) for r in total) == [("", 50), ("-", 20), ("-", 30), ("a", 30), ("a", 70)]
+
+
+@pytest.mark.parametrize("block", [1, 4])
+def test_decay_of_one_row_is_the_value(spark, block):
+    df = spark.createDataFrame([("a", i, float(i * i)) for i in range(1, 12)], "k string, _pos long, x double")
+    got = decay(df, ["k"], [Decay("y", "x", 1)], block=block).collect()
+    assert len(got) == 11 and all(r["y"] == r["x"] for r in got)

@@ -238,7 +238,7 @@ def decay(df: DataFrame, keys: list[str], specs: list[Decay], block: int = BLOCK
     import numpy as np
     import pandas as pd
 
-    warm = max(math.ceil(math.log(1e-18) / math.log(1.0 - s.a)) for s in specs)
+    warm = max(1 if s.a >= 1 else math.ceil(math.log(1e-18) / math.log(1.0 - s.a)) for s in specs)
     block = max([block, warm, *[s.n + s.start for s in specs]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema += ", " + ", ".join(f"`{s.out}` double" for s in specs)
