@@ -25,6 +25,7 @@ WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a tile; one comparison holds two tiles and a block of 512 rows of their matrix.
 TILE = 16384
 _BLOCK = 512
+_PAIR = ["k", "p", "k2", "p2"]
 
 
 def fingerprint(text: bytes, n: int = WORDS) -> int:
@@ -93,13 +94,16 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     parts = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-n // tile))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     placed = counted.withColumn("part", F.pmod(F.xxhash64("fp"), parts[F.col("ones")]).cast("int"))
     packed = settle(placed.groupBy("ones", "part").applyInArrow(_pack, "ones int, part int, prints binary"), "tiles")
-    wide = [(k, j, k + d, j2) for k, n in sizes.items() for d in range(RADIUS + 1) if k + d in sizes
-            for j in range(-(-n // tile)) for j2 in range(-(-sizes[k + d] // tile)) if d or j <= j2]
-    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(wide)], "pair int, k int, p int, k2 int, p2 int")
-    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("k").alias("ones"), F.col("p").alias("part")).unionByName(
-        pairs.where("k <> k2 or p <> p2").select("pair", F.lit(1).alias("side"), F.col("k2").alias("ones"), F.col("p2").alias("part")))
-    work = sides.join(packed, ["ones", "part"]).select("pair", "side", "prints")
-    return work.groupBy("pair").applyInArrow(_compare, "a bigint, b bigint")
+    tiles = {k: -(-n // tile) for k, n in sizes.items()}
+    near = [(k, tiles[k], k + d, tiles[k + d]) for k in tiles for d in range(RADIUS + 1) if k + d in tiles]  # 325 at most
+    lines = spark.createDataFrame(near, "k int, n int, k2 int, n2 int")
+    # the pairs of tiles grow with the square of the tiles, so tasks make them, not the driver
+    rows = lines.withColumn("p", F.explode(F.expr("sequence(0, n - 1)"))).repartition("k", "p", "k2")
+    pairs = rows.withColumn("p2", F.explode(F.expr("sequence(if(k = k2, p, 0), n2 - 1)"))).select(*_PAIR)
+    sides = pairs.select(*_PAIR, F.lit(0).alias("side"), F.col("k").alias("ones"), F.col("p").alias("part")).unionByName(
+        pairs.where("k <> k2 or p <> p2").select(*_PAIR, F.lit(1).alias("side"), F.col("k2").alias("ones"), F.col("p2").alias("part")))
+    work = sides.join(packed, ["ones", "part"]).select(*_PAIR, "side", "prints")
+    return work.groupBy(*_PAIR).applyInArrow(_compare, "a bigint, b bigint")
 
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
