@@ -63,27 +63,62 @@ SELECT e.SecuCode, e.TradingDay, e.seq, e.order_id, coalesce(max(l.price) FILTER
 FROM book_events e LEFT JOIN lives l ON l.SecuCode = e.SecuCode AND l.TradingDay = e.TradingDay
   AND (l.a, l.order_id) <= (e.seq, e.order_id) AND (l.z, l.order_id) > (e.seq, e.order_id) GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
-    return B.replay(V.book_events(spark, d), block=200).select("SecuCode", "TradingDay", "seq", "order_id", "best_bid", "best_ask")
+    return B.replay(V.book_events(spark, d)).select("SecuCode", "TradingDay", "seq", "order_id", "best_bid", "best_ask")
 
 
 @query("ob04_own_best_prices")
 def _(spark, d):
     events = V.book_events(spark, d)
     own = events.withColumn("price", F.when(F.col("order_id") % 6 != 5, F.col("price")))
-    out = B.replay(own, block=200).where("kind = 'insert' and order_id % 6 = 5")
+    out = B.replay(own).where("kind = 'insert' and order_id % 6 = 5")
     return out.select("SecuCode", "TradingDay", "seq", "order_id", "used_price", "best_bid", "best_ask")
 
 
-@query("ob05_cancel_locations", """
+V.VIEW_SQL["cancel_places"] = """
 SELECT c.SecuCode, c.TradingDay, c.seq, c.order_id, CASE WHEN o.a IS NULL THEN 0 ELSE o.price END AS price,
   CASE WHEN o.a IS NULL THEN -1 ELSE 1 + count(DISTINCT l.price) FILTER (WHERE CASE WHEN o.side = 'B' THEN l.price > o.price ELSE l.price < o.price END) END AS level,
   CASE WHEN o.a IS NULL THEN -1 ELSE 1 + count(*) FILTER (WHERE l.price = o.price AND l.a < o.a) END AS queue
 FROM (SELECT * FROM book_events WHERE kind = 'cancel') c
 LEFT JOIN lives o ON o.SecuCode = c.SecuCode AND o.TradingDay = c.TradingDay AND o.order_id = c.order_id AND o.a < c.seq AND o.z >= c.seq
 LEFT JOIN lives l ON l.SecuCode = c.SecuCode AND l.TradingDay = c.TradingDay AND l.side = o.side AND l.a < c.seq AND (l.z, l.order_id) >= (c.seq, c.order_id) AND l.order_id <> o.order_id
-GROUP BY c.SecuCode, c.TradingDay, c.seq, c.order_id, o.a, o.price""")
+GROUP BY c.SecuCode, c.TradingDay, c.seq, c.order_id, o.a, o.price"""
+
+
+@query("ob05_cancel_locations", "SELECT * FROM cancel_places")
+def _(spark, d):
+    return B.cancel_locations(V.book_events(spark, d))
+
+
+def raw_cancels(spark, d):
+    """Cancels as the deal feed reports them: who and how much, without price or place in the book."""
+    side = F.when(F.col("side") == "B", -1).otherwise(-11).cast("bigint").alias("Side")
+    return V.book_events(spark, d).where("kind = 'cancel'").select(
+        *B.DAY, F.col("seq").alias("DealID"), side, F.col("order_id").alias("OrderID"), F.col("qty").alias("Volume"))
+
+
+V.VIEW_SQL["located"] = """
+SELECT SecuCode, TradingDay, seq AS DealID, (CASE WHEN side = 'B' THEN -1 ELSE -11 END)::BIGINT AS Side, order_id AS OrderID, qty AS Volume,
+  p.price AS CancelPrice, level AS OBLevel, queue AS QueuePos
+FROM book_events e JOIN cancel_places p USING (SecuCode, TradingDay, seq, order_id) WHERE e.kind = 'cancel'"""
+
+
+@query("jn02_cancel_book_location", "SELECT * FROM located")
+def _(spark, d):
+    return B.locate_cancels(raw_cancels(spark, d), V.book_events(spark, d))
+
+
+@query("ag11_large_cancels", """
+SELECT SecuCode, TradingDay, """ + ", ".join(
+    f"coalesce(sum(Volume) FILTER (WHERE Side = {k} AND {w}), 0)::BIGINT AS {s}_cancel_{n}"
+    for s, k in (("buy", -1), ("sell", -11))
+    for n, w in (("at_touch", "lv = 1"), ("spoofing", "lv BETWEEN 2 AND 5"), ("deep", "lv >= 6"))
+) + """, round(coalesce(sum(Volume / lv) FILTER (WHERE Side = -1 AND lv >= 1), 0), 6) AS total_weighted_buy_cancel,
+  round(coalesce(sum(Volume / lv) FILTER (WHERE Side = -11 AND lv >= 1), 0), 6) AS total_weighted_sell_cancel
+FROM (SELECT *, OBLevel AS lv FROM located WHERE Volume >= 8 AND Volume < 20) GROUP BY 1, 2""")
 def _(spark, d):
-    return B.cancel_locations(V.book_events(spark, d), block=200)
+    cancels = B.locate_cancels(raw_cancels(spark, d), V.book_events(spark, d))
+    layer = C.size_tier(F.col("Volume"), F.lit(4), F.lit(8), F.lit(20))
+    return rounded(O.large_cancels(cancels.withColumn("Layer", layer)))
 
 
 @query("ob07_cancel_table", """
@@ -121,7 +156,7 @@ def snapshots(spark, d):
 @query("ob06_verify_snapshots", """
 SELECT DISTINCT SecuCode, TradingDay, 1 AS snap_no, (SecuCode + TradingDay) % 3 <> 0 AS ok FROM book_events""")
 def _(spark, d):
-    out = B.verify_snapshots(V.book_events(spark, d), stage(snapshots(spark, d)), block=200)
+    out = B.verify_snapshots(V.book_events(spark, d), stage(snapshots(spark, d)))
     return out.select("SecuCode", "TradingDay", "snap_no", "ok")
 
 
@@ -129,18 +164,15 @@ def _(spark, d):
 SELECT SecuCode, TradingDay, (SecuCode + TradingDay) % 3 <> 0 AS passed, 1::BIGINT AS snapshots,
   CASE WHEN (SecuCode + TradingDay) % 3 = 0 THEN 100000000 END AS first_failure FROM (SELECT DISTINCT SecuCode, TradingDay FROM book_events)""")
 def _(spark, d):
-    return B.verification_report(B.verify_snapshots(V.book_events(spark, d), stage(snapshots(spark, d)), block=200))
+    return B.verification_report(B.verify_snapshots(V.book_events(spark, d), stage(snapshots(spark, d))))
 
 
 @query("jn13_snapshot_match", """
-WITH t AS (SELECT SecuCode, TradingDay, seq, sum(CASE WHEN side = 'B' AND kind = 'trade' THEN -delta ELSE 0 END) OVER (PARTITION BY SecuCode, TradingDay ORDER BY seq, order_id ROWS UNBOUNDED PRECEDING)::BIGINT AS m FROM eff_events),
-e AS (SELECT SecuCode, TradingDay, max(m) AS m FROM t GROUP BY 1, 2)
-SELECT t.SecuCode, t.TradingDay, m AS TotalVolume, min(seq) AS first_seq FROM t JOIN e USING (SecuCode, TradingDay, m) GROUP BY 1, 2, 3""")
+WITH t AS (SELECT SecuCode, TradingDay, seq, sum(CASE WHEN side = 'B' AND kind = 'trade' THEN -delta ELSE 0 END) OVER (PARTITION BY SecuCode, TradingDay ORDER BY seq, order_id ROWS UNBOUNDED PRECEDING)::BIGINT AS m FROM eff_events)
+SELECT SecuCode, TradingDay, m AS TotalVolume, min(seq) AS first_seq FROM t GROUP BY 1, 2, 3""")
 def _(spark, d):
-    totals = stage(B.book_totals(V.book_events(spark, d)).select(*B.DAY, "seq", "matched"))
-    wanted = totals.groupBy(*B.DAY).agg(F.max("matched").alias("matched"))
-    return totals.join(wanted, [*B.DAY, "matched"]).groupBy(*B.DAY, F.col("matched").alias("TotalVolume")).agg(
-        F.min("seq").alias("first_seq"))
+    totals = B.book_totals(V.book_events(spark, d))
+    return totals.groupBy(*B.DAY, F.col("matched").alias("TotalVolume")).agg(F.min("seq").alias("first_seq"))
 
 
 @query("ob10_daily_metrics")
@@ -169,5 +201,5 @@ def _(spark, d):
 
 @query("wn45_ratchet_stops")
 def _(spark, d):
-    signals = grid(spark, d).where("param_id = 0").select("symbol", "t", "entry", "close", (F.col("atr") / 10).alias("atr"))
-    return rounded(M.ratchet_stops(signals, K, "t", YEARS, 3.0))
+    signals = grid(spark, d).select("symbol", "param_id", "t", "entry", "close", "atr")
+    return rounded(M.ratchet_stops(signals, [*K, "param_id"], "t", YEARS, 0.3))

@@ -15,12 +15,13 @@ SELECT SecuCode, TradingDay, BizIndex - 40 + OrderID % 97 AS DealID, OrderTime +
   CASE WHEN OrderType IN (0, -1) THEN OrderID ELSE 0 END AS BuyID,
   CASE WHEN OrderType IN (10, -11) THEN OrderID ELSE 0 END AS SellID, Price, Volume,
   CASE WHEN OrderType IN (-1, -11) THEN OrderType ELSE OrderID % 2 END AS Side
-FROM orders_log WHERE OrderType >= 0 OR OrderID % 3 = 0"""
+FROM orders_log"""
+V.VIEW_SQL["lossy_log"] = "SELECT * FROM deal_log WHERE Side >= 0 OR Volume < 15"
 
 
 def deal_log(spark, d):
     kind, key = F.col("OrderType"), F.col("OrderID")
-    return V.orders_log(spark, d).where("OrderType >= 0 or OrderID % 3 = 0").select(
+    return V.orders_log(spark, d).select(
         "SecuCode", "TradingDay", (F.col("BizIndex") - 40 + key % 97).alias("DealID"),
         (F.col("OrderTime") + key % 7 * 1000).alias("DealTime"),
         F.when(kind.isin(0, -1), key).otherwise(0).alias("BuyID"),
@@ -45,28 +46,6 @@ def _(spark, d):
     return log.select("SecuCode", "TradingDay", "kind", "time", "seq", "event_no")
 
 
-@query("jn02_cancel_book_location", """
-SELECT SecuCode, TradingDay, c.DealID, c.Volume, coalesce(o.Price, 0) AS CancelPrice,
-  CASE WHEN o.OrderID IS NULL THEN -1 ELSE 1 END AS found
-FROM (SELECT * FROM deal_log WHERE Side IN (-1, -11)) c
-LEFT JOIN (SELECT SecuCode, TradingDay, OrderID, Price FROM orders_log WHERE OrderID % 2 = 0) o
-  USING (SecuCode, TradingDay)
-WHERE o.OrderID = greatest(c.BuyID, c.SellID) OR o.OrderID IS NULL
-UNION ALL
-SELECT SecuCode, TradingDay, DealID, Volume, 0, -1 FROM deal_log c
-WHERE Side IN (-1, -11) AND NOT EXISTS (SELECT 1 FROM orders_log o WHERE o.SecuCode = c.SecuCode
-  AND o.TradingDay = c.TradingDay AND o.OrderID = greatest(c.BuyID, c.SellID) AND o.OrderID % 2 = 0)
-  AND EXISTS (SELECT 1 FROM orders_log o WHERE o.SecuCode = c.SecuCode AND o.TradingDay = c.TradingDay AND o.OrderID % 2 = 0)""")
-def _(spark, d):
-    cancels = deal_log(spark, d).where(C.is_cancel(F.col("Side"))).withColumn(
-        "OrderID", F.greatest("BuyID", "SellID"))
-    book = V.orders_log(spark, d).where("OrderID % 2 = 0").select(
-        "SecuCode", "TradingDay", "OrderID", F.col("Price").alias("CancelPrice"), F.lit(1).alias("found"))
-    return cancels.join(book, ["SecuCode", "TradingDay", "OrderID"], "left").select(
-        "SecuCode", "TradingDay", "DealID", "Volume", F.coalesce("CancelPrice", F.lit(0)).alias("CancelPrice"),
-        F.coalesce("found", F.lit(-1)).alias("found"))
-
-
 @query("jn05_repair_sequence", """
 WITH m AS (SELECT SecuCode, TradingDay, id, min(DealID) AS first_deal FROM (
   SELECT SecuCode, TradingDay, DealID, unnest([BuyID, SellID]) AS id FROM deal_log) WHERE id > 0 GROUP BY 1, 2, 3),
@@ -82,17 +61,18 @@ def _(spark, d):
 
 @query("jn06_fill_cancels", """
 WITH w AS (SELECT SecuCode, TradingDay, OrderType AS Side, count(*) AS want FROM orders_log WHERE OrderType < 0 GROUP BY 1, 2, 3),
-h AS (SELECT SecuCode, TradingDay, Side, count(*) AS have FROM deal_log WHERE Side < 0 GROUP BY 1, 2, 3),
+h AS (SELECT SecuCode, TradingDay, Side, count(*) AS have FROM lossy_log WHERE Side < 0 GROUP BY 1, 2, 3),
 s AS (SELECT SecuCode, TradingDay, Side FROM w LEFT JOIN h USING (SecuCode, TradingDay, Side) WHERE want > coalesce(have, 0))
-SELECT SecuCode, TradingDay, DealID, DealTime, BuyID, SellID, Price, Volume, Side FROM deal_log
+SELECT SecuCode, TradingDay, DealID, DealTime, BuyID, SellID, Price, Volume, Side FROM lossy_log
 UNION ALL
 SELECT o.SecuCode, o.TradingDay, o.BizIndex, o.OrderTime, CASE WHEN OrderType = -1 THEN OrderID ELSE 0 END,
   CASE WHEN OrderType = -11 THEN OrderID ELSE 0 END, Price, Volume, OrderType
 FROM orders_log o JOIN s ON s.SecuCode = o.SecuCode AND s.TradingDay = o.TradingDay AND s.Side = o.OrderType
-WHERE NOT EXISTS (SELECT 1 FROM deal_log x WHERE x.SecuCode = o.SecuCode AND x.TradingDay = o.TradingDay
+WHERE NOT EXISTS (SELECT 1 FROM lossy_log x WHERE x.SecuCode = o.SecuCode AND x.TradingDay = o.TradingDay
   AND x.Side = o.OrderType AND x.DealID = o.BizIndex)""")
 def _(spark, d):
-    return E.fill_cancels(V.orders_log(spark, d), deal_log(spark, d))
+    lossy = deal_log(spark, d).where("Side >= 0 or Volume < 15")  # the feed lost the large cancels
+    return E.fill_cancels(V.orders_log(spark, d), lossy)
 
 
 @query("jn07_order_to_ticks", """
@@ -326,22 +306,6 @@ def _(spark, d):
     return rounded(O.cancel_ratios(minutes(spark, d, "full_outer")))
 
 
-@query("ag11_large_cancels", """
-SELECT SecuCode, TradingDay, """ + ", ".join(
-    f"coalesce(sum(Volume) FILTER (WHERE Side = {k} AND {w}), 0)::BIGINT AS {s}_cancel_{n}"
-    for s, k in (("buy", -1), ("sell", -11))
-    for n, w in (("at_touch", "lv = 1"), ("spoofing", "lv BETWEEN 2 AND 5"), ("deep", "lv >= 6"))
-) + """, round(coalesce(sum(Volume / lv) FILTER (WHERE Side = -1 AND lv >= 1), 0), 6) AS total_weighted_buy_cancel,
-  round(coalesce(sum(Volume / lv) FILTER (WHERE Side = -11 AND lv >= 1), 0), 6) AS total_weighted_sell_cancel
-FROM (SELECT *, DealID % 10 - 1 AS lv FROM deals WHERE Side IN (-1, -11) AND Volume >= 35 AND Volume < 45) GROUP BY 1, 2""")
-def _(spark, d):
-    cancels = V.deals(spark, d).where(C.is_cancel(F.col("Side"))).withColumns({
-        "OBLevel": F.col("DealID") % 10 - 1,
-        "Layer": C.size_tier(F.col("Volume"), F.lit(20), F.lit(35), F.lit(45)),
-    })
-    return rounded(O.large_cancels(cancels))
-
-
 V.VIEW_SQL["large_days"] = """
 SELECT SecuCode, TradingDay, count(*) FILTER (WHERE Side = 0) AS large_buy_orders,
   count(*) FILTER (WHERE Side = 1) AS large_sell_orders, count(*) FILTER (WHERE Side = -1) AS large_buy_cancels,

@@ -70,12 +70,12 @@ def pool_bars(spark, d):
     s = open_series(V.bars_m(spark, d), ["symbol"], ["t"], YEARS, 5)
     s = s.add(_range=F.col("high") - F.col("low"))
     return s.add(atr=s.sma("_range", 5)).close().select(
-        (F.col("symbol") * 11).alias("ts_code"), "t", "high", "low", "close", "atr")
+        F.col("symbol").alias("ts_code"), "t", "high", "low", "close", "atr")
 
 
 V.VIEW_SQL["pool_x"] = """
 SELECT p.ts_code, p.indate, b.t, b.high, b.low, b.close, b.atr, row_number() OVER (PARTITION BY p.ts_code ORDER BY b.t) AS i, count(*) OVER (PARTITION BY p.ts_code) AS n
-FROM pool0 p JOIN ig b ON b.symbol * 11 = p.ts_code AND b.t >= p.indate - 2"""
+FROM pool0 p JOIN ig b ON b.symbol = p.ts_code AND b.t >= p.indate - 2"""
 V.VIEW_SQL["pool_m"] = """
 WITH b AS (SELECT ts_code, max(high) AS hi, arg_max(i, (high, -i)) AS hp, arg_max(t, (high, -i)) AS ht, min(low) AS lo, arg_min(t, (low, i)) AS lt,
   arg_min(close, t) AS ref, arg_max(close, t) AS last, arg_max(atr, t) AS atr, max(n) AS n, max(high) FILTER (WHERE i > n - 10) AS hh FROM pool_x GROUP BY 1),
@@ -109,9 +109,9 @@ def _(spark, d):
 def _(spark, d):
     bars = pool_bars(spark, d)
     lit = S.ignition(stocks(spark, d, 40), IGNITE).close().where("ignited").select(
-        (F.col("symbol") * 11).alias("ts_code"), F.lit("ignited").alias("name"))
+        F.col("symbol").alias("ts_code"), F.lit("ignited").alias("name"))
     best = S.top(sector_scores(spark, d), 10, F.desc("score"), F.asc("sector")).join(V.sectors(spark, d), "sector").select(
-        (F.col("symbol") * 11).alias("ts_code"), F.col("sector").alias("name"))
+        F.col("symbol").alias("ts_code"), F.col("sector").alias("name"))
     stay, gone = P.daily_job(
         pool0(spark, d), deleted0(spark, d), picks0(spark, d), {"ignition": lit, "sector": best}, bars, "t", YEARS,
         F.lit(TODAY).cast("bigint"))

@@ -79,10 +79,10 @@ def _(spark, d):
 
 @query("src09_float_shares", """
 SELECT SecuCode, TradingDay, Volume, coalesce(CASE WHEN s_acctbal > 0 THEN s_suppkey * 1000 END, 10000000) AS free_shares
-FROM (SELECT SecuCode, TradingDay, sum(Volume)::BIGINT AS Volume FROM deals GROUP BY 1, 2) LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 > 0) ON SecuCode = s_suppkey""")
+FROM (SELECT SecuCode, TradingDay, sum(Volume)::BIGINT AS Volume FROM deals GROUP BY 1, 2) LEFT JOIN supplier ON SecuCode = s_suppkey""")
 def _(spark, d):
     days = V.deals(spark, d).groupBy("SecuCode", "TradingDay").agg(F.sum("Volume").alias("Volume"))
-    meta = V.table(spark, d, "supplier").where("s_suppkey % 3 > 0").select(
+    meta = V.table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("SecuCode"), F.when(F.col("s_acctbal") > 0, F.col("s_suppkey") * 1000).alias("ActiveCapital"))
     return M.with_float_shares(days, meta)
 
