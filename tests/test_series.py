@@ -144,3 +144,28 @@ def test_decay_of_one_row_is_the_value(spark, block):
     df = spark.createDataFrame([("a", i, float(i * i)) for i in range(1, 12)], "k string, _pos long, x double")
     got = decay(df, ["k"], [Decay("y", "x", 1)], block=block).collect()
     assert len(got) == 11 and all(r["y"] == r["x"] for r in got)
+
+
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_decay_with_nulls_is_the_same_in_any_block(spark, block):
+    rng = random.Random(5)
+    series = {
+        "a": [None if rng.random() < 0.4 else rng.uniform(-50, 50) for _ in range(120)],
+        "late": [None] * 30 + [7.0, None, 9.0, *[None] * 9, 1e15, 2.0],
+        "none": [None] * 20, None: [1.0, 2.0, None, 4.0, 5.0], "short": [1.0],
+    }
+    df = spark.createDataFrame([(k, i + 1, x) for k, xs in series.items() for i, x in enumerate(xs)], "k string, _pos long, x double")
+    specs = [Decay("e", "x", 3), Decay("w", "x", 4, alpha=0.25, start=2), Decay("same", "x", 1)]
+    got = {(r["k"], r[POS]): r for r in decay(df, KEYS, specs, block=block).collect()}
+    assert len(got) == df.count()
+    for k, xs in series.items():
+        for spec in specs:
+            y, at = None, spec.start + spec.n - 2
+            for i, x in enumerate(xs):
+                if i == at:
+                    seed = [v for v in xs[spec.start - 1 : at + 1] if v is not None]
+                    y = sum(seed) / len(seed) if seed else None
+                elif i > at and x is not None:
+                    y = x if y is None else spec.a * x + (1 - spec.a) * y
+                mine = got[k, i + 1][spec.out]
+                assert (mine is None) == (y is None) and (y is None or mine == pytest.approx(y, rel=1e-9, abs=1e-9))

@@ -8,13 +8,14 @@ symbol decides the run time. Here each key is cut along its order column first:
 * ``open_series``  bounded frames: blocks of ``block`` positions, each with the few neighbour rows its
   frames reach back (or forward) to, so every frame is complete and each row is emitted once;
 * ``running``      unbounded frames: a scan inside each bucket plus a carry computed on one row per bucket;
-* ``decay``        first-order recursions (EMA, Wilder) in blocks with a warm-up.
+* ``decay``        first-order recursions (EMA, Wilder) in blocks, with the share of each block's start added exactly.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -232,38 +233,86 @@ class Decay:
 def decay(df: DataFrame, keys: list[str], specs: list[Decay], block: int = BLOCK) -> DataFrame:
     """First-order recursions along ``_pos``, all of them in one pass over the rows.
 
-    A block starts from zero as many rows early as it takes for anything older to weigh less than 1e-18 of a
-    value, which is below the precision of a double; only the first block of a key needs the seed.
+    Each block is scanned from a start of zero; what its true start adds is that start times a power of
+    ``1-alpha``, so the blocks' ends, one small row each, give all starts exactly and no task holds a key.
+    Null values leave the result as it is, in every block alike; the seed is the mean of the values present, or
+    the first value after it where none is.
     """
     import numpy as np
     import pandas as pd
 
-    warm = max(1 if s.a >= 1 else math.ceil(math.log(1e-18) / math.log(1.0 - s.a)) for s in specs)
-    block = max([block, warm, *[s.n + s.start for s in specs]])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += ", " + ", ".join(f"`{s.out}` double" for s in specs)
-    columns = df.columns
+    block = max([block, *[s.n + s.start - 1 for s in specs]])
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    held = [(f"_local{i}", f"_share{i}") for i in range(len(specs))]
+    parts = [f"_local{i} double, _share{i} double" for i in range(len(specs))]
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in types.items()], f"{BLK} bigint", *parts])
+    columns = [*df.columns, BLK]
+
+    def smooth(x: np.ndarray, a: float) -> np.ndarray:
+        return pd.Series(x).ewm(alpha=a, adjust=False, ignore_na=True).mean().to_numpy()
+
+    def local(pdf: pd.DataFrame, spec: Decay) -> tuple[np.ndarray, np.ndarray]:
+        """Values from a start of zero, and the share of the start in each; the first block has its own start."""
+        x = pdf[spec.value].to_numpy(dtype="float64", na_value=np.nan)
+        if pdf[POS].iloc[0] > 1:
+            there = np.cumsum(~np.isnan(x))
+            return smooth(np.concatenate([[0.0], x]), spec.a)[1:], (1.0 - spec.a) ** there
+        y, at = np.full(len(x), np.nan), spec.start + spec.n - 2
+        if len(x) > at:
+            seed = x[spec.start - 1 : at + 1]
+            seed = seed[~np.isnan(seed)]
+            y[at:] = smooth(np.concatenate([[seed.mean() if len(seed) else np.nan], x[at + 1 :]]), spec.a)
+        return y, np.zeros(len(x))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, kind="stable")
-        from_start = len(pdf) > 0 and pdf[POS].iloc[0] == 1
         found = {}
-        for spec in specs:
-            x = pdf[spec.value].to_numpy(dtype="float64", na_value=np.nan)
-            y = np.full(len(x), np.nan)
-            at = spec.start + spec.n - 2
-            if from_start and len(x) > at:
-                chain = np.concatenate([[x[spec.start - 1 : at + 1].mean()], x[at + 1 :]])
-                y[at:] = pd.Series(chain).ewm(alpha=spec.a, adjust=False).mean().to_numpy()
-            elif not from_start:
-                chain = np.concatenate([[0.0], x])
-                y = pd.Series(chain).ewm(alpha=spec.a, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-            found[spec.out] = y
-        out = pdf.assign(**found)
-        return out.loc[out[CORE], [*columns, *found]]
-
-    rows = with_halo(df, warm, block=block).groupBy(*keys, BLK).applyInPandas(scan, schema)
-    return rows.withColumns({s.out: F.when(~F.isnan(s.out), F.col(s.out)) for s in specs})
+        for (name, share), spec in zip(held, specs, strict=True):
+            found[name], found[share] = local(pdf, spec)
+        return pdf.assign(**found)[[*columns, *found]]
+
+    def ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS, kind="stable")
+        out = dict(zip([*keys, BLK], key, strict=True))
+        for i, spec in enumerate(specs):
+            y, share = local(pdf, spec)
+            present = pdf[spec.value].dropna()
+            out |= {f"_local{i}": y[-1], f"_share{i}": share[-1], f"_first{i}": float(present.iloc[0]) if len(present) else np.nan}
+        return pd.DataFrame([out])
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The start of each block from the ends of those before it."""
+        pdf = pdf.sort_values(BLK)
+        out = {**{k: [v] * len(pdf) for k, v in zip(keys, key, strict=True)}, BLK: pdf[BLK].tolist()}
+        for i in range(len(specs)):
+            now, starts = np.nan, []
+            for y, share, first in pdf[[f"_local{i}", f"_share{i}", f"_first{i}"]].itertuples(index=False):
+                begin = first if np.isnan(now) else now
+                starts.append(begin)
+                out.setdefault(f"_known{i}", []).append(not np.isnan(now))
+                now = y if share == 0 else y + share * begin
+            out[f"_start{i}"] = starts
+        return pd.DataFrame(out)
+
+    blocked = with_halo(df, 0, block=block).drop(CORE).select(*columns[:-1], F.col(BLK).cast("bigint").alias(BLK))
+    keyed = "".join(f"`{k}` {types[k]}, " for k in keys) + f"{BLK} bigint"
+    small = blocked.groupBy(*keys, BLK).applyInPandas(
+        ends, ", ".join([keyed, *[f"_local{i} double, _share{i} double, _first{i} double" for i in range(len(specs))]]))
+    starts = small.groupBy(*keys).applyInPandas(
+        chain, ", ".join([keyed, *[f"_known{i} boolean, _start{i} double" for i in range(len(specs))]])).where(f"{BLK} > 0")
+    renamed = {k: f"_key{i}" for i, k in enumerate([*keys, BLK])}
+    starts = starts.withColumnsRenamed(renamed)
+    rows = blocked.groupBy(*keys, BLK).applyInPandas(scan, schema)
+    rows = rows.join(starts, reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]), "left")
+
+    def whole(i: int) -> Column:
+        y, share, start = F.col(f"_local{i}"), F.col(f"_share{i}"), F.col(f"_start{i}")
+        there = (F.col(BLK) == 0) | F.col(f"_known{i}") | (share < 1)
+        value = F.when(share == 0, y).otherwise(y + share * start)
+        return F.when(there & ~F.isnan(value), value)
+
+    helper = [BLK, *renamed.values(), *[f"_{n}{i}" for i in range(len(specs)) for n in ("local", "share", "known", "start")]]
+    return rows.withColumns({s.out: whole(i) for i, s in enumerate(specs)}).drop(*helper)
 
 
 def value_bucket(value: Column) -> Column:
