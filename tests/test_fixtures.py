@@ -162,14 +162,39 @@ def test_walk_forward_windows(spark):
     assert {k: (min(v), max(v)) for k, v in got.items()} == dict(enumerate(want))
 
 
-def test_tier_arrays_in_parts_lose_nothing(spark):
-    rows = [(1, 1, 10, 100 + i, 0, i, 1000 + i, i, 93000000) for i in range(50)]
+def test_tier_sizes_keep_every_order(spark):
+    rows = [(1, 1, 10, 100 + i % 3, 0, i, 1000, i, 93000000) for i in range(50)]
     df = spark.createDataFrame(rows, "SecuCode long, TradingDay long, Price long, Volume long, Side int, BuyID long, SellID long, DealID long, DealTime long")
-    whole = O.order_tier_arrays(df).collect()
-    parts = O.order_tier_arrays(df, part_rows=10).collect()
-    assert len(whole) == 1 and len(parts) > 3
-    assert sorted(v for p in parts for v in p.BidVolume) == whole[0].BidVolume
-    assert {p.BidVolumeMean for p in parts} == {whole[0].BidVolumeMean}
+    got = {(r.order_side, r.volume): (r.orders, r.volume_mean) for r in O.order_tier_sizes(df).collect()}
+    total = sum(100 + i % 3 for i in range(50))
+    assert {k: n for k, (n, _) in got.items() if k[0] == "buy"} == {("buy", 100): 17, ("buy", 101): 17, ("buy", 102): 16}
+    assert got["buy", 100][1] == total / 50 and got["sell", total] == (1, total)
+
+
+def test_order_keys_refuse_what_does_not_fit(spark):
+    df = spark.createDataFrame([(-3, 5), (-3, 7), (2, None)], "a long, b long")
+    key = C.order_key((F.col("a"), 9), (F.col("b"), 3))
+    got = [r[0] for r in df.select(key.alias("k")).collect()]
+    assert got[0] < got[1] and got[2] is None
+    for bad in (-1, 1000):
+        with pytest.raises(Exception, match="beyond 3 digits"):
+            spark.createDataFrame([(1, bad)], "a long, b long").select(key).collect()
+
+
+def test_own_best_orders_count_with_the_price_they_got(spark):
+    rows = [(1, 1, 1, "insert", 1, "B", 10, 20), (1, 1, 2, "insert", 2, "B", None, 20)]
+    df = spark.createDataFrame(rows, "SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long")
+    assert [r.bid_price for r in K.book_totals(df).orderBy("seq").collect()] == [10.0, 10.0]
+
+
+@pytest.mark.parametrize("block", [1, 100])
+def test_cancels_are_located_in_the_book(spark, block):
+    rows = [(1, 1, 1, "insert", 1, "B", 10, 20), (1, 1, 2, "insert", 2, "B", 11, 20), (1, 1, 3, "insert", 3, "B", 10, 5),
+            (1, 1, 4, "cancel", 3, "B", 10, 5), (1, 1, 5, "cancel", 99, "B", 10, 5)]
+    events = spark.createDataFrame(rows, "SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long")
+    cancels = spark.createDataFrame([(1, 1, 4, 3), (1, 1, 5, 99), (2, 1, 1, 1)], "SecuCode long, TradingDay long, DealID long, OrderID long")
+    got = {(r.SecuCode, r.DealID): (r.CancelPrice, r.OBLevel, r.QueuePos) for r in K.locate_cancels(cancels, events, block).collect()}
+    assert got == {(1, 4): (10, 2, 2), (1, 5): (0, -1, -1), (2, 1): (0, -1, -1)}
 
 
 def test_snapshot_verification(spark):

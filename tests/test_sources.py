@@ -19,6 +19,14 @@ def test_daily_bars(spark, tmp_path):
     assert round(f.high, 4) == 1.05
 
 
+def test_daily_bars_of_an_unknown_exchange_stay(spark, tmp_path):
+    rec = struct.pack("<IIIIIfII", 20240102, 1010, 1050, 1000, 1020, 12345.5, 700, 0)
+    for name in ("xx600000.day", "other.day", "sh600000.day"):
+        (tmp_path / name).write_bytes(rec)
+    got = {r.symbol: (r.kind, r.open is None, r.amount) for r in X.read_daily(spark, str(tmp_path)).collect()}
+    assert got == {"xx600000": (None, True, 12345.5), "other": (None, True, 12345.5), "sh600000": ("SH_A_STOCK", False, 12345.5)}
+
+
 def test_minute_bars(spark, tmp_path):
     day = (2024 - 2004) * 2048 + 102
     (tmp_path / "sz000001.lc5").write_bytes(struct.pack("<HHfffffII", day, 9 * 60 + 35, 1.5, 2.5, 1.0, 2.0, 9.0, 33, 0))

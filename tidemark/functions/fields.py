@@ -59,7 +59,10 @@ TIERS = ["Small", "Medium", "Large", "Mega"]
 
 
 def order_key(*parts: tuple[Column, int]) -> Column:
-    """One number that sorts like the given non-negative columns; each comes with its most decimal digits.
+    """One number that sorts like the given columns; each comes with its most decimal digits.
+
+    Only the first may be negative. A later part that is, or has more digits, would spill into the one before
+    it, so it ends the query; a null part makes the key null.
 
     ``min_by``/``max_by`` on a struct fall back to sorted aggregation, on a number they stay hash aggregates.
     Up to 18 digits the key is a long, up to 38 a decimal.
@@ -70,7 +73,10 @@ def order_key(*parts: tuple[Column, int]) -> Column:
     kind = "bigint" if digits <= 18 else "decimal(38,0)"
     key = parts[0][0].cast(kind)
     for column, n in parts[1:]:
-        key = (key * F.lit(str(10**n)).cast(kind)).cast(kind) + column.cast(kind)
+        part = column.cast(kind)
+        fits = (part >= 0) & (part < F.lit(str(10**n)).cast("decimal(38,0)"))
+        part = F.when(fits | part.isNull(), part).otherwise(F.raise_error(F.lit(f"order key part beyond {n} digits")).cast(kind))
+        key = (key * F.lit(str(10**n)).cast(kind)).cast(kind) + part
         key = key.cast(kind)
     return key
 

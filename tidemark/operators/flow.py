@@ -106,29 +106,16 @@ def order_volumes(deals: DataFrame) -> DataFrame:
     return both_sides(deals).groupBy(*DAY, "order_side", "OrderID").agg(F.sum("Volume").alias("volume"))
 
 
-def order_tier_arrays(deals: DataFrame, part_rows: int = 100_000) -> DataFrame:
-    """Daily means and sorted order-size arrays, in parts of about ``part_rows`` orders.
+def order_tier_sizes(deals: DataFrame) -> DataFrame:
+    """Order sizes of every stock-day and side with how many orders have them, and the side's mean order.
 
-    A busy day is spread over several rows (``part``), so no array holds a whole hot stock-day.
+    Read in order of ``volume`` and repeated ``orders`` times, the rows of a day and side are its sorted sizes.
+    Counts stay small where an array would hold every order of a busy day.
     """
-    sizes = order_volumes(deals)
-    mean = lambda s: (
-        F.sum(F.when(F.col("order_side") == s, F.col("volume")))
-        / F.count(F.when(F.col("order_side") == s, 1))
-    )
-    days = sizes.groupBy(*DAY).agg(
-        mean("buy").alias("BidVolumeMean"), mean("sell").alias("AskVolumeMean"),
-        F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"),
-    )
-    pick = lambda s: F.sort_array(F.collect_list(F.when(F.col("order_side") == s, F.col("volume"))))
-    return (
-        sizes.join(days, DAY)
-        .groupBy(*DAY, F.pmod(F.xxhash64("OrderID"), F.col("_parts")).alias("part"))
-        .agg(
-            F.first("BidVolumeMean").alias("BidVolumeMean"), F.first("AskVolumeMean").alias("AskVolumeMean"),
-            pick("buy").alias("BidVolume"), pick("sell").alias("AskVolume"),
-        )
-    )
+    side = [*DAY, "order_side"]
+    counts = order_volumes(deals).groupBy(*side, "volume").agg(F.count(F.lit(1)).alias("orders"))
+    means = counts.groupBy(*side).agg((F.sum(F.col("volume") * F.col("orders")) / F.sum("orders")).alias("volume_mean"))
+    return counts.join(means, side)
 
 
 def tier_thresholds(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:

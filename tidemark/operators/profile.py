@@ -101,7 +101,7 @@ def value_areas(pooled: DataFrame, ratio: float = 0.70) -> DataFrame:
 def profile_metrics(profile: DataFrame, pairs: DataFrame, closes: DataFrame, ratio: float = 0.70) -> DataFrame:
     """Value area, width, close position, breakout flag, anchor share and POC drift per target day."""
     areas = value_areas(pooled_profiles(profile, pairs), ratio)
-    day_poc = profile.groupBy(*DAY).agg(F.max_by("Price", C.order_key((F.col("Volume"), 18), (10**10 - F.col("Price"), 11))).alias("_p"))
+    day_poc = profile.groupBy(*DAY).agg(F.max_by("Price", C.order_key((F.col("Volume"), 18), (10**18 - F.col("Price"), 19))).alias("_p"))
     # The mean of consecutive differences is (last - first) / (count - 1).
     drift = pairs.join(day_poc, DAY).groupBy("SecuCode", "target").agg(
         F.count(F.lit(1)).alias("actual_lookback_days"),

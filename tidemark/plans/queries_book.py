@@ -20,7 +20,7 @@ V.VIEW_SQL["eff_events"] = """
 WITH c AS (SELECT *, sum(cut) OVER (PARTITION BY SecuCode, TradingDay, order_id ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM cut_events)
 SELECT *, greatest(iqty - cum, 0) AS live, CASE WHEN kind = 'insert' THEN iqty ELSE greatest(iqty - cum, 0) - greatest(iqty - cum + cut, 0) END AS delta FROM c"""
 V.VIEW_SQL["lives"] = """
-SELECT SecuCode, TradingDay, order_id, side, iprice AS price, min(iseq) AS a, coalesce(min(seq) FILTER (WHERE live = 0), 999999999) AS z FROM eff_events GROUP BY 1, 2, 3, 4, 5"""
+SELECT SecuCode, TradingDay, order_id, side, iprice AS price, min(iseq) AS a, coalesce(min(seq) FILTER (WHERE live = 0), 9223372036854775807) AS z FROM eff_events GROUP BY 1, 2, 3, 4, 5"""
 
 
 @query("ob01_live_orders", """

@@ -189,16 +189,11 @@ V.VIEW_SQL["sizes"] = "SELECT SecuCode, TradingDay, order_side, OrderID, sum(Vol
 
 
 @query("ag07_order_tier_arrays", """
-SELECT SecuCode, TradingDay, 0::BIGINT AS part, round(avg(volume) FILTER (WHERE order_side = 'buy'), 6) AS BidVolumeMean,
-  round(avg(volume) FILTER (WHERE order_side = 'sell'), 6) AS AskVolumeMean,
-  array_to_string(list(volume ORDER BY volume) FILTER (WHERE order_side = 'buy'), ',') AS BidVolume,
-  array_to_string(list(volume ORDER BY volume) FILTER (WHERE order_side = 'sell'), ',') AS AskVolume
-FROM sizes GROUP BY 1, 2""")
+SELECT SecuCode, TradingDay, order_side, volume, count(*) AS orders,
+  round(sum(volume * count(*)) OVER d / sum(count(*)) OVER d, 6) AS volume_mean
+FROM sizes GROUP BY SecuCode, TradingDay, order_side, volume WINDOW d AS (PARTITION BY SecuCode, TradingDay, order_side)""")
 def _(spark, d):
-    arrays = O.order_tier_arrays(V.deals(spark, d))
-    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return rounded(arrays).select(
-        "SecuCode", "TradingDay", "part", "BidVolumeMean", "AskVolumeMean", text("BidVolume"), text("AskVolume"))
+    return rounded(O.order_tier_sizes(V.deals(spark, d)))
 
 
 V.VIEW_SQL["thresholds"] = """

@@ -128,7 +128,7 @@ def _(spark, d):
 
 V.VIEW_SQL["wf_bounds"] = "SELECT min(t) AS a, max(t) AS b FROM bars_m"
 V.VIEW_SQL["wf_slices"] = """
-SELECT k AS slice_no, a + k * 6 AS s, least(a + k * 6 + 24, b) AS e FROM wf_bounds, range(0, 1000) r(k)
+SELECT k AS slice_no, a + k * 6 AS s, least(a + k * 6 + 24, b) AS e FROM (SELECT *, unnest(range(0, b - a + 1)) AS k FROM wf_bounds)
 WHERE k = 0 OR k * 6 + 1 < b - a"""
 
 

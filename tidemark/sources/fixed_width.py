@@ -56,11 +56,14 @@ def read_records(spark: SparkSession, path: str, layout: str, glob: str = "*") -
 
 
 def read_daily(spark: SparkSession, path: str, glob: str = "*.day") -> DataFrame:
-    """Daily bars; file names end in exchange and code, which decide the price and volume scale."""
+    """Daily bars; file names end in exchange and code, which decide the price and volume scale.
+
+    Rows of a file whose name tells no known security keep its name as symbol; kind and scaled values are null.
+    """
     rows = read_records(spark, path, "daily", glob)
-    name = F.regexp_extract("path", r"([A-Za-z]{2})(\d{6})\.\w+$", 0)
-    kind = C.security_type(F.substring(name, 1, 2), F.substring(name, 3, 6))
-    rows = rows.withColumns({"symbol": F.substring(name, 1, 8), "kind": kind}).where("kind is not null")
+    code, stem = F.regexp_extract("path", r"([A-Za-z]{2}\d{6})\.\w+$", 1), F.regexp_extract("path", r"([^/]+?)(\.\w+)?$", 1)
+    kind = C.security_type(F.substring(code, 1, 2), F.substring(code, 3, 6))
+    rows = rows.withColumns({"symbol": F.when(code != "", code).otherwise(stem), "kind": kind})
     price, volume = C.security_scale(F.col("kind"), 0), C.security_scale(F.col("kind"), 1)
     return rows.select(
         "symbol", "kind", F.to_date(F.col("date").cast("string"), "yyyyMMdd").alias("date"),
