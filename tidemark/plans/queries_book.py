@@ -199,7 +199,20 @@ def _(spark, d):
     return rounded(M.boxes(V.bars_m(spark, d), K, "t", YEARS, mid_rows=6, band=0.9, init=3, period=4))
 
 
-@query("wn45_ratchet_stops")
+V.VIEW_SQL["ratchet"] = """
+WITH RECURSIVE g AS MATERIALIZED (SELECT symbol, param_id, t, entry, close, atr, row_number() OVER (PARTITION BY symbol, param_id ORDER BY t) AS i FROM grid_sig),
+r AS (
+  SELECT symbol, param_id, t, i, CASE WHEN entry AND atr IS NOT NULL THEN close - 0.3::DOUBLE * atr END AS stop, false AS exit FROM g WHERE i = 1
+  UNION ALL
+  SELECT g.symbol, g.param_id, g.t, g.i,
+    CASE WHEN r.stop IS NULL OR r.exit THEN CASE WHEN g.entry AND g.atr IS NOT NULL THEN g.close - 0.3::DOUBLE * g.atr END
+         WHEN g.close < r.stop THEN r.stop ELSE greatest(r.stop, g.close - 0.3::DOUBLE * g.atr) END,
+    r.stop IS NOT NULL AND NOT r.exit AND g.close < r.stop
+  FROM r JOIN g ON g.symbol = r.symbol AND g.param_id = r.param_id AND g.i = r.i + 1)
+SELECT symbol, param_id, t::BIGINT AS t, round(stop, 6) AS stop, exit FROM r WHERE stop IS NOT NULL"""
+
+
+@query("wn45_ratchet_stops", "SELECT * FROM ratchet")
 def _(spark, d):
     signals = grid(spark, d).select("symbol", "param_id", "t", "entry", "close", "atr")
     return rounded(M.ratchet_stops(signals, [*K, "param_id"], "t", YEARS, 0.3))
