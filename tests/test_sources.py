@@ -1,9 +1,14 @@
 """Binary and text readers on files written byte by byte."""
 
+import math
 import struct
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import risk as R
+from tidemark.sinks import tables as W
 from tidemark.sources import fixed_width as X
 from tidemark.sources import market as M
 
@@ -97,3 +102,74 @@ def test_vendor_errors_are_dropped(spark):
     df = spark.createDataFrame([("a", good), ("b", '{"ErrorId":"7"}')], "symbol string, reply string")
     rows = M.order_analysis_rows(df).collect()
     assert len(rows) == 1 and rows[0].symbol == "a" and rows[0].small_market == 1.5
+
+
+def test_compacted_files_are_sorted_zstd_with_bounded_row_groups(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 3 as SecuCode", "20240102 as TradingDay", "5000 - id as DealID")
+    W.compact(rows, str(tmp_path / "t"), "deal")
+    files = [pq.ParquetFile(f) for f in sorted((tmp_path / "t").glob("*.parquet"))]
+    assert sum(f.metadata.num_rows for f in files) == 3000
+    for f in files:
+        groups = [f.metadata.row_group(i) for i in range(f.num_row_groups)]
+        assert all(g.num_rows <= W.ROW_GROUP_ROWS and g.column(0).compression == "ZSTD" for g in groups)
+        got = f.read().to_pylist()
+        keys = [(r["SecuCode"], r["TradingDay"], r["DealID"]) for r in got]
+        assert keys == sorted(keys)
+
+
+def test_row_groups_end_at_the_row_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "ROW_GROUP_ROWS", 500)
+    W.compact(spark.range(0, 4000, 1, 1).selectExpr("1 as SecuCode", "20240102 as TradingDay", "id as DealID"), str(tmp_path / "t"), "deal")
+    sizes = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, (tmp_path / "t").glob("*.parquet")) for i in range(f.num_row_groups)]
+    assert max(sizes) <= 500 and sum(sizes) == 4000
+
+
+def test_staged_files_keep_the_time_order_of_each_stock_day(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id % 4 as SecuCode", "20240102 + id % 2 as TradingDay", "9999 - id as DealTime", "id as DealID")
+    W.write_staged(rows, str(tmp_path / "t"), "DealTime", "DealID")
+    files = sorted((tmp_path / "t").glob("TradingDay=*/*.parquet"))
+    assert {f.parent.name for f in files} == {"TradingDay=20240102", "TradingDay=20240103"}
+    total = 0
+    for f in map(pq.ParquetFile, files):
+        keys = [(r["SecuCode"], r["DealTime"], r["DealID"]) for r in f.read().to_pylist()]
+        total += len(keys)
+        assert keys == sorted(keys) and f.metadata.row_group(0).column(0).compression == "ZSTD"
+    assert total == 2000
+
+
+def test_split_files_hold_whole_sorted_stocks(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id % 5 as SecuCode", "20240102 as TradingDay", "id as DealID", "7 as Price")
+    W.write_by_stock(rows, str(tmp_path / "t"))
+    files = list((tmp_path / "t").glob("TradingDay=20240102/*.parquet"))
+    codes = [pq.ParquetFile(f).read().column("SecuCode").to_pylist() for f in files]
+    assert sum(map(len, codes)) == 1000 and all(c == sorted(c) for c in codes)
+
+
+def test_a_failed_split_leaves_no_data_to_read(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id as SecuCode", "20240102 as TradingDay", "if(id = 7, raise_error('bad row'), id) as DealID", "7 as Price")
+    with pytest.raises(Exception, match="bad row"):
+        W.write_by_stock(rows, str(tmp_path / "t"))
+    assert not list((tmp_path / "t").glob("TradingDay=*/*.parquet")) and not (tmp_path / "t" / "_SUCCESS").exists()
+
+
+def test_a_second_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 10), (2, 20)], "k int, t int").write.parquet(path)
+    new = spark.createDataFrame([(1, 10), (1, 11), (2, 19), (3, 1)], "k int, t int")
+    for _ in range(2):
+        W.append_newer(new, path, ["k"], "t")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 10), (1, 11), (2, 20), (3, 1)]
+
+
+def test_a_report_is_one_small_file_with_the_expected_columns(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id % 7 as k").groupBy("k").count()
+    W.write_report(rows, str(tmp_path / "r"), ["k", "count"])
+    assert len(list((tmp_path / "r").glob("*.csv"))) == 1
+    with pytest.raises(ValueError):
+        W.write_report(rows, str(tmp_path / "r2"), ["k"])
+
+
+def test_normal_distribution_function_is_close_to_the_exact_one(spark):
+    points = [i / 8 for i in range(-48, 49)]
+    got = spark.createDataFrame([(z,) for z in points], "z double").withColumn("c", R.normal_cdf(F.col("z"))).collect()
+    assert max(abs(r.c - 0.5 * math.erfc(-r.z / math.sqrt(2))) for r in got) < 1.5e-7

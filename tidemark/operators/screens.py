@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import POS, Series, average_rank, running
+from tidemark.functions.series import POS, Series, average_rank, exact_percentiles, running
 from tidemark.operators import indicators as I
 from tidemark.session import stage
 
@@ -208,7 +208,7 @@ def chandelier_exits(rows: DataFrame, keys: list[str], t: str, bucket: str) -> D
 
 
 def ranked(df: DataFrame, by: str, n: int, *order: Column, out: str = "rnk") -> DataFrame:
-    """First ``n`` rows of each group."""
+    """First ``n`` rows of each group; Catalyst keeps only each partition's own first ``n`` before the shuffle."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(out) <= n)
 
 
@@ -259,36 +259,33 @@ def reversion_targets(s: Series, date: str, lookback: int, offset: int, n: int,
         _vol=F.when(ready, F.stddev_pop("close").over(s.rows(-(offset + vol_rows - 1), -offset))),
         ret=F.when(ready, F.col("close") / s.lag("close", offset + lookback - 1) - 1),
     )
-    rows = s.close().where("ret is not null")
-    cuts = rows.groupBy(date).agg(
-        F.percentile("_sd", F.lit(1 - q_std)).alias("_cs"), F.percentile("_vol", F.lit(1 - q_vol)).alias("_cv"))
+    rows = stage(s.close().where("ret is not null").select(*s.keys, date, "ret", "_sd", "_vol"))
+    cuts = exact_percentiles(rows, [date], "_sd", {"_cs": 1 - q_std}).join(
+        exact_percentiles(rows, [date], "_vol", {"_cv": 1 - q_vol}), date)
     calm, steady = F.col("_sd") <= F.col("_cs"), F.col("_vol") <= F.col("_cv")
-    kept = rows.join(cuts, date).where((calm | steady) if mode == "union" else (calm & steady))
-    by_date = Window.partitionBy(date)
-    kept = kept.withColumns({
-        "_lo": F.row_number().over(by_date.orderBy(F.asc("ret"), *s.keys)),
-        "_hi": F.row_number().over(by_date.orderBy(F.desc("ret"), *s.keys)),
-        "_all": F.count(F.lit(1)).over(by_date),
-    })
-    size = F.least(F.lit(n), F.col("_all"))
-    weight = F.when(F.col("_hi") <= n, -target / size).when(F.col("_lo") <= n, target / size)
-    return kept.withColumn("weight", weight).where("weight is not null").select(*s.keys, date, "ret", "weight")
+    kept = stage(rows.join(cuts, date).where((calm | steady) if mode == "union" else (calm & steady)).select(*s.keys, date, "ret"))
+    short = ranked(kept, date, n, F.desc("ret"), *s.keys).withColumn("_sign", F.lit(-1))
+    long = ranked(kept, date, n, F.asc("ret"), *s.keys).withColumn("_sign", F.lit(1))
+    chosen = short.unionByName(long.join(short.select(*s.keys, date), [*s.keys, date], "left_anti"))
+    size = kept.groupBy(date).agg(F.least(F.lit(n), F.count(F.lit(1))).alias("_size"))
+    return chosen.join(size, date).withColumn("weight", F.col("_sign") * target / F.col("_size")).select(*s.keys, date, "ret", "weight")
 
 
 def reversion_quantile(rows: DataFrame, date: str, q: float) -> DataFrame:
     """Quantile mode: longs at or below the ``q`` quantile of ``ret``, shorts at or above ``1-q``."""
-    cuts = rows.groupBy(date).agg(F.percentile("ret", F.array(F.lit(q), F.lit(1 - q))).alias("_c"))
-    side = F.when(F.col("ret") >= F.col("_c")[1], "short").when(F.col("ret") <= F.col("_c")[0], "long")
-    return rows.join(cuts, date).withColumn("side", side).where("side is not null").drop("_c")
+    rows = stage(rows)
+    cuts = exact_percentiles(rows, [date], "ret", {"_low": q, "_high": 1 - q})
+    side = F.when(F.col("ret") >= F.col("_high"), "short").when(F.col("ret") <= F.col("_low"), "long")
+    return rows.join(cuts, date).withColumn("side", side).where("side is not null").drop("_low", "_high")
 
 
 def inverse_volatility(s: Series, date: str, n: int = 21, target: float = INVESTED) -> DataFrame:
     """Weights proportional to one over the volatility of ``n`` log returns."""
     s = s.add(_lr=I.log_return(s))
     s = s.add(_sd=s.full(F.stddev_samp("_lr").over(s.last(n)), n + 1))
-    rows = s.close().where("_sd > 0").withColumn("_i", 1 / F.col("_sd"))
-    share = F.col("_i") / F.sum("_i").over(Window.partitionBy(date))
-    return rows.withColumn("weight", share * target).select(*s.keys, date, "weight")
+    rows = stage(s.close().where("_sd > 0").select(*s.keys, date, (1 / F.col("_sd")).alias("_i")))
+    sums = rows.groupBy(date).agg(F.sum("_i").alias("_all"))
+    return rows.join(sums, date).withColumn("weight", F.col("_i") / F.col("_all") * target).select(*s.keys, date, "weight")
 
 
 def pair_switch(s: Series, date: str, first: str, second: str, n: int = 60, every: int = 21,

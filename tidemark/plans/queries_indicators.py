@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import open_series, running
+from tidemark.functions.series import POS, number_rows, open_series, running
 from tidemark.operators import indicators as I
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
@@ -182,10 +182,11 @@ def _(spark, d):
 SELECT symbol, ts, round(avg_slope, 6) AS avg_slope, row_number() OVER (PARTITION BY ts ORDER BY round(avg_slope, 6) DESC, symbol) AS rnk
 FROM trendline WHERE degrees(atan(15 * r2 * avg_slope)) > 5 AND s20 > 0.001""")
 def _(spark, d):
-    from pyspark.sql import Window
-    chosen = rounded(trend(spark, d).close().where("selected").select("symbol", "ts", "avg_slope"))
-    rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("avg_slope"), "symbol"))
-    return chosen.withColumn("rnk", rank)
+    chosen = stage(rounded(trend(spark, d).close().where("selected").select("symbol", "ts", "avg_slope")))
+    ordered = chosen.withColumn("_down", -F.col("avg_slope"))
+    # Steps of the slope are numbered one by one, so a time with very many sectors is not sorted in one task.
+    ranks = number_rows(ordered, ["ts"], ["_down", "symbol"], "cast(floor(_down * 1000) as bigint)")
+    return ranks.select("symbol", "ts", "avg_slope", F.col(POS).alias("rnk"))
 
 
 @query("wn19_convergence", """

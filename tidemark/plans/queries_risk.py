@@ -364,7 +364,18 @@ def _(spark, d):
     return rounded(R.fits(r, K).join(R.ks_distances(r, K, normal=False), "symbol"))
 
 
-@query("ag34_normal_ks")
+_Z = "(r - mean) / std"
+_T = f"(1 / (1 + {R.ERF_SCALE}::DOUBLE * abs({_Z}) / sqrt(2)))"
+_TAIL = "(" + " + ".join(f"{a}::DOUBLE * pow({_T}, {i + 1})" for i, a in enumerate(R.ERF)) + f") * exp(-pow({_Z}, 2) / 2) / 2"
+
+
+@query("ag34_normal_ks", f"""
+WITH f AS (SELECT symbol, avg(r) AS mean, stddev_pop(r) AS std, median(r) AS median FROM lr GROUP BY 1),
+g AS (SELECT symbol, avg(abs(r - median)) AS scale FROM lr JOIN f USING (symbol) GROUP BY 1),
+k AS (SELECT symbol, r, cume_dist() OVER (PARTITION BY symbol ORDER BY r) AS hi, (rank() OVER (PARTITION BY symbol ORDER BY r) - 1) / count(*) OVER (PARTITION BY symbol) AS lo FROM lr),
+c AS (SELECT symbol, hi, lo, CASE WHEN r < median THEN exp((r - median) / scale) / 2 ELSE 1 - exp(-(r - median) / scale) / 2 END AS l,
+  CASE WHEN r > mean THEN 1 - {_TAIL} ELSE {_TAIL} END AS n FROM k JOIN f USING (symbol) JOIN g USING (symbol))
+SELECT symbol, round(max(greatest(hi - l, l - lo)), 6) AS ks_laplace, round(max(greatest(hi - n, n - lo)), 6) AS ks_normal FROM c GROUP BY 1""")
 def _(spark, d):
     return rounded(R.ks_distances(log_returns(spark, d), K))
 

@@ -36,11 +36,11 @@ def write_staged(df: DataFrame, path: str, clock: str, seq: str) -> None:
 
 
 def compact(df: DataFrame, path: str, kind: str) -> None:
-    """Monthly compaction: ranges of stock and type-specific order, bounded files."""
+    """Monthly compaction: ranges of stock and type-specific order, row groups of bounded size inside large files."""
     order = ["SecuCode", *SORT_KEYS[kind]]
     (
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
-        .option("compression", "zstd").option("maxRecordsPerFile", ROW_GROUP_ROWS).parquet(path)
+        .option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP_ROWS).parquet(path)
     )
 
 
@@ -60,15 +60,17 @@ def newer_rows(stored: DataFrame, new: DataFrame, keys: list[str], t: str) -> Da
     return new.join(last, keys, "left").where(F.col("_last").isNull() | (F.col(t) > F.col("_last"))).drop("_last")
 
 
-def append_newer(stored: DataFrame, new: DataFrame, keys: list[str], t: str, path: str) -> None:
+def append_newer(new: DataFrame, path: str, keys: list[str], t: str) -> None:
+    """Append to the table at ``path`` what is newer than its rows; a second run adds nothing."""
+    stored = new.sparkSession.read.schema(new.schema).parquet(path)
     newer_rows(stored, new, keys, t).write.mode("append").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, columns: list[str]) -> None:
-    """A small CSV report in one file; the columns must be exactly those expected."""
+    """A CSV report; the columns must be exactly those expected. Adaptive execution merges a small one into one file."""
     if df.columns != columns:
         raise ValueError(f"report columns {df.columns} differ from {columns}")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.hint("rebalance").write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_per_date(df: DataFrame, path: str, date: str = "date") -> None:
