@@ -143,3 +143,26 @@ def test_final_bars_equal_batch_bars(spark, tmp_path):
     got = {F_: v for F_, *v in [(int(r.label.timestamp()), r.open, r.high, r.low, r.close, r.volume) for r in live.collect()]}
     want = {r.ts: [r.open, r.high, r.low, r.close, r.volume] for r in batch.collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_checks_in_time_late_and_without_a_further_row(spark, tmp_path):
+    rows = [
+        ("a", 1, "trade", 0, 1, 5), ("a", 1, "check", 1, 2, 5), ("a", 2, "check", 1, 3, 8), ("a", 4, "trade", 0, 4, 3),
+        ("a", 5, "check", 1, 5, 9), ("a", 8, "trade", 0, 6, 1), ("a", 10, "check", 1, 7, 9), ("a", 10, "check", 1, 8, 9),
+        ("a", 11, "check", 1, 9, 100), ("b", 500, "trade", 0, 10, 1), ("b", 900, "trade", 0, 11, 1)]
+    df = spark.createDataFrame(rows, "k string, sec long, kind string, prio long, seq long, volume long").select(
+        "k", F.timestamp_seconds("sec").alias("ts"), (F.col("sec") * SECOND).alias("at_ms"), "kind", "prio", "seq", "volume")
+    out = J.materialised(O.timed_checks(as_stream(spark, df, tmp_path), ["k"]), "append").collect()
+    assert sorted((r.seq, r.ok, r.matched_ms) for r in out) == [
+        (2, True, 1000), (3, True, 4000), (5, False, None), (7, True, 10000), (8, True, 10000), (9, False, None)]
+
+
+def test_rows_that_wait_at_the_close_get_the_default_time(spark, tmp_path):
+    rows = [("a", 0, 10, 1, 0), ("a", 0, 20, 2, -1), ("a", 0, 30, 3, 1), ("a", 0, 40, 4, -11), ("a", 1, 110, 5, 0), ("a", 9, 910, 6, 0)]
+    df = spark.createDataFrame(rows, "k string, day long, sec long, seq long, side long").select(
+        "k", "day", F.timestamp_seconds("sec").alias("ts"), (F.col("sec") * SECOND).alias("at_ms"),
+        (F.col("sec") * 1_000_000).alias("clock"), "seq", "side")
+    live = O.next_trade(as_stream(spark, df, tmp_path), ["k", "day"], "10 seconds", lambda key: (int(key[1]) + 1) * 100 * SECOND)
+    out = J.materialised(live, "append").collect()
+    assert sorted((r.day, r.seq, r.next_time) for r in out) == [
+        (0, 1, 30_000_000), (0, 2, 30_000_000), (0, 3, 153_000_000), (0, 4, 153_000_000), (1, 5, 153_000_000)]

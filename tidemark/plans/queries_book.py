@@ -9,7 +9,7 @@ from tidemark.operators import machines as M
 from tidemark.operators import profile as P
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
-from tidemark.plans.queries_flow import day_cuts, deal_log, rounded, turnover_pairs
+from tidemark.plans.queries_flow import PROFILES, SWEEPS, day_cuts, deal_log, rounded, turnover_pairs
 from tidemark.plans.queries_screens import K, T, YEARS, exits, grid
 from tidemark.session import stage
 
@@ -57,11 +57,14 @@ def _(spark, d):
         "SecuCode", "TradingDay", "seq", "order_id", "bid_volume", "ask_volume", "bid_price", "ask_price", "matched", "matched_value")
 
 
-@query("ob04_best_prices", """
+V.VIEW_SQL["best_prices"] = """
 SELECT e.SecuCode, e.TradingDay, e.seq, e.order_id, coalesce(max(l.price) FILTER (WHERE l.side = 'B'), 0)::DOUBLE AS best_bid,
   coalesce(min(l.price) FILTER (WHERE l.side = 'S'), 0)::DOUBLE AS best_ask
 FROM book_events e LEFT JOIN lives l ON l.SecuCode = e.SecuCode AND l.TradingDay = e.TradingDay
-  AND (l.a, l.order_id) <= (e.seq, e.order_id) AND (l.z, l.order_id) > (e.seq, e.order_id) GROUP BY 1, 2, 3, 4""")
+  AND (l.a, l.order_id) <= (e.seq, e.order_id) AND (l.z, l.order_id) > (e.seq, e.order_id) GROUP BY 1, 2, 3, 4"""
+
+
+@query("ob04_best_prices", "SELECT * FROM best_prices")
 def _(spark, d):
     return B.replay(V.book_events(spark, d)).select("SecuCode", "TradingDay", "seq", "order_id", "best_bid", "best_ask")
 
@@ -175,7 +178,9 @@ def _(spark, d):
     return totals.groupBy(*B.DAY, F.col("matched").alias("TotalVolume")).agg(F.min("seq").alias("first_seq"))
 
 
-@query("ob10_daily_metrics")
+@query("ob10_daily_metrics", f"""
+WITH m AS (SELECT SecuCode, TradingDay, count(*) AS minutes, {", ".join(f"sum(coalesce(deal_{c}_vol_Mega, 0))::BIGINT AS {c}_mega" for c in O.CATEGORIES)} FROM flow_m GROUP BY 1, 2)
+SELECT * FROM ({SWEEPS}) JOIN m USING (SecuCode, TradingDay) JOIN ({PROFILES}) USING (SecuCode, TradingDay)""")
 def _(spark, d):
     """Sweeps, profile and cancel metrics of every stock-day in one job, keyed by stock and day."""
     deals = V.deals(spark, d)
@@ -186,17 +191,53 @@ def _(spark, d):
         F.count(F.lit(1)).alias("minutes"), *[F.sum(f"deal_{c}_vol_Mega").alias(f"{c}_mega") for c in O.CATEGORIES])
     metrics = O.sweep_metrics(deals).join(flow, O.DAY).join(
         P.profile_metrics(profile, stage(turnover_pairs(spark, d, profile)), closes), O.DAY)
-    return rounded(metrics)
+    at = "price_position_in_va"
+    return rounded(metrics, skip=(at,)).withColumn(at, F.round(at, 4))
+
+
+V.VIEW_SQL["segments"] = """
+WITH RECURSIVE n AS MATERIALIZED (SELECT symbol, t, close, row_number() OVER w AS i, max(close) OVER (w ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS top
+  FROM bars_m WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+p AS MATERIALIZED (SELECT a.symbol, a.i, any_value(a.t) AS start_t, min(b.i) AS pi, min(b.t) AS peak_t, any_value((a.top - a.close) / a.close) AS growth
+  FROM n a JOIN n b ON b.symbol = a.symbol AND b.i BETWEEN a.i AND a.i + 11 AND b.close = a.top GROUP BY 1, 2),
+r AS (SELECT symbol, 0::BIGINT AS i, 1::BIGINT AS following, 0::BIGINT AS start_t, 0::BIGINT AS peak_t, 0::DOUBLE AS growth FROM n GROUP BY 1
+  UNION ALL
+  SELECT p.symbol, p.i, CASE WHEN p.growth >= 2 THEN p.pi ELSE p.i END + 1, p.start_t, p.peak_t, p.growth FROM r JOIN p ON p.symbol = r.symbol AND p.i = r.following)
+SELECT symbol, start_t, peak_t, round(growth, 6) AS growth, peak_t - start_t AS duration FROM r WHERE growth >= 2"""
 
 
-@query("wn41_growth_segments")
+@query("wn41_growth_segments", "SELECT * FROM segments")
 def _(spark, d):
     return rounded(M.growth_segments(V.bars_m(spark, d), K, "t", YEARS, 2.0, 12))
 
 
-@query("wn42_price_boxes")
+BOX = dict(mid_rows=6, band=0.9, init=3, period=4)
+V.VIEW_SQL["price_boxes"] = f"""
+WITH RECURSIVE m AS (SELECT symbol, t, high::DOUBLE AS h, low::DOUBLE AS l, close::DOUBLE AS c, avg(close) OVER w AS mid, row_number() OVER (PARTITION BY symbol ORDER BY t) AS pos
+  FROM bars_m WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS 5 PRECEDING)),
+g AS MATERIALIZED (SELECT symbol, t, h, l, c, pos - 5 AS i, mid * {1 + BOX['band']!r}e0 AS top, mid * {1 - BOX['band']!r}e0 AS bottom FROM m WHERE pos >= 6),
+r AS (SELECT symbol, 0::BIGINT AS i, 0::BIGINT AS days, 0::DOUBLE AS high, 0::DOUBLE AS low, 0::BIGINT AS hits, 0::BIGINT AS start_t, 0::BIGINT AS end_t,
+    0::BIGINT AS o_days, 0::DOUBLE AS o_high, 0::DOUBLE AS o_low, 0::BIGINT AS o_start, 0::BIGINT AS o_end, 'wait' AS act, 0::BIGINT AS t FROM g GROUP BY 1
+  UNION ALL
+  SELECT symbol, i, CASE act WHEN 'wait' THEN 0 WHEN 'build' THEN days + 1 WHEN 'grow' THEN days + 1 ELSE 1 END,
+    CASE act WHEN 'wait' THEN high WHEN 'build' THEN CASE WHEN h > top THEN top ELSE greatest(high, h) END WHEN 'grow' THEN greatest(high, h) ELSE h END,
+    CASE act WHEN 'wait' THEN low WHEN 'build' THEN CASE WHEN l < bottom THEN bottom ELSE least(low, l) END WHEN 'grow' THEN least(low, l) ELSE l END,
+    CASE WHEN act = 'wait' THEN hits WHEN act = 'build' AND (h > top OR l < bottom) THEN hits + 1 ELSE 0 END,
+    CASE WHEN act IN ('wait', 'build', 'grow') THEN start_t ELSE t END, CASE WHEN act = 'wait' THEN end_t ELSE t END,
+    days, high, low, start_t, end_t, act, t
+  FROM (SELECT g.symbol, g.i, g.t, g.h, g.l, g.c, g.top, g.bottom, r.days, r.high, r.low, r.hits, r.start_t, r.end_t,
+      CASE WHEN r.days = 0 THEN CASE WHEN g.h > g.top OR g.l < g.bottom THEN 'wait' ELSE 'fresh' END
+        WHEN r.days < {BOX['init']} THEN CASE WHEN r.hits > 1 THEN 'fresh' ELSE 'build' END
+        WHEN g.c > r.high AND g.h > (r.high + r.low) / 2 * 1.1e0 THEN 'up'
+        WHEN g.c < r.low AND g.l < (r.high + r.low) / 2 * 0.9e0 THEN 'fresh' ELSE 'grow' END AS act
+    FROM r JOIN g ON g.symbol = r.symbol AND g.i = r.i + 1))
+SELECT symbol, o_start AS start_t, o_end AS end_t, t AS break_t, round(o_high, 6) AS box_high, round(o_low, 6) AS box_low, o_days AS days
+FROM r WHERE act = 'up' AND o_days > {BOX['period']}"""
+
+
+@query("wn42_price_boxes", "SELECT * FROM price_boxes")
 def _(spark, d):
-    return rounded(M.boxes(V.bars_m(spark, d), K, "t", YEARS, mid_rows=6, band=0.9, init=3, period=4))
+    return rounded(M.boxes(V.bars_m(spark, d), K, "t", YEARS, **BOX))
 
 
 V.VIEW_SQL["ratchet"] = """

@@ -174,7 +174,10 @@ def rounded(df, n=6, skip=()):
         F.round(c, n).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
 
 
-@query("ag05_sweep_metrics", _sweep_sql().replace("FILTER (order", "FILTER (WHERE order"))
+SWEEPS = _sweep_sql().replace("FILTER (order", "FILTER (WHERE order")
+
+
+@query("ag05_sweep_metrics", SWEEPS)
 def _(spark, d):
     return rounded(O.sweep_metrics(V.deals(spark, d)))
 
@@ -390,7 +393,7 @@ def _(spark, d):
     return P.lookback_fixed(V.deals(spark, d).select("SecuCode", "TradingDay").distinct(), 3)
 
 
-@query("ag15_volume_profile", """
+PROFILES = """
 WITH pool AS (SELECT p.SecuCode, target, Price, sum(Volume) AS v, coalesce(sum(Volume) FILTER (WHERE p.TradingDay = target), 0) AS today
   FROM pairs_t p JOIN vap USING (SecuCode, TradingDay) GROUP BY 1, 2, 3),
 k AS (SELECT SecuCode, target, arg_max(Price, (v, -Price)) AS poc, max(v) AS pv, sum(v) AS tot, sum(today) AS tt FROM pool GROUP BY 1, 2),
@@ -413,7 +416,10 @@ SELECT SecuCode, target AS TradingDay, poc, val, vah, round((vah - val) / (poc +
   round((close - val) / (vah - val + 1e-8), 4) AS price_position_in_va, close > vah AS is_breakout_high,
   round(e, 6) AS profile_entropy_rolling, round(st, 6) AS avsi_sticky_ratio, round(mig, 6) AS poc_migration_vector,
   n AS actual_lookback_days
-FROM f JOIN en USING (SecuCode, target) JOIN dr USING (SecuCode, target) JOIN cl USING (SecuCode, target)""")
+FROM f JOIN en USING (SecuCode, target) JOIN dr USING (SecuCode, target) JOIN cl USING (SecuCode, target)"""
+
+
+@query("ag15_volume_profile", PROFILES)
 def _(spark, d):
     deals = V.deals(spark, d)
     profile = stage(P.volume_at_price(deals))

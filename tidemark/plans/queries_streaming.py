@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from tidemark.plans import views as V
+from tidemark.functions.series import running
 from tidemark.plans.catalog import query
+from tidemark.plans.queries_book import BOX
+from tidemark.plans.queries_flow import rounded
 from tidemark.session import work_dir
 from tidemark.streaming import jobs as J
 from tidemark.streaming import ordered as O
@@ -26,7 +29,7 @@ def seconds(df, *names):
     return df.withColumns({n: F.unix_seconds(n) for n in names})
 
 
-V.VIEW_SQL["watermark"] = "SELECT epoch_ms(max(ts)) - 600000 AS wm FROM events"
+V.VIEW_SQL["watermark"] = "SELECT epoch_us(max(ts)) // 1000 - 600000 AS wm FROM events"
 
 
 @query("st02_live_bars", """
@@ -75,6 +78,89 @@ def _(spark, d):
     return J.materialised(O.next_trade(rows, ["symbol"], DELAY), "append").select("symbol", "seq", "next_time")
 
 
+@query("st06_day_close", """
+WITH s AS (SELECT symbol, seq, ts_us, ts_us // 86400000000 AS day, CASE user_id % 5 WHEN 0 THEN -1 WHEN 1 THEN -11 ELSE user_id % 2 END AS side FROM ticks),
+n AS (SELECT symbol, seq, day, first_value(CASE WHEN side >= 0 THEN ts_us END IGNORE NULLS) OVER (PARTITION BY symbol, day ORDER BY ts_us, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_time FROM s)
+SELECT symbol, day, seq, coalesce(next_time, 153000000) AS next_time FROM n, watermark
+WHERE CASE WHEN next_time IS NULL THEN (day + 1) * 86400000 ELSE next_time // 1000 END <= wm""")
+def _(spark, d):
+    u = F.col("user_id")
+    rows = live_ticks(spark, d).select(
+        "symbol", F.expr("unix_micros(ts) div 86400000000").alias("day"), "ts", F.unix_millis("ts").alias("at_ms"),
+        F.unix_micros("ts").alias("clock"), "seq",
+        F.when(u % 5 == 0, -1).when(u % 5 == 1, -11).otherwise(u % 2).cast("bigint").alias("side"))
+    out = O.next_trade(rows, ["symbol", "day"], DELAY, lambda key: (int(key[1]) + 1) * 86_400_000)
+    return J.materialised(out, "append").select("symbol", "day", "seq", "next_time")
+
+
+@query("st01_live_timeline", """
+SELECT user_id, at_ms, seq, prio, kind, event_no FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, seq, prio) AS event_no
+  FROM (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, event_id % 3 AS prio, event_type AS kind FROM events)), watermark WHERE at_ms <= wm""")
+def _(spark, d):
+    rows = stream(spark, d).select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"),
+        F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("prio"), F.col("event_type").alias("kind"))
+    return J.materialised(O.timeline(rows, ["user_id"], DELAY), "append").select("user_id", "at_ms", "seq", "prio", "kind", "event_no")
+
+
+@query("st05_live_book", """
+SELECT SecuCode, TradingDay, seq, order_id, best_bid, best_ask FROM best_prices WHERE seq <= (SELECT max(seq) - 2 FROM book_events)""")
+def _(spark, d):
+    second = F.col("seq") + 1  # the first instant of the epoch is never ahead of a watermark
+    rows = V.book_events(spark, d, stream(spark, d, "orders")).select(
+        "SecuCode", "TradingDay", F.timestamp_seconds(second).alias("ts"), (second * 1000).alias("at_ms"), "seq", "kind",
+        "order_id", "side", "price", "qty")
+    out = J.materialised(O.live_book(rows, ["SecuCode", "TradingDay"], "2 seconds"), "append")
+    return out.select("SecuCode", "TradingDay", "seq", "order_id", "best_bid", "best_ask")
+
+
+@query("st07_live_boxes", """
+SELECT symbol, start_t, end_t, break_t, box_high, box_low, days FROM price_boxes WHERE break_t < (SELECT max(t) FROM bars_m)""")
+def _(spark, d):
+    path = work_dir(spark, "bars")
+    start = F.col("t").cast("bigint") * 86400
+    bars = V.bars_m(spark, d).select(
+        "symbol", F.timestamp_seconds(start).alias("ts"), (start * 1000).alias("at_ms"), F.col("t").cast("bigint").alias("bt"),
+        *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")])
+    bars.write.parquet(path)
+    rows = spark.readStream.schema(bars.schema).parquet(path)
+    out = J.materialised(O.live_boxes(rows, ["symbol"], delay="1 day", **BOX), "append")
+    return rounded(out.select("symbol", "start_t", "end_t", "break_t", "box_high", "box_low", "days"))
+
+
+V.VIEW_SQL["traded"] = """
+SELECT SecuCode, TradingDay, seq, order_id, qty, sum(qty) OVER (PARTITION BY SecuCode, TradingDay ORDER BY seq, order_id)::BIGINT AS total
+FROM book_events WHERE kind = 'trade'"""
+V.VIEW_SQL["checks"] = """
+SELECT SecuCode, TradingDay, order_id AS seq, CASE order_id % 3 WHEN 0 THEN seq - 1 WHEN 1 THEN seq - 5 ELSE seq END AS second,
+  (total + CASE WHEN order_id % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS volume FROM traded"""
+
+
+@query("st08_timed_checks", """
+WITH m AS (SELECT c.SecuCode, c.TradingDay, c.seq, c.second, min(CASE WHEN t.seq > c.second THEN t.seq WHEN t.seq IS NOT NULL THEN c.second END) AS hit
+  FROM checks c LEFT JOIN (SELECT SecuCode, TradingDay, seq, total, coalesce(lead(seq) OVER (PARTITION BY SecuCode, TradingDay ORDER BY seq, order_id), 9223372036854775807) AS until FROM traded) t
+  ON t.SecuCode = c.SecuCode AND t.TradingDay = c.TradingDay AND t.total = c.volume AND t.seq <= c.second + 2 AND (t.until > c.second OR t.seq > c.second) GROUP BY 1, 2, 3, 4),
+w AS (SELECT max(s) - 2 AS wm FROM (SELECT seq AS s FROM traded UNION ALL SELECT second FROM checks))
+SELECT SecuCode, TradingDay, seq, hit IS NOT NULL AS ok, hit * 1000 AS matched_ms FROM m, w
+WHERE CASE WHEN hit IS NULL THEN second + 3 ELSE hit END <= wm""")
+def _(spark, d):
+    """Each trade also leaves a snapshot of the day's volume: in time, early, five seconds early, or one share off."""
+    trades = V.book_events(spark, d).where("kind = 'trade'")
+    sums = running(trades, ["SecuCode", "TradingDay"], ["seq", "order_id"], "seq div 1000", {"total": ("sum", F.col("qty"))})
+    off = F.when(F.col("order_id") % 7 == 0, 1).otherwise(0)
+    early = F.when(F.col("order_id") % 3 == 0, 1).when(F.col("order_id") % 3 == 1, 5).otherwise(0)
+    day = ["SecuCode", "TradingDay"]
+    feed = trades.select(*day, F.col("seq").alias("second"), F.lit("trade").alias("kind"), F.lit(0).cast("bigint").alias("prio"),
+                         F.col("order_id").alias("seq"), F.col("qty").alias("volume")).unionByName(
+        sums.select(*day, (F.col("seq") - early).alias("second"), F.lit("check").alias("kind"), F.lit(1).cast("bigint").alias("prio"),
+                    F.col("order_id").alias("seq"), (F.col("total") + off).alias("volume")))
+    feed = feed.select(*day, F.timestamp_seconds("second").alias("ts"), (F.col("second") * 1000).alias("at_ms"), "kind", "prio", "seq", "volume")
+    path = work_dir(spark, "checks")
+    feed.write.parquet(path)
+    out = O.timed_checks(spark.readStream.schema(feed.schema).parquet(path), day, 2000, "2 seconds")
+    return J.materialised(out, "append").select(*day, "seq", "ok", "matched_ms")
+
+
 @query("st08_without_replays", "SELECT event_id, user_id FROM events")
 def _(spark, d):
     both = stream(spark, d).unionByName(stream(spark, d)).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))

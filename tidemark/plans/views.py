@@ -133,13 +133,13 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def book_events(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Insert, trade and cancel events of a book per (SecuCode, TradingDay), ordered by ``seq``.
 
     Every order is inserted on one side; two thirds are later partly executed or cancelled.
     """
     key = F.col("o_orderkey")
-    base = table(spark, sf_dir, "orders").select(
+    base = (table(spark, sf_dir, "orders") if orders is None else orders).select(
         (F.col("o_custkey") % 10).alias("SecuCode"),
         F.floor(key / 3000).cast("bigint").alias("TradingDay"),
         key.alias("order_id"),

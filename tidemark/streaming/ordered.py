@@ -1,7 +1,8 @@
 """Event-time ordered state machines on ``transformWithStateInPandas``.
 
 Rows wait in state until the watermark has passed them, then go through a step function in order - the same
-step functions as the batch jobs. State is one entry per key plus the rows inside the watermark.
+step functions as the batch jobs. State is one entry per key plus the rows inside the watermark. What must end without
+a further row (the close of a day, a time-out) is a ``late`` function, called when the watermark passes its time.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from tidemark.operators.book import _replay_block
 from tidemark.operators.machines import Box, advance_box
 
 Step = Callable[[tuple, pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
+#: Key, watermark and state to rows due, new state, and the next time to be called at (None: only after further rows).
+Late = Callable[[tuple, int, str | None], tuple[pd.DataFrame, str | None, int | None]]
 
 
 class Ordered(StatefulProcessor):
     """Buffer rows (``columns`` with ``at_ms``), release them up to the watermark, run ``step``."""
 
-    def __init__(self, buffer: StructType, keys: list[str], order: list[str], step: Step):
-        self.schema, self.keys, self.order, self.step = buffer, keys, order, step
+    def __init__(self, buffer: StructType, keys: list[str], order: list[str], step: Step, late: Late | None = None):
+        self.schema, self.keys, self.order, self.step, self.late = buffer, keys, order, step, late
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -51,12 +54,21 @@ class Ordered(StatefulProcessor):
         if len(rest):
             self.waiting.put([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rest.itertuples(index=False)])
             self.handle.registerTimer(int(rest["at_ms"].min()))
-        if not len(ready):
-            return
-        before = self.state.get()[0] if self.state.exists() else None
-        out, after = self.step(key, ready.sort_values(self.order, kind="stable"), before)
-        if after is not None:
-            self.state.update((after,))
+        state = self.state.get()[0] if self.state.exists() else None
+        if len(ready):
+            out, state = self.step(key, ready.sort_values(self.order, kind="stable"), state)
+            yield from self._keyed(key, out)
+        if self.late:
+            out, state, due = self.late(key, mark, state)
+            yield from self._keyed(key, out)
+            if due is not None:
+                self.handle.registerTimer(int(due))
+        if state is not None:
+            self.state.update((state,))
+        elif self.state.exists():
+            self.state.clear()
+
+    def _keyed(self, key: tuple, out: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(out):
             out = out.reset_index(drop=True)
             for name, value in reversed(list(zip(self.keys, key))):
@@ -67,13 +79,14 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def ordered(stream: DataFrame, keys: list[str], order: list[str], step: Step, output: str, delay: str) -> DataFrame:
+def ordered(stream: DataFrame, keys: list[str], order: list[str], step: Step, output: str, delay: str,
+            late: Late | None = None) -> DataFrame:
     """Attach ``step`` to a stream with ``ts`` and ``at_ms``."""
     fields = [f for f in stream.schema.fields if f.name not in (*keys, "ts")]
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     full = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + output
     return stream.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Ordered(StructType(fields), keys, order, step), outputStructType=full,
+        statefulProcessor=Ordered(StructType(fields), keys, order, step, late), outputStructType=full,
         outputMode="append", timeMode="eventTime")
 
 
@@ -90,8 +103,19 @@ def timeline(stream: DataFrame, keys: list[str], delay: str = "10 seconds") -> D
                    "at_ms bigint, seq bigint, prio bigint, kind string, event_no bigint", delay)
 
 
-def next_trade(stream: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Each row with the time of the next non-cancel row; rows wait in state until it arrives."""
+def next_trade(stream: DataFrame, keys: list[str], delay: str = "10 minutes", close_of: Callable[[tuple], int] | None = None,
+               default: int = 153_000_000) -> DataFrame:
+    """Each row with the time of the next non-cancel row; rows wait in state until it arrives.
+
+    With ``close_of`` (key to the end of its day, in milliseconds) rows that still wait at the close get ``default``,
+    and the key's state ends; the day must then be part of the key.
+    """
+
+    def late(key, mark, before):
+        if before is None or mark < close_of(key):
+            return pd.DataFrame(), before, None if before is None else close_of(key)
+        waiting = json.loads(before)
+        return pd.DataFrame({"seq": waiting, "next_time": [default] * len(waiting)}), None, None
 
     def step(key, rows, before):
         pending, done = json.loads(before) if before else [], []
@@ -102,7 +126,7 @@ def next_trade(stream: DataFrame, keys: list[str], delay: str = "10 minutes") ->
             pending.append(int(seq))
         return pd.DataFrame(done, columns=["seq", "next_time"]), json.dumps(pending)
 
-    return ordered(stream, keys, ["clock", "seq"], step, "seq bigint, next_time bigint", delay)
+    return ordered(stream, keys, ["clock", "seq"], step, "seq bigint, next_time bigint", delay, close_of and late)
 
 
 def live_boxes(stream: DataFrame, keys: list[str], mid_rows: int, band: float, init: int, period: int,
@@ -156,5 +180,45 @@ def live_book(stream: DataFrame, keys: list[str], delay: str = "2 seconds") -> D
         out["ok"] = (out["best_bid"] == expected).where(out["kind"] == "check", None).astype(object)
         return out[["seq", "kind", "order_id", "best_bid", "best_ask", "ok"]], json.dumps(live)
 
-    return ordered(stream, keys, ["at_ms", "seq"], step,
+    return ordered(stream, keys, ["at_ms", "seq", "order_id"], step,
                    "seq bigint, kind string, order_id bigint, best_bid double, best_ask double, ok boolean", delay)
+
+
+def timed_checks(stream: DataFrame, keys: list[str], wait_ms: int = 2000, delay: str = "2 seconds") -> DataFrame:
+    """Snapshots against traded volume in time.
+
+    A ``check`` row passes when the volume traded so far equals its ``volume`` at its own time or at a trade not more
+    than ``wait_ms`` later; when the watermark passes that limit it fails, whether or not another row comes. Checks of
+    one key may be many and of equal volume; rows of one time are taken by ``prio``, so trades with a lower one count.
+    """
+
+    def result(done: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(done, columns=["seq", "ok", "matched_ms"]).astype({"seq": "int64", "ok": bool, "matched_ms": "Int64"})
+
+    def step(key, rows, before):
+        total, open_checks = json.loads(before) if before else (0, [])
+        done = []
+        for kind, at, seq, volume in zip(rows["kind"], rows["at_ms"], rows["seq"], rows["volume"]):
+            kept = []
+            if kind == "check":
+                open_checks.append((int(seq), int(at), int(volume)))
+            else:
+                done += [(s, False, None) for s, t, _ in open_checks if t + wait_ms < at]
+                open_checks = [c for c in open_checks if c[1] + wait_ms >= at]
+                total += int(volume)
+            for check in open_checks:
+                if check[2] == total:
+                    done.append((check[0], True, int(at)))
+                else:
+                    kept.append(check)
+            open_checks = kept
+        return result(done), json.dumps((total, open_checks))
+
+    def late(key, mark, before):
+        total, open_checks = json.loads(before) if before else (0, [])
+        over = [(s, False, None) for s, t, _ in open_checks if t + wait_ms < mark]
+        open_checks = [c for c in open_checks if c[1] + wait_ms >= mark]
+        due = min((t for _, t, _ in open_checks), default=None)
+        return result(over), json.dumps((total, open_checks)), None if due is None else due + wait_ms + 1
+
+    return ordered(stream, keys, ["at_ms", "prio", "seq"], step, "seq bigint, ok boolean, matched_ms bigint", delay, late)
