@@ -232,3 +232,26 @@ def test_turnover_is_at_the_trade_price(spark):
     df = spark.createDataFrame(events, "SecuCode int, TradingDay int, seq long, kind string, order_id long, side string, price long, qty long")
     last = K.book_totals(df).orderBy("seq", "order_id").collect()[-1]
     assert (last["matched"], last["matched_value"]) == (20, 200)
+
+
+def test_raw_tables_become_book_events(spark):
+    orders = spark.createDataFrame([
+        (1, 7, 1, 101, 93000000, 0, 10, 0, 50), (1, 7, 2, 102, 93001000, 1, 0, 11, 20), (1, 7, 3, 103, 93002000, 13, 0, 0, 5),
+        (1, 7, 1, 106, 93005000, -1, 0, 0, 30), (1, 7, 9, 107, 93006000, 99, 1, 1, 1),
+        (2, 7, 4, 0, 93000000, 12, 8, 0, 6), (2, 7, 4, 0, 93009000, -11, 8, 0, 6)],
+        "SecuCode long, TradingDay long, OrderID long, BizIndex long, OrderTime long, OrderType long, Price long, LastPrice long, Volume long")
+    deals = spark.createDataFrame([
+        (1, 7, 104, 93003000, 1, 3, 10, 5, 1), (1, 7, 105, 93004000, 1, 0, 10, 5, -1), (2, 7, 200, 93008000, 0, 4, 0, 6, -11)],
+        "SecuCode long, TradingDay long, DealID long, DealTime long, BuyID long, SellID long, Price long, Volume long, Side long")
+    got = events_of(spark, orders, deals)
+    assert got == [
+        (1, "insert", 1, "B", 10, 50, 101), (1, "insert", 2, "B", 11, 20, 102), (1, "insert", 3, "S", None, 5, 103),
+        (1, "trade", 1, "B", 10, 5, 104), (1, "trade", 3, "S", 10, 5, 104), (1, "cancel", 1, "B", 0, 30, 106),
+        (2, "insert", 4, "S", 8, 6, 0), (2, "cancel", 4, "S", 0, 6, 200)]
+
+
+def events_of(spark, orders, deals):
+    from tidemark.operators.book import events_from
+
+    rows = events_from(orders, deals).orderBy("SecuCode", "seq", "order_id").collect()
+    return [(r.SecuCode, r.kind, r.order_id, r.side, r.price, r.qty, r.source_id) for r in rows]

@@ -110,6 +110,35 @@ def _(spark, d):
     return B.locate_cancels(raw_cancels(spark, d), V.book_events(spark, d))
 
 
+def raw_tables(spark, d):
+    """The same orders, trades and cancels as raw order and deal tables.
+
+    Days of even codes carry their own sequence and cancel by order rows, those of odd codes cancel by deal rows.
+    """
+    log, oid, at = V.book_events(spark, d), F.col("order_id"), F.col("seq")
+    buys, own = F.col("side") == "B", F.col("SecuCode") % 2 == 0
+    number = at * 1000 + oid - F.expr("seq div 4") + 300  # unique, and in the order of the events
+    code = F.when(F.col("kind") == "cancel", F.when(buys, -1).otherwise(-11)).otherwise(oid % 3 + F.when(buys, 0).otherwise(10)).cast("bigint")
+    market = (F.col("kind") == "insert") & (oid % 3 == 1)
+    orders = log.where((F.col("kind") == "insert") | ((F.col("kind") == "cancel") & own)).select(
+        *B.DAY, (oid + 1).alias("OrderID"), F.when(own, number).otherwise(0).alias("BizIndex"), at.alias("OrderTime"),
+        code.alias("OrderType"), F.when(market, 0).otherwise(F.col("price")).alias("Price"),
+        F.when(market, F.col("price")).otherwise(0).alias("LastPrice"), F.col("qty").alias("Volume"))
+    side = F.when(F.col("kind") == "cancel", F.when(buys, -1).otherwise(-11)).otherwise(oid % 2).cast("bigint")
+    deals = log.where((F.col("kind") == "trade") | ((F.col("kind") == "cancel") & ~own)).select(
+        *B.DAY, number.alias("DealID"), at.alias("DealTime"), F.when(buys, oid + 1).otherwise(0).alias("BuyID"),
+        F.when(buys, 0).otherwise(oid + 1).alias("SellID"), F.col("price").alias("Price"), F.col("qty").alias("Volume"), side.alias("Side"))
+    return orders, deals
+
+
+@query("jn02_raw_cancel_locations", """
+SELECT SecuCode, TradingDay, DealID * 1000 + OrderID - DealID // 4 + 300 AS DealID, Side, OrderID + 1 AS OrderID, Volume, CancelPrice, OBLevel, QueuePos FROM located""")
+def _(spark, d):
+    orders, deals = raw_tables(spark, d)
+    cancels = B.cancel_table(orders, deals).drop("DealTime")
+    return B.locate_cancels(cancels, stage(B.events_from(orders, deals)))
+
+
 @query("ag11_large_cancels", """
 SELECT SecuCode, TradingDay, """ + ", ".join(
     f"coalesce(sum(Volume) FILTER (WHERE Side = {k} AND {w}), 0)::BIGINT AS {s}_cancel_{n}"
