@@ -169,6 +169,38 @@ def test_edited_copies_align(spark):
     assert decontaminate.alignment(item, passage) == max(map(max, row)) / 120
 
 
+def _aligned(item, text):
+    """Smith-Waterman of the item with the whole text, over the item's own score."""
+    above, best = [0] * (len(text) + 1), 0
+    for x in item:
+        line = [0]
+        for j, y in enumerate(text, 1):
+            line.append(max(0, above[j - 1] + (2 if x == y else -1), above[j] - 1, line[-1] - 1))
+        above, best = line, max(best, *line)
+    return best / (2 * len(item))
+
+
+@pytest.mark.parametrize("every", [4, 5])
+@pytest.mark.parametrize("copies", [1, 40])
+def test_edited_copies_are_found_as_by_smith_waterman(spark, every, copies):
+    rng = random.Random(every)
+    items = {k: [f"w{rng.randrange(400)}" for _ in range(n)] for k, n in enumerate((40, 25, 3, 2, 60))}
+    texts = {}
+    for k, words in items.items():
+        edited = [w if i % every else f"x{i}" for i, w in enumerate(words)]
+        half = [w for i, w in enumerate(words) if i % 9] if len(words) > 9 else words
+        wide = words[:len(words) // 2] + ["far"] * (len(words) // 3) + words[len(words) // 2:]
+        for c, body in enumerate([edited] * copies + [half, wide, words[:12], words[5:20]]):
+            texts[1000 * k + c] = [f"w{rng.randrange(400)}" for _ in range(30)] + body + [f"y{c}"] * 4
+    want = {(d, k): _aligned(w, t) for d, t in texts.items() for k, w in items.items()}
+    rows = spark.createDataFrame([(d, " ".join(t), None) for d, t in texts.items()], SCHEMA)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(rows, bench).collect()}
+    runs = lambda d, k: any(tuple(items[k][i:i + 3]) in set(zip(texts[d], texts[d][1:], texts[d][2:], strict=False)) for i in range(len(items[k]) - 2))
+    assert got == {(d, k): s for (d, k), s in want.items() if s >= 0.5 and (len(items[k]) < 3 and s == 1 or runs(d, k))}
+    assert all((c, 0) in got for c in range(copies))
+
+
 @pytest.mark.parametrize("most", [substrings.MOST, 1])
 def test_repeated_strings(spark, docs, most):
     rows = docs.select("doc_id", "text").limit(90).union(spark.createDataFrame([(9001, "ab" * 300), (9002, None), (9003, "x" * 199), (9004, "x" * 199)], "doc_id bigint, text string"))

@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find the passages of documents that may hold a test item, and a
+"""Benchmark decontamination: n-gram seeds find the passages of documents that may hold a test item, and a
 Smith-Waterman alignment of words scores each passage.
 
-Seeds are runs of three words of an item (of all its words, if it has fewer). Their document counts come from all
-documents; each item is looked for by the rarer half of its seeds, ties included, so an item that leaked a thousand
-times is still found. A passage scores its best local alignment over that of the item with itself.
+Seeds are runs of three words of an item (of all its words, if it has fewer). Every seed of an item is looked for, common
+or not, and the alignment decides, so neither the number of copies nor the edits of other copies matter. A passage
+reaches as far around its seeds as an alignment at the threshold can have gaps, and is aligned unless it holds too few of
+the item's words to reach the threshold. It scores its best local alignment over that of the item with itself. An
+edited copy that keeps no three words of the item in a row has no seed and is not found.
 
 The items travel with the job. Their bytes are counted first: beyond BLOCK_BYTES they are taken in as many blocks as
 needed, one pass over the documents each, so nothing grows without bound and no item is left out.
@@ -63,23 +65,6 @@ class Items:
         self.ids, self.tokens, self.keys, self.items, self.places, self.sizes = plain
         return self
 
-    def rare(self, counts: dict[int, int]) -> Items:
-        """Without the commoner half of each item's seeds; counts: documents by seed."""
-        seen = np.array([counts.get(int(k), 0) for k in self.keys.view(np.int64)])
-        keep = np.zeros(len(seen), bool)
-        for item in range(len(self.ids)):
-            own = np.flatnonzero(self.items == item) if len(self.ids) < 64 else self._own(item)
-            if len(own):
-                keep[own] = seen[own] <= np.sort(seen[own])[len(own) // 2]
-        self.keys, self.items, self.places = self.keys[keep], self.items[keep], self.places[keep]
-        return self
-
-    def _own(self, item: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.items, kind="stable")
-            self._from = np.searchsorted(self.items[self._order], np.arange(len(self.ids) + 1))
-        return self._order[self._from[item]:self._from[item + 1]]
-
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(seed, token) of every seed in the words; a seed of several items counts once for each."""
         seeds, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -106,49 +91,42 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
-def passages(items: Items, words: Words) -> list[tuple[int, int, float]]:
-    """(row, item, best score) wherever a seed of the item stands in the row."""
+def passages(items: Items, words: Words, threshold: float = LEAK) -> list[tuple[int, int, float]]:
+    """(row, item, best score), where a seed of the item stands in the row and the score reaches the threshold."""
     seeds, tokens = items.hits(words)
+    if not len(seeds):
+        return []
     item, row = items.items[seeds], words.row[tokens]
     shift = tokens - items.places[seeds]
     order = np.lexsort((shift, item, row))
     row, item, shift = row[order], item[order], shift[order]
+    size = np.array([len(t) for t in items.tokens])
+    # each gap costs the alignment, so more gaps than these can't reach the threshold
+    slack = np.maximum(4, np.ceil(MATCH * size * (1 - threshold) / -GAP).astype(np.int64))[item]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > slack[1:])
+    first = np.flatnonzero(first)
+    last = np.append(first[1:], len(row)) - 1
+    row, item, slack = row[first], item[first], slack[first]
+    low = np.maximum(words.first[row], shift[first] - slack)
+    high = np.minimum(words.first[row + 1], shift[last] + size[item] + slack)
     out: dict[tuple[int, int], float] = {}
-    k = 0
-    while k < len(row):
-        tokens_of = items.tokens[item[k]]
-        slack = max(4, len(tokens_of) // 4)
-        last = k
-        while last + 1 < len(row) and row[last + 1] == row[k] and item[last + 1] == item[k] and shift[last + 1] - shift[last] <= slack:
-            last += 1
-        key = (int(row[k]), int(item[k]))
-        if out.get(key, 0.0) < 1.0:
-            first, end = words.first[row[k]], words.first[row[k] + 1]
-            exact = words.hash[max(shift[k], first):min(shift[k] + len(tokens_of), end)]
-            if np.array_equal(exact, tokens_of):
-                out[key] = 1.0
-            else:
-                passage = words.hash[max(first, shift[k] - slack):min(end, shift[last] + len(tokens_of) + slack)]
-                out[key] = max(out.get(key, 0.0), alignment(tokens_of, passage))
-        k = last + 1
+    known: dict[int, np.ndarray] = {}
+    for r, i, a, b in zip(row.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
+        own, best = items.tokens[i], out.get((r, i), 0.0)
+        if best >= 1.0:
+            continue
+        if i not in known:
+            known[i] = np.sort(own)
+        passage = words.hash[a:b]
+        if found(known[i], passage)[1].sum() < max(threshold, best) * len(own):  # every match needs a word of the item
+            continue
+        got = alignment(own, passage)
+        if got >= threshold:
+            out[r, i] = max(best, got)
     return [(r, i, s) for (r, i), s in out.items()]
 
 
-def _counts(shared, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    items = Items.of(shared.value)
-    data, at = utf8(column)
-    total = np.zeros(len(items.keys), np.int64)
-    for a, b in slices(at):
-        words = Words(data, at[a:b + 1])
-        seeds, tokens = items.hits(words)
-        pair = np.unique(words.row[tokens].astype(np.int64) * max(len(items.keys), 1) + seeds)
-        total += np.bincount(pair % max(len(items.keys), 1), minlength=len(items.keys))[:len(items.keys)]
-    once = np.ones(len(total), bool)  # a seed of several items stands several times in the table
-    once[1:] = items.keys[1:] != items.keys[:-1]
-    some = np.flatnonzero((total > 0) & once)
-    return items.keys[some].view(np.int64), total[some]
-
-
 def _blocks(spark: SparkSession, benchmark: DataFrame, most: int) -> Iterator[Items]:
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -161,19 +139,9 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, most: int) -> Iterator[It
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, most: int) -> Iterator:
-    """For each block of items, the broadcast items with their rare seeds."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    for items in _blocks(spark, benchmark, most):
-        shared = spark.sparkContext.broadcast(items.plain())
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                seeds, n = _counts(shared, batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(n)], ["seed", "n"])
-
-        counted = texts.mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        yield spark.sparkContext.broadcast(items.rare({r["seed"]: r["n"] for r in counted}).plain())
+    """Each block of items as a broadcast."""
+    for items in _blocks(docs.sparkSession, benchmark, most):
+        yield docs.sparkSession.sparkContext.broadcast(items.plain())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK, most: int = BLOCK_BYTES) -> DataFrame:
@@ -185,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK, most:
             items = Items.of(shared.value)
             for batch in batches:
                 data, at = utf8(batch.column("text"))
-                got = [(a + r, i, s) for a, b in slices(at) for r, i, s in passages(items, Words(data, at[a:b + 1])) if s >= threshold]
+                got = [(a + r, i, s) for a, b in slices(at) for r, i, s in passages(items, Words(data, at[a:b + 1]), threshold)]
                 doc = batch.column("doc_id").take(pa.array([g[0] for g in got], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [doc, pa.array([items.ids[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "item_id", "score"])
@@ -204,8 +172,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK, m
             data, at = utf8(column)
             clean = np.ones(len(at) - 1, bool)
             for a, b in slices(at):
-                for r, _, s in passages(Items.of(shared.value), Words(data, at[a:b + 1])):
-                    clean[a + r] &= s < threshold
+                for r, _, _ in passages(Items.of(shared.value), Words(data, at[a:b + 1]), threshold):
+                    clean[a + r] = False
             return pa.array(clean)
 
         mark = free_name(docs, "clean")
