@@ -9,19 +9,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.fields import order_key
-from tidemark.session import work_dir
+from tidemark.session import ROCKSDB, STATE_STORE_CONF, work_dir
 from tidemark.sinks.tables import newer_rows
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append",
                   checkpoint: str | None = None) -> None:
-    """Process everything that has arrived, batch by batch, and stop."""
+    """Process everything that has arrived, batch by batch, and stop.
+
+    State with several variables and timers needs the RocksDB store. A query takes its settings from the session when it starts,
+    so the store is set for the start alone and the session keeps what its owner chose.
+    """
     spark = stream.sparkSession
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode).trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or work_dir(spark, "stream-checkpoint"))
-        .foreachBatch(write).start()
+        .option("checkpointLocation", checkpoint or work_dir(spark, "stream-checkpoint")).foreachBatch(write)
     )
+    own = spark.conf.get(STATE_STORE_CONF, None)
+    spark.conf.set(STATE_STORE_CONF, ROCKSDB)
+    try:
+        query = writer.start()
+    finally:
+        if own is None:
+            spark.conf.unset(STATE_STORE_CONF)
+        else:
+            spark.conf.set(STATE_STORE_CONF, own)
     query.awaitTermination()
 
 
