@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 21
@@ -231,3 +231,54 @@ def with_column(docs: DataFrame, name: str, kind: str, fn: Callable[[pa.Array],
 
 def free_name(docs: DataFrame, stem: str) -> str:
     return next(n for i in range(len(docs.columns) + 1) if (n := f"_{stem}{i}") not in docs.columns)
+
+
+def _counted(key: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Number the rows of each key in a sorted partition, from 1; lead says that the partition began within the row's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        seen = 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for name in key:
+                column = batch.column(batch.schema.get_field_index(name))
+                same = pc.equal(column[1:], column[:-1])
+                both = pc.and_(pc.is_null(column[1:]), pc.is_null(column[:-1]))
+                new[1:] |= ~np.asarray(pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False), bool)
+            ends = [tuple(batch.column(batch.schema.get_field_index(k))[i].as_py() for k in key) for i in (0, n - 1)]
+            first = ends[0] if first is None else first
+            new[0] = last != ends[0]
+            run_of = np.cumsum(new)
+            begins = np.flatnonzero(new)
+            at = np.arange(n)
+            local = np.where(run_of == 0, seen + at + 1, at - np.append(begins, 0)[np.maximum(run_of, 1) - 1] + 1)
+            lead = (run_of - new[0] == 0) & (ends[0] == first)
+            seen, last = int(local[-1]), ends[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local), pa.array(lead)], [*batch.schema.names, "_local", "_lead"])
+
+    return run
+
+
+def positions(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """df and a column that numbers the rows of each key from 1 by order (nulls first).
+
+    Rows are range-partitioned by key and order, so a key of any size is spread over many tasks. Within a partition they are
+    numbered as they stream by; only the key that a partition begins with can have rows in earlier ones, so one row per
+    partition carries the offsets. df must be settled, and order must tell rows apart (a stored row number at the end).
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort = [F.col(c).asc_nulls_first() for c in [*key, *order]]
+    dealt = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    local = dealt.mapInArrow(_counted(key), f"{fields}, _local bigint, _lead boolean").withColumn("_part", F.spark_partition_id())
+    local = settle(local, "numbered")
+    tops = local.groupBy("_part", *key).agg(F.max("_local").alias("_n"), F.max("_lead").alias("_lead"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.withColumn("_before", F.sum("_n").over(before)).where("_lead and _before > 0").select("_part", "_before")
+    out = local.join(F.broadcast(carry), "_part", "left")  # one row per partition at most
+    return out.select(*df.columns, (F.col("_local") + F.when(F.col("_lead"), F.coalesce("_before", F.lit(0))).otherwise(0)).alias(name))
