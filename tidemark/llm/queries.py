@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprint, language, licenses, packing, quality, secrets, sharding, simhash, substrings, warc
+from tidemark.llm import decontaminate, fingerprint, language, licenses, packing, quality, secrets, sharding, simhash, substrings, trie, warc
 from tidemark.llm.shared import documents
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
@@ -65,8 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_sharding": op12_sharding,
 }
 
-#: None of them has a SQL form (hashes, models, alignments, archives, token ids); tests/llm compares each with a plain version.
-ORACLE: dict[str, str] = {}
+#: The others have no SQL form (hashes, models, alignments, archives, token ids, heaps); tests/llm compares each with a plain version.
+ORACLE: dict[str, str] = {"op11_conversation_trie": trie.SQL}
