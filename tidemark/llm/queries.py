@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprint, language, licenses, packing, quality, secrets, sharding, simhash, substrings, trie, warc
+from tidemark.llm import decontaminate, fingerprint, language, licenses, negatives, packing, quality, secrets, sharding, simhash, substrings, trie, warc
 from tidemark.llm.shared import documents
 
 
@@ -58,6 +58,10 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_sharding": op12_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: The others have no SQL form (hashes, models, alignments, archives, token ids, heaps); tests/llm compares each with a plain version.
