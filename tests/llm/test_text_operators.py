@@ -239,42 +239,6 @@ def test_simhash(docs, texts, tile):
     assert got == {d: (f"{int(f):016x}", order[r]) for d, f, r in zip(order, prints, root, strict=True)}
 
 
-def test_simhash_keeps_one_of_each_group(docs, odd):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(groups)
-    got = simhash.keep_one(odd)
-    assert got.columns == odd.columns and Counter(r["doc_id"] for r in got.collect())[5] == 1
-
-
-@pytest.mark.parametrize("tile", [simhash.TILE, 7])
-def test_near_copies_by_jaccard_of_five_words(spark, tile):
-    rng = random.Random(8)
-    rows, n = [], 0
-    for size in (3, 5, 9, 40, 40, 200, 600):
-        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
-        for edits in (0, 0, 1, 1, 2, 3, 5, 9, 15):
-            text = list(base)
-            for k in range(edits if size > 9 else min(edits, 1)):
-                text[rng.randrange(size)] = f"e{n}x{k}"
-            rows.append((n, " ".join(text) if n % 3 else "  ".join(text).upper(), "en"))
-            n += 1
-        rows.append((n, " ".join(base[:-1]), "en"))
-        n += 1
-    rows += [(n, "", "en"), (n + 1, None, "en"), (n + 2, " ", "en")]
-    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))) if (w := (t or "").lower().split()) else frozenset() for _, t, _ in rows]
-    root = list(range(len(rows)))
-    like = [[not a and not b or len(a & b) >= 0.8 * len(a | b) > 0 for b in sets] for a in sets]
-    for _ in rows:
-        root = [min(root[j] for j in range(len(rows)) if near[j]) for near in like]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA), tile).collect()}
-    assert got == dict(enumerate(root))
-    kept = {r["doc_id"] for r in simhash.keep_one_alike(spark.createDataFrame(rows, SCHEMA), tile).collect()}
-    assert kept == set(root)
-    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()} == kept
-
-
 def test_components_of_a_long_chain(spark):
     ids = random.Random(1).sample(range(1000), 60)
     edges = spark.createDataFrame([*zip(ids[:39], ids[1:40], strict=True), *[(ids[40], x) for x in ids[41:]]], "a bigint, b bigint")

@@ -7,13 +7,6 @@ and bit counts, and only a spanning forest of the links found leaves it, never a
 Defined results: null and empty texts have no words and fingerprint zero, which links like any other. Equal texts share a
 fingerprint, so a group of copies of any size is one fingerprint. Repeated rows come back once per row. A null key
 belongs to its component; it names the component only if no other key does. An empty table gives an empty result.
-
-near_copies, for the stage of the pipeline, has a rule of its own: texts are linked if the sets of their five-word shingles have a
-Jaccard similarity of LIKENESS or more. Fingerprints of 128 bits only propose pairs, within a radius well beyond what that
-similarity gives; the sets of every proposed pair are compared. Equal sets are one node, so copies make no pairs. A first
-round compares each node with the least and the nearest ones it is proposed with and joins what is alike; a second round
-compares all proposed pairs that the first left apart. Texts without words are one group; those of fewer than five words
-count as one shingle.
 """
 
 from __future__ import annotations
@@ -26,16 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SOLID, Words, components, keyed_text, mixed, settle, slices, unite, utf8
+from tidemark.llm.shared import components, keyed_text, settle, slices, unite, utf8
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a tile; one comparison holds two tiles and a block of 512 rows of their matrix.
 TILE = 16384
 _BLOCK = 512
+#: Partitions for pairs of tiles.
+MOST_TASKS = 4000
 _PAIR = ["k", "p", "k2", "p2"]
-#: near_copies: words of a shingle, least similarity, and bits of 128 by which the fingerprints of a proposed pair may differ.
-NEAR_WORDS, LIKENESS, NEAR_RADIUS = 5, 0.8, 36
-_OTHER_HALF = np.uint64(0x5851F42D4C957F2D)
 
 
 def fingerprint(text: bytes, n: int = WORDS) -> int:
@@ -112,7 +104,9 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     pairs = rows.withColumn("p2", F.explode(F.expr("sequence(if(k = k2, p, 0), n2 - 1)"))).select(*_PAIR)
     sides = pairs.select(*_PAIR, F.lit(0).alias("side"), F.col("k").alias("ones"), F.col("p").alias("part")).unionByName(
         pairs.where("k <> k2 or p <> p2").select(*_PAIR, F.lit(1).alias("side"), F.col("k2").alias("ones"), F.col("p2").alias("part")))
-    work = sides.join(packed, ["ones", "part"]).select(*_PAIR, "side", "prints")
+    # the bytes of a pair say nothing of its work, so the pairs, not their size, decide over how many partitions they go
+    n = sum(n * (n + 1) // 2 if k == k2 else n * n2 for k, n, k2, n2 in near)
+    work = sides.join(packed, ["ones", "part"]).select(*_PAIR, "side", "prints").repartition(max(1, min(n, MOST_TASKS)), *_PAIR)
     return work.groupBy(*_PAIR).applyInArrow(_compare, "a bigint, b bigint")
 
 
@@ -122,204 +116,12 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
                      "prints": pa.array([prints.tobytes()], pa.binary())})
 
 
-def _classes(docs: DataFrame, tile: int) -> DataFrame:
-    """doc_id, text_hash, fp, root, component_id of every row; root is the least fingerprint of the component."""
+def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row."""
     rows = settle(fingerprints(docs), "prints")
     distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = settle(components(links(distinct.select("fp"), tile)), "roots")
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
-
-
-def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row."""
-    return _classes(docs, tile).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of all rows, sorted within each row, and the offsets of the rows."""
-    words = Words(data, at, SOLID)
-    size = np.diff(words.first)
-    hashes, rows = [], []
-    for n in range(1, NEAR_WORDS + 1):
-        own, first = words.grams(n)
-        row = words.row[first]
-        fit = size[row] >= n if n == NEAR_WORDS else size[row] == n
-        hashes.append(own[fit])
-        rows.append(row[fit])
-    hash_, row = np.concatenate(hashes), np.concatenate(rows)
-    order = np.lexsort((hash_, row))
-    hash_, row = hash_[order], row[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (hash_[1:] != hash_[:-1])
-    return hash_[new], np.searchsorted(row[new], np.arange(len(at)))
-
-
-def wide_prints(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """(rows, 2): 128 bits of each row, set if set in over half of its shingles."""
-    size = np.diff(cut)
-    total = np.zeros((len(size), 128), np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    for k in range(0, len(hashes), 1 << 16):
-        part, own = hashes[k:k + (1 << 16)], row[k:k + (1 << 16)]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        both = np.stack([part, mixed(part ^ _OTHER_HALF)], axis=1).astype(">u8")
-        bits = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1)
-        total[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return np.packbits(total * 2 > size[:, None], axis=1).view(">u8").astype(np.uint64)
-
-
-def _nodes(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
-    return np.array([xxhash.xxh64_intdigest(raw[8 * a:8 * b], SEED) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-
-
-def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = utf8(batch.column("text"))
-        nodes, sizes, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
-        for a, b in slices(at):
-            hashes, cut = shingle_sets(data, at[a:b + 1])
-            nodes.append(_nodes(hashes, cut))
-            sizes.append(np.diff(cut))
-            prints.append(wide_prints(hashes, cut))
-        both = np.concatenate(prints).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-            ["doc_id", "text_hash", "node", "size", "f1", "f2"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = utf8(batch.column("text"))
-        out: list[bytes] = []
-        for a, b in slices(at):
-            hashes, cut = shingle_sets(data, at[a:b + 1])
-            out += [hashes[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], ["node", "shingles"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are similar enough."""
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            good.append(both >= LIKENESS * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-_NODE = {"node": np.int64, "class": np.int64, "f1": np.uint64, "f2": np.uint64, "size": np.int64}
-
-
-def _pack_nodes(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("node")
-    return pa.table({"band": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()),
-                     **{c: pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in _NODE}})
-
-
-def _propose(every: bool):
-    """Pairs of nodes within the radius, of two tiles or one: every pair of different classes, or the least and the nearest of each node."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        sides = table.column("side").to_pylist()
-        tiles = [{c: np.frombuffer(table.column(c)[sides.index(k)].as_buffer(), t) for c, t in _NODE.items()} for k in sorted(sides)]
-        left, right = tiles[0], tiles[-1]
-        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k in range(0, len(left["node"]), _BLOCK):
-            end = k + _BLOCK
-            far = np.bitwise_count(left["f1"][k:end, None] ^ right["f1"]) + np.bitwise_count(left["f2"][k:end, None] ^ right["f2"])
-            near = far <= NEAR_RADIUS
-            near &= left["class"][k:end, None] != right["class"]
-            if len(tiles) == 1:
-                near &= left["node"][k:end, None] > right["node"]
-            if not near.any():
-                continue
-            sizes = left["size"][k:end, None], right["size"]
-            near &= np.minimum(*sizes) >= LIKENESS * np.maximum(*sizes)
-            if every:
-                a, b = np.nonzero(near)
-                out.append((left["node"][a + k], right["node"][b]))
-                continue
-            rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-            far[~near] = 255
-            for a, b in ((rows, near[rows].argmax(1)), (rows, far[rows].argmin(1)), (near[:, columns].argmax(0), columns), (far[:, columns].argmin(0), columns)):
-                out.append((left["node"][a + k], right["node"][b]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return run
-
-
-def _proposed(nodes: DataFrame, tile: int, every: bool) -> DataFrame:
-    """Pairs (a, b) by fingerprint of the nodes (node, class, size, f1, f2). Sets so similar have sizes within a factor of
-    1 / LIKENESS, so nodes are put in bands of that factor, and only tiles of one or two neighbouring bands meet."""
-    spark = nodes.sparkSession
-    banded = nodes.where("size > 0").withColumn("band", F.floor(F.log("size") / np.log(1 / LIKENESS)).cast("int"))
-    tiles = {r["band"]: -(-r["count"] // tile) for r in banded.groupBy("band").count().collect()}  # some 90 rows at most
-    if not tiles:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    parts = F.create_map(*[F.lit(x) for item in tiles.items() for x in item])
-    placed = banded.withColumn("part", F.pmod(F.xxhash64("node"), parts[F.col("band")]).cast("int"))
-    fields = ", ".join(f"{c} binary" for c in _NODE)
-    packed = settle(placed.groupBy("band", "part").applyInArrow(_pack_nodes, f"band int, part int, {fields}"), "tiles")
-    meet = [(k, tiles[k], k + d, tiles[k + d]) for k in tiles for d in (0, 1) if k + d in tiles]
-    rows = spark.createDataFrame(meet, "k int, n int, k2 int, n2 int").withColumn("p", F.explode(F.expr("sequence(0, n - 1)"))).repartition("k", "p", "k2")
-    pairs = rows.withColumn("p2", F.explode(F.expr("sequence(if(k = k2, p, 0), n2 - 1)"))).select(*_PAIR)
-    sides = pairs.select(*_PAIR, F.lit(0).alias("side"), F.col("k").alias("band"), F.col("p").alias("part")).unionByName(
-        pairs.where("k <> k2 or p <> p2").select(*_PAIR, F.lit(1).alias("side"), F.col("k2").alias("band"), F.col("p2").alias("part")))
-    work = sides.join(packed, ["band", "part"]).select(*_PAIR, "side", *_NODE)
-    return work.groupBy(*_PAIR).applyInArrow(_propose(every), "a bigint, b bigint").distinct()
-
-
-def _checked(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose texts are alike, by the whole sets of shingles."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = settle(ends.join(distinct, "node").select("node", "text_hash"), "wanted")
-    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    own = texts.join(wanted, "text_hash").select("node", "text").mapInArrow(_sets, "node bigint, shingles binary")
-    sets = settle(own.dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
-
-
-def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """doc_id, text_hash, root, component_id of every row; components of texts whose shingles are alike (see above)."""
-    texts = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    rows = settle(texts.mapInArrow(_near_rows, "doc_id bigint, text_hash bigint, node bigint, size bigint, f1 bigint, f2 bigint"), "prints")
-    distinct = settle(rows.groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *[F.max(c).alias(c) for c in ("size", "f1", "f2")]), "distinct")
-    first = settle(_proposed(distinct.withColumn("class", F.col("node")), tile, every=False), "proposed")
-    edges = settle(_checked(texts, distinct, first), "edges")
-    classes = components(edges).withColumnRenamed("root", "class")
-    rest = _proposed(distinct.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), tile, every=True)
-    rest = settle(rest.join(first, ["a", "b"], "left_anti"), "proposed")
-    found = settle(components(edges.unionByName(_checked(texts, distinct, rest))), "roots")
-    rooted = distinct.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "text_hash", "node").join(rooted.join(named, "root").select("node", "root", "component_id"), "node").drop("node")
-
-
-def keep_one(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """One row of each component of near_duplicates, with its own columns: that of the least key (null keys last); of several
-    rows with that key, one of the least text hash."""
-    return _one_of_each(docs, _classes(docs, tile))
-
-
-def keep_one_alike(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """The same of the components of near_copies."""
-    return _one_of_each(docs, near_copies(docs, tile))
-
-
-def _one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    classes = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = classes.groupBy("root", "doc_id").agg(F.min("text_hash").alias("_kept_hash")).select(F.col("doc_id").alias("_kept_id"), "_kept_hash")
-    names = [f"c{i}" for i in range(len(docs.columns))]  # clear of any name the input has
-    rows = docs.toDF(*names)
-    key, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
-    rows = rows.withColumn("_hash", F.xxhash64(text.cast("string")))
-    rows = rows.join(kept.distinct(), key.cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
-    return rows.dropDuplicates(["_kept_id", "_kept_hash"]).select(*names).toDF(*docs.columns)
+    return rows.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
