@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, quality, secrets, simhash
+from tidemark.llm import decontaminate, near_copies, packing, quality, secrets
 from tidemark.llm.shared import documents, settle
 
 
@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts alike by four fifths of their five-word shingles one document stays."""
-    return simhash.keep_one_alike(docs)
+    return near_copies.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
