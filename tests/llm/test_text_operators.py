@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import decontaminate, fingerprint, language, licenses, packing, quality, secrets, simhash, substrings, warc
-from tidemark.llm.shared import SOLID, Words, components, slices, utf8
+from tidemark.llm.shared import SOLID, Words, components, sample_texts, slices, utf8
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(30_000))
@@ -61,6 +61,63 @@ def test_odd_rows_give_one_row_each_and_an_empty_table_none(spark, odd, name):
     assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_license_places_that_overlap_are_compared_however_many_stand_between():
+    long = (0, 0, 0, 1000, 0.9)
+    between = [(0, 1 + k % 50, 10 + k, 12 + k, 0.8) for k in range(300)]
+    last = (0, 60, 900, 950, 0.85)
+    assert licenses._best([long, *between, last]) == [long]
+    assert licenses._best([(0, 0, 0, 10, 0.8), (0, 1, 10, 20, 0.9), (1, 2, 5, 9, 0.8)]) == [(0, 0, 0, 10, 0.8), (0, 1, 10, 20, 0.9), (1, 2, 5, 9, 0.8)]
+
+
+def test_samples_hold_distinct_texts_of_all_rows(spark):
+    rows = [("copied text",)] * 3000 + [(f"text {k}",) for k in range(1000)]
+    got = [r["text"] for r in sample_texts(spark.createDataFrame(rows, "text string"), 200).collect()]
+    assert 120 < len(got) < 300 and len(set(got)) == len(got)
+    likely = sample_texts(spark.createDataFrame(rows, "text string"), 50, F.col("text").contains("copied")).collect()
+    assert [r["text"] for r in likely] == ["copied text"]
+
+
+def test_secrets_of_short_texts_train_the_field(spark):
+    rng = random.Random(4)
+    value = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyz23456789") for _ in range(18))
+    rows = [(k, f'password = "{value()}"', "en") for k in range(200)] + [(500 + k, "plain words only here", "en") for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    weights, moves = secrets.fit(df)
+    assert secrets.fit(df.where("doc_id >= 500")) is None
+    text = " ".join(f'password = "{value()}" and plain words' for _ in range(50)).encode()
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), secrets.TOKEN)
+    x, begins = secrets.features(words)
+    tags = secrets.viterbi(weights[x].sum(1), begins, moves)
+    assert (tags == secrets._labels(words, secrets.base_spans(words.raw, words.bounds))).mean() > 0.97
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert all(got[k]["n_assign"] == 1 for k in range(200)) and not any(got[500 + k]["spans"] for k in range(200))
+
+
+def test_gradient_of_the_field_is_that_of_all_paths():
+    """One step from zero weights against the gradient of the summed likelihood of all tag paths, by differences."""
+    rng = np.random.default_rng(1)
+    n, length, size = 3, 4, secrets.SIZE
+    x, y = rng.integers(0, size, (n, length, secrets.FEATURES)), rng.integers(0, 3, (n, length))
+    weights, moves = secrets.train(x, y, steps=5)
+
+    def loss(weights, moves):
+        out = 0.0
+        for i in range(n):
+            total = []
+            for path in __import__("itertools").product(range(3), repeat=length):
+                total.append(sum(weights[x[i, t], path[t]].sum() for t in range(length)) + sum(moves[path[t], path[t + 1]] for t in range(length - 1)))
+            own = sum(weights[x[i, t], y[i, t]].sum() for t in range(length)) + sum(moves[y[i, t], y[i, t + 1]] for t in range(length - 1))
+            out += np.logaddexp.reduce(total) - own
+        return out / n
+
+    assert loss(weights, moves) < 0.5 * loss(np.zeros((size, 3)), np.zeros((3, 3)))
+    score = weights[x].sum(2)
+    for i in range(n):  # the best of all paths between two outside tags
+        paths = list(__import__("itertools").product(range(3), repeat=length))
+        value = lambda p: moves[0, p[0]] + moves[p[-1], 0] + sum(score[i, t, p[t]] for t in range(length)) + sum(moves[p[t], p[t + 1]] for t in range(length - 1))  # noqa: B023, E731
+        assert tuple(secrets.viterbi(score[i], np.arange(length) == 0, moves)) == max(paths, key=value)
+
+
 def test_licenses(docs, texts):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
@@ -95,13 +152,69 @@ def test_language_without_letters(odd):
 def test_kneser_ney_sums_to_one():
     data, at = utf8(__import__("pyarrow").array(["the cat sat on the mat", "a hat"]))
     keys, counts = np.unique(language.runs_of(data, at, language.letter_table())[0], return_counts=True)
-    model = language._model(keys, counts, 0.4)
+    model = language._model(keys, counts)
     letters = np.arange(1 << 13)
     for context in (keys[0] >> 13, keys[-1] >> 13, 5):
         total = model[3].prob((int(context) << 13) | letters, 4)
         assert abs(total[model[0].keys].sum() + total[np.setdiff1d(letters, model[0].keys)[:1]].sum() - 1) < 1e-9
 
 
+def _plain_kneser_ney(texts):
+    """Probability of a character after three others by the textbook formula: counts above, numbers of contexts below."""
+    lines = ["  " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " " for t in texts]
+    tables = {4: Counter(line[i:i + 4] for line in lines for i in range(len(line) - 3))}
+    for n in (3, 2, 1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    discount = {n: (sum(c == 1 for c in t.values()) / max(sum(c == 1 for c in t.values()) + 2 * sum(c == 2 for c in t.values()), 1)) or 0.5 for n, t in tables.items()}
+
+    def prob(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(tables[1]) + 1)
+        own = [c for g, c in tables[n].items() if g[:-1] == gram[:-1]]
+        if not own:
+            return prob(gram[1:])
+        return max(tables[n][gram] - discount[n], 0) / sum(own) + discount[n] * len(own) / sum(own) * prob(gram[1:])
+
+    def bits(text):
+        line = "  " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+        grams = [line[i:i + 4] for i in range(len(line) - 3)]
+        return -sum(np.log2(prob(g)) for g in grams) / len(grams)
+
+    return bits
+
+
+@pytest.mark.parametrize("most", [language.BLOCK_KEYS, 60])
+def test_language_entropies_by_the_textbook(spark, most):
+    rng = random.Random(2)
+    rows = []
+    for k, letters in enumerate(("abcde", "cdefg", "xyzae")):
+        rows += [(i * 3 + k, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(12)), f"l{k}") for i in range(20)]
+    learned = {k: [t for d, t, lang in rows if lang == k and zlib.crc32(str(d).encode()) % 5] for k in ("l0", "l1", "l2")}
+    plain = {k: _plain_kneser_ney(t) for k, t in learned.items()}
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, SCHEMA), most).collect()}
+    for d, t, _ in rows:
+        want = {k: f(t) for k, f in plain.items()}
+        name = min(want, key=want.get)
+        assert got[d]["lang_pred"] == name and abs(got[d]["bits"] - want[name]) < 1e-4
+        assert abs(got[d]["score"] - 1 / sum(2 ** (8 * (want[name] - b)) for b in want.values())) < 1e-3
+
+
+@pytest.mark.parametrize("most", [language.BLOCK_KEYS, 500])
+def test_every_language_is_learned(spark, most):
+    """Seventy languages, one of them with ten rows, each with letters of its own."""
+    rng = random.Random(6)
+    rows, alphabet = [], [chr(c) for c in range(0x5D0, 4096) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    for k in range(70):
+        letters = alphabet[3 * k:3 * k + 3]
+        for _ in range(10 if k == 69 else 12):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(6)), f"lang{k:02d}"))
+    rows.append((len(rows), "".join(alphabet[3 * k] for k in range(70)) * 3, None))  # unlike any of them
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, SCHEMA), most).collect()}
+    assert all(got[d]["lang_pred"] == lang for d, _, lang in rows[:-1])
+    assert got[len(rows) - 1]["rejected"] and not any(got[d]["rejected"] for d, _, _ in rows[:-1] if not got[d]["held_out"])
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -197,10 +310,22 @@ def test_edited_copies_are_found_as_by_smith_waterman(spark, every, copies):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(rows, bench).collect()}
     runs = lambda d, k: any(tuple(items[k][i:i + 3]) in set(zip(texts[d], texts[d][1:], texts[d][2:], strict=False)) for i in range(len(items[k]) - 2))
-    assert got == {(d, k): s for (d, k), s in want.items() if s >= 0.5 and (len(items[k]) < 3 and s == 1 or runs(d, k))}
+    assert got == {(d, k): s for (d, k), s in want.items() if s >= 0.5 and (len(items[k]) >= decontaminate.SHORT or len(items[k]) < 3 and s == 1 or runs(d, k))}
     assert all((c, 0) in got for c in range(copies))
 
 
+def test_copies_without_three_words_in_a_row_are_found(spark):
+    words = [f"w{k}" for k in range(40)]
+    foreign = [x for k in range(0, 40, 2) for x in (*words[k:k + 2], f"f{k}")]
+    swapped = [w if k % 3 else f"s{k}" for k, w in enumerate(words)]
+    texts = {1: foreign, 2: ["a"] * 50 + foreign + ["b"] * 50, 3: swapped, 4: foreign[:26], 5: words[:10] + ["x"] * 60 + words[10:20]}
+    rows = spark.createDataFrame([(d, " ".join(t), None) for d, t in texts.items()], SCHEMA)
+    for threshold in (0.1, 0.5, 0.9):
+        got = {r["doc_id"]: r["score"] for r in decontaminate.leaks(rows, spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string"), threshold).collect()}
+        assert got == {d: s for d, t in texts.items() if (s := _aligned(words, t)) >= threshold}
+        assert threshold > 0.5 or got[1] == 0.7625
+
+
 @pytest.mark.parametrize("most", [substrings.MOST, 1])
 def test_repeated_strings(spark, docs, most):
     rows = docs.select("doc_id", "text").limit(90).union(spark.createDataFrame([(9001, "ab" * 300), (9002, None), (9003, "x" * 199), (9004, "x" * 199)], "doc_id bigint, text string"))

@@ -2,12 +2,15 @@
 
 A text becomes lower-case letters with single spaces between words. A character is its code point below 4096, else one of
 4096 hashed codes, so that four of them are one 52-bit key. All four-character runs of all training documents are
-counted; each language keeps its commonest MOST_GRAMS (whole counts: a count is in or out, by a threshold). The lower
-orders follow from those by continuation counts. Keys stand in one sorted array with a column of log probabilities per
-language. A document takes the language of the lowest cross-entropy per character.
+counted, in every language there is, and every key is kept; the lower orders follow from them by continuation counts. Keys
+stand in sorted arrays with a column of log probabilities per language. A document takes the language of the lowest
+cross-entropy per character.
 
-Rejection: `rejected` marks a text whose cross-entropy lies above the given quantile of a sample of its language's
-training documents (CALIBRATION_ROWS).
+The model grows with its input. Languages are taken in blocks of at most BLOCK_KEYS keys (a language with more is a block of its
+own); each block is built, sent and scored by itself, and a document carries its best language from block to block.
+
+Rejection: `rejected` marks a text whose cross-entropy lies above the given quantile of its language's training documents,
+all of them.
 
 Defined results: lang_pred is `und`, score 0, for a null text, one without a letter, and where nothing could be learned.
 Equal entropies go to the first language by name. Repeated rows are judged each. A null key counts as held out.
@@ -19,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import settle, slices, utf8
+from tidemark.llm.shared import forget, settle, slices, utf8
 
 ORDER, CODE_BITS, ROW_BITS = 4, 13, 12
-#: Bounds of the model: keys of a language, and languages (the commonest).
-MOST_GRAMS, MOST_LANGUAGES = 200_000, 64
-CALIBRATION_ROWS, REJECT_QUANTILE = 2000, 0.999
+#: Keys of a block of languages.
+BLOCK_KEYS = 4_000_000
+REJECT_QUANTILE = 0.999
 SHARPNESS = 8.0
 UNKNOWN = "und"
 _CODE = (1 << CODE_BITS) - 1
@@ -81,43 +85,42 @@ def runs_of(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return key[own], row[:n][own], letters
 
 
-def _count_batches(languages: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = letter_table()
-        place = {name: i for i, name in enumerate(languages)}
-        held: list[np.ndarray] = []
-        many: list[np.ndarray] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = np.concatenate(held), np.concatenate(many)
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-            return keys[first], np.add.reduceat(n, first) if len(first) else n
-
-        def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array((keys & ((1 << ROW_BITS) - 1)).astype(np.int32)), pa.array(keys >> ROW_BITS), pa.array(n)], ["lang", "gram", "n"])
-
-        for batch in batches:
-            data, at = utf8(batch.column("text"))
-            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for a, b in slices(at):
-                key, row, _ = runs_of(data, at[a:b + 1], table)
-                key = np.sort((key << ROW_BITS | lang[a:b][row]).view(np.uint64)).view(np.int64)
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, lang) to (lang, gram, n), merged as far as memory allows."""
+    table, place = letter_table(), {}
+    held, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.concatenate(held), np.concatenate(many)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(list(place), pa.string()).take(pa.array(keys & ((1 << ROW_BITS) - 1)))
+        return pa.RecordBatch.from_arrays([names, pa.array((keys.view(np.uint64) >> np.uint64(ROW_BITS)).astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    for batch in batches:
+        data, at = utf8(batch.column("text"))
+        langs = batch.column("lang").to_pylist()
+        for a, b in slices(at):
+            for lo in range(a, b, 1 << (ROW_BITS - 1)):
+                hi = min(b, lo + (1 << (ROW_BITS - 1)))
+                if len(place) + hi - lo > 1 << ROW_BITS or sum(map(len, held)) > 2_000_000:
+                    keys, n = merged()
+                    held, many = [keys], [n]
+                    if len(place) + hi - lo > 1 << ROW_BITS or len(keys) > 1_000_000:
+                        yield out(keys, n)
+                        held, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                        place.clear()
+                own = np.array([place.setdefault(x, len(place)) for x in langs[lo:hi]], np.int64)
+                key, row, _ = runs_of(data, at[lo:hi + 1], table)
+                key = np.sort((key << ROW_BITS | own[row]).view(np.uint64)).view(np.int64)
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
                 held.append(key[first])
                 many.append(np.diff(np.append(first, len(key))))
-            if sum(map(len, held)) > 2_000_000:
-                keys, n = merged()
-                held, many = [keys], [n]
-                if len(keys) > 1_000_000:
-                    yield out(keys, n)
-                    held, many = [], []
-        if held:
-            yield out(*merged())
-
-    return run
+    yield out(*merged())
 
 
 def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +136,10 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: flo
 class _Level:
     """One order of one language: interpolated probability of a key from its counts and the order below."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, below: _Level | None, letters: int, discount: float | None = None):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, below: _Level | None, letters: int):
         self.keys, self.counts, self.below, self.letters = keys, counts.astype(np.float64), below, letters
         ones, twos = (counts == 1).sum(), (counts == 2).sum()
-        self.discount = discount if discount is not None else float(ones / max(ones + 2 * twos, 1)) or 0.5
+        self.discount = float(ones / max(ones + 2 * twos, 1)) or 0.5
         context, _ = _split(keys)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
         self.contexts = context[first]
@@ -152,7 +155,7 @@ class _Level:
         return np.where(total > 0, seen / np.maximum(total, 1), 0) + weight * lower
 
 
-def _model(keys: np.ndarray, counts: np.ndarray, discount: float) -> list[_Level]:
+def _model(keys: np.ndarray, counts: np.ndarray) -> list[_Level]:
     """Levels of order 1 to 4 of one language."""
     order = np.argsort(keys)
     tables = [(keys[order], counts[order])]
@@ -160,42 +163,36 @@ def _model(keys: np.ndarray, counts: np.ndarray, discount: float) -> list[_Level
         tables.insert(0, np.unique(tables[0][0] & ((1 << CODE_BITS * n) - 1), return_counts=True))
     letters = len(tables[0][0]) + 1
     levels: list[_Level] = []
-    for n, (k, c) in enumerate(tables, 1):
-        levels.append(_Level(k, c, levels[-1] if levels else None, letters, discount if n == ORDER else None))
+    for k, c in tables:
+        levels.append(_Level(k, c, levels[-1] if levels else None, letters))
     return levels
 
 
-def fit(training: DataFrame, most_grams: int = MOST_GRAMS) -> dict:
-    """training: text, lang. The model is bounded by MOST_LANGUAGES times most_grams keys."""
-    training = training.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    common = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in common)
-    if not languages:
-        return {"languages": []}
-    counted = training.where(F.col("lang").isin(languages)).mapInArrow(_count_batches(languages), "lang int, gram bigint, n bigint")
-    grams = settle(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    step = F.when(F.col("n") < 64, F.col("n").cast("double")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))))
-    spread: dict[int, dict[float, int]] = {}
-    for r in grams.groupBy("lang", step.alias("step")).count().collect():  # at most 128 a language
-        spread.setdefault(r["lang"], {})[r["step"]] = r["count"]
-    least, discounts = {}, {}
-    for lang, steps in spread.items():
-        kept, least[lang] = 0, max(steps)
-        for value in sorted(steps, reverse=True):
-            kept += steps[value]
-            if kept > most_grams and value != max(steps):
-                break
-            least[lang] = value
-        ones, twos = steps.get(1.0, 0), steps.get(2.0, 0)
-        discounts[lang] = ones / (ones + 2 * twos) if ones else 0.5
-    if not least:
-        return {"languages": []}
-    bound = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, float(v))])
-    table = grams.where(F.col("n") >= bound[F.col("lang")]).toPandas()
-    lang, keys, counts = (table[c].to_numpy(np.int64) for c in ("lang", "gram", "n"))
-    languages_seen = sorted(least)
-    levels = [_model(keys[lang == k], counts[lang == k], discounts[k]) for k in languages_seen]
-    return {"languages": [languages[k] for k in languages_seen], **_arrays(levels)}
+def grams(training: DataFrame) -> DataFrame:
+    """lang, gram, n of all four-character runs of the rows (text, lang) that have both."""
+    rows = training.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.mapInArrow(_count_batches, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def blocks(counted: DataFrame, most: int = BLOCK_KEYS) -> Iterator[dict]:
+    """Models of all languages of the settled grams, in blocks by name."""
+    sizes = counted.groupBy("lang").count().orderBy("lang").collect()  # one row per language
+    parts: list[list[str]] = []
+    total = 0
+    for r in sizes:
+        total += r["count"]
+        if not parts or total > most:
+            parts.append([])
+            total = r["count"]
+        parts[-1].append(r["lang"])
+    for names in parts:
+        table = counted.where(F.col("lang").isin(names) if len(parts) > 1 else F.lit(True)).toArrow()  # a block
+        lang = np.asarray(pc.index_in(table.column("lang"), pa.array(names, pa.string())).combine_chunks())
+        keys, counts = (table.column(c).to_numpy() for c in ("gram", "n"))
+        order = np.argsort(lang, kind="stable")
+        cut = np.searchsorted(lang[order], np.arange(len(names) + 1))
+        own = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield {"languages": names, **_arrays([_model(keys[k], counts[k]) for k in own])}
 
 
 def _arrays(levels: list[list[_Level]]) -> dict:
@@ -247,50 +244,49 @@ def entropies(model: dict, data: np.ndarray, at: np.ndarray, table: np.ndarray)
     return np.concatenate(parts), np.concatenate(letters)
 
 
-def _limits(training: DataFrame, model: dict, shared, rows: int) -> list[float]:
-    """The quantile of each language's own entropy in a sample of its training documents."""
-    share = min(1.0, rows / max(training.count(), 1))
-    some = training.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).limit(2 * rows)
+_STATE = "doc_id bigint, held_out boolean, lang string, text string, lang_pred string, bits double, share double, own double"
+
+
+def _scored(shared):
+    """One block of languages: each row's best language so far, its entropy, the sum of all languages' weights over the best one's, and
+    the entropy in the row's own language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = letter_table(), shared.value
+        names = np.array(model["languages"], object)
         place = {name: i for i, name in enumerate(model["languages"])}
         for batch in batches:
-            data, at = utf8(batch.column("text"))
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            data, at = utf8(get("text"))
             bits, some = entropies(model, data, at, table)
-            lang = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
-            good = some & (lang >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(lang[good].astype(np.int32)), pa.array(bits[good, lang[good]])], ["lang", "bits"])
+            had, least = get("bits").to_numpy(), bits.min(1)
+            before = np.where(np.isfinite(had), np.exp2(SHARPNESS * (np.minimum(had, least) - had)) * get("share").to_numpy(), 0.0)
+            now = np.exp2(SHARPNESS * (np.minimum(had, least)[:, None] - bits)).sum(1)
+            better = some & (least < had)
+            lang = np.array([place.get(x, -1) for x in get("lang").to_pylist()], np.int64)
+            mine = np.where(some & (lang >= 0), bits[np.arange(len(bits)), np.maximum(lang, 0)], get("own").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(np.where(better, names[bits.argmin(1)], np.array(get("lang_pred").to_pylist(), object)), pa.string()),
+                 pa.array(np.where(some, np.minimum(had, least), had)), pa.array(np.where(some, before + now, 0.0)), pa.array(mine)], batch.schema.names)
 
-    got = some.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang int, bits double")
-    found = {r["lang"]: r["q"] for r in got.groupBy("lang").agg(F.percentile_approx("bits", REJECT_QUANTILE).alias("q")).collect()}
-    return [found.get(k, float("inf")) for k in range(len(model["languages"]))]
+    return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, most: int = BLOCK_KEYS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits, rejected of every row; learned from rows that are not held out."""
-    rest = F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")), F.lit(0)) % 5
-    training = docs.where(rest != 0).select("text", "lang").where("text is not null and lang is not null")
-    model = fit(training)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    limits = _limits(training, model, shared, CALIBRATION_ROWS) if model["languages"] else []
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (rest == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, model = letter_table(), shared.value
-        names, top = np.array([*model["languages"], UNKNOWN], object), np.array([*limits, np.inf])
-        for batch in batches:
-            data, at = utf8(batch.column("text"))
-            if len(model["languages"]):
-                bits, some = entropies(model, data, at, table)
-                best = np.where(some, bits.argmin(1), len(names) - 1)
-                least = bits.min(1)
-                score = np.where(some, 1 / np.exp2(SHARPNESS * (least[:, None] - bits)).sum(1), 0.0)
-            else:
-                best, least, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(least),
-                 pa.array(least > top[best])], ["doc_id", "held_out", "lang_pred", "score", "bits", "rejected"])
-
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
+    rest = F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")), F.lit(0)) % 5
+    counted = settle(grams(docs.where(rest != 0).select("text", "lang")), "grams")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), (rest == 0).alias("held_out"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+        F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("inf")).alias("bits"), F.lit(0.0).alias("share"), F.lit(float("inf")).alias("own"))
+    for model in blocks(counted, most):
+        rows = rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), _STATE)
+    scored = settle(rows.drop("text"), "scored")
+    forget(counted)
+    known = (~F.col("held_out")) & F.col("lang").isNotNull() & (F.col("own") < float("inf"))
+    limits = scored.where(known).groupBy(F.col("lang").alias("lang_pred")).agg(F.percentile_approx("own", REJECT_QUANTILE).alias("most"))
+    out = scored.join(F.broadcast(limits), "lang_pred", "left")  # one row per language of the models sent before
+    score = F.when(F.col("share") > 0, 1 / F.col("share")).otherwise(F.lit(0.0))
+    return out.select("doc_id", "held_out", "lang_pred", score.alias("score"), F.when(F.col("bits") < float("inf"), F.col("bits")).otherwise(0.0).alias("bits"),
+                      F.coalesce((F.col("bits") < float("inf")) & (F.col("bits") > F.col("most")), F.lit(False)).alias("rejected"))

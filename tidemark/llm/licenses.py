@@ -164,14 +164,18 @@ def matches(words: Words, templates: Templates) -> list[tuple[int, int, int, int
 def _best(places: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
     """Without the places that overlap one of another template with a higher containment."""
     places.sort(key=lambda m: (m[0], m[2], m[1]))
-    out = []
+    out, reach = [], []  # reach: the furthest end of the row's places so far
+    for r, _, _, hi, _ in places:
+        reach.append((r, max(hi, reach[-1][1]) if reach and reach[-1][0] == r else hi))
     for i, (r, t, lo, hi, share) in enumerate(places):
-        near = []
-        for step in (-1, 1):
-            k = i + step
-            while 0 <= k < len(places) and abs(k - i) <= 2 * len(TEMPLATES) and places[k][0] == r:
-                near.append(places[k])
-                k += step
+        near, k = [], i - 1
+        while k >= 0 and reach[k][0] == r and reach[k][1] > lo:
+            near.append(places[k])
+            k -= 1
+        k = i + 1
+        while k < len(places) and places[k][0] == r and places[k][2] < hi:
+            near.append(places[k])
+            k += 1
         if not any(m[4] > share and m[1] != t and m[2] < hi and lo < m[3] for m in near):
             out.append((r, t, lo, hi, share))
     return out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SOLID, Words, free_name, keyed_text, mixed, slices, utf8, with_column
+from tidemark.llm.shared import SOLID, Words, free_name, keyed_text, mixed, sample_texts, slices, utf8, with_column
 
 LABELLERS = ("caps", "exclaiming", "symbols", "marked_tokens", "echo", "variety", "letters", "sentences", "clean_prose", "length")
 #: Rows that train the scorer, at most twice as many; counts behind the labellers' accuracies cover all rows.
@@ -178,9 +178,7 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) ->
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
     posterior = label_model(codes, counts)
-    share = min(1.0, sample_rows / max(counts.sum(), 1.0))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).mapInArrow(
-        _feature_batches, "votes bigint, at array<int>, x array<float>").where("votes >= 0").limit(2 * sample_rows).toPandas()
+    some = sample_texts(texts, sample_rows).mapInArrow(_feature_batches, "votes bigint, at array<int>, x array<float>").where("votes >= 0").toPandas()
     where = np.searchsorted(codes, some["votes"].to_numpy(np.int64)) if len(some) else np.zeros(0, np.int64)
     return codes, posterior, train_scorer(list(some["at"]), list(some["x"]), posterior[where] if len(some) else np.zeros(0))
 

@@ -2,13 +2,14 @@
 inside one or outside.
 
 The field sees the shape of a token, the words beside it, the signs between and features of its file (the document), and
-is decoded by Viterbi. It is trained here, on windows around the patterns' own findings in a bounded sample of documents
-(SAMPLE_ROWS, chosen by a hash of the text), and so also finds secrets that stand in such places in another form. Before
+is decoded by Viterbi. It is trained here, on windows around the patterns' own findings in a bounded sample of distinct texts
+(SAMPLE_ROWS, by a hash of the text, half of them among texts that may hold a finding; a window may reach beyond its text's
+edges), and so also finds secrets that stand in such places in another form. Before
 decoding, a token whose margin for "outside" exceeds all that its two transitions could gain is fixed as outside; this
 never changes the best path, and leaves short stretches to decode.
 
 Defined results: a null or empty text has no spans. Repeated rows are scanned each. Patterns match ASCII letters only in
-either case. A field span that overlaps a pattern's span is not added. If the sample holds no finding, no field is
+either case. A field span that overlaps a pattern's span is not added. If no text holds a finding, no field is
 trained and the patterns' spans are all.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Words, fold_table, free_name, keyed_text, mixed, runs, slices, utf8, with_column
+from tidemark.llm.shared import Words, fold_table, forget, free_name, keyed_text, mixed, runs, sample_texts, settle, slices, utf8, with_column
 
 # The patterns and the least sizes of the findings.
 KINDS = ("assign", "access", "hex", "crf")
@@ -32,8 +33,12 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_SIZE, ACCESS_SIZE, HEX_SIZE = 6, 20, 24
 
+#: What could hold a finding, for Spark's own regular expressions.
+SCREEN = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
+
+#: Bounds of the training set: texts, windows with a secret in the middle, windows without, and those of one text without.
 SAMPLE_ROWS = 3000
-WINDOWS = 6000
+SECRET_WINDOWS, QUIET_WINDOWS, QUIET = 1500, 4500, 4
 WINDOW = 15
 TAGS = 3  # outside, begin, inside
 SHAPES, MIXES, WORDS, SIGNS, FILES = 4096, 64, 4096, 64, 16
@@ -130,30 +135,51 @@ def _labels(words: Words, spans: list) -> np.ndarray:
     return y
 
 
+def _windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, WINDOW) token places and whether each has a secret in its middle; -1 stands beyond the text's edges.
+
+    Every begin of a secret is a middle, and of each row the QUIET other tokens of least hash among every 97th word and all odd tokens.
+    """
+    y = _labels(words, base_spans(words.raw, words.bounds))
+    signs = np.concatenate([[0], np.cumsum(_DIGIT[words.raw] | _PUNCT[words.raw])])
+    odd = (words.end - words.start >= 10) & (signs[words.end] > signs[words.start])
+    centres = np.flatnonzero(y == 1)
+    quiet = np.flatnonzero(((words.hash % np.uint64(97) == 0) | odd) & (y == 0))
+    order = np.lexsort((mixed(words.hash[quiet] + quiet.astype(np.uint64)), words.row[quiet]))
+    quiet = quiet[order]
+    quiet = quiet[np.arange(len(quiet)) - np.searchsorted(words.row[quiet], words.row[quiet]) < QUIET]
+    middle = np.concatenate([centres, quiet]).astype(np.int64)
+    places = middle[:, None] + np.arange(-(WINDOW // 2), WINDOW - WINDOW // 2)
+    row = words.row[middle][:, None]
+    inside = (places >= words.first[row]) & (places < words.first[row + 1])
+    return np.where(inside, places, -1), np.arange(len(middle)) < len(centres)
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    half = WINDOW // 2
     for batch in batches:
         data, at = utf8(batch.column(0))
-        xs, ys = [], []
+        xs, ys, has = [np.zeros((0, WINDOW * FEATURES), np.int32)], [np.zeros((0, WINDOW), np.int32)], [np.zeros(0, bool)]
         for a, b in slices(at):
             words = Words(data, at[a:b + 1], TOKEN)
-            x, _ = features(words)
-            y = _labels(words, base_spans(words.raw, words.bounds))
-            centres = np.flatnonzero(y == 1)
-            odd = (words.end - words.start >= 10) & (np.diff(np.concatenate([[0], np.cumsum(_DIGIT[words.raw] | _PUNCT[words.raw])])[np.stack([words.start, words.end])], axis=0)[0] > 0)
-            quiet = np.flatnonzero(((words.hash % np.uint64(97) == 0) | odd) & (y == 0))  # plain words, and odd ones that are no secrets
-            for c in [*centres.tolist(), *quiet[:4 * (b - a)].tolist()]:
-                lo, hi = max(c - half, words.first[words.row[c]]), min(c + half + 1, words.first[words.row[c] + 1])
-                if hi - lo == WINDOW:
-                    xs.append(x[lo:hi].astype(np.int32).ravel())
-                    ys.append(y[lo:hi].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32()))], ["x", "y"])
+            places, secret = _windows(words)
+            x = np.append(features(words)[0], np.full((1, FEATURES), SIZE), axis=0)  # the last row stands beyond the edge
+            y = np.append(_labels(words, base_spans(words.raw, words.bounds)), 0)
+            xs.append(x[places].reshape(len(places), WINDOW * FEATURES).astype(np.int32))
+            ys.append(y[places].astype(np.int32))
+            has.append(secret)
+        x, y, has = np.concatenate(xs), np.concatenate(ys), np.concatenate(has)
+        yield pa.RecordBatch.from_arrays([
+            pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WINDOW * FEATURES).cast(pa.list_(pa.int32())),
+            pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), WINDOW).cast(pa.list_(pa.int32())), pa.array(has)], ["x", "y", "secret"])
 
 
 def train(x: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by feature and tag, transitions): the likelihood of the tags is raised by its gradient."""
+    """(weights by feature and tag, transitions): the likelihood of the tags is raised by its gradient.
+
+    Feature SIZE stands for what lies beyond a text's edge; its weight is learned with the others and then dropped.
+    """
     n, length = y.shape
-    weights, moves = np.zeros((SIZE, TAGS)), np.zeros((TAGS, TAGS))
+    weights, moves = np.zeros((SIZE + 1, TAGS)), np.zeros((TAGS, TAGS))
     state = [[np.zeros_like(w), np.zeros_like(w)] for w in (weights, moves)]
     eye = np.eye(TAGS)
     flat = x.reshape(-1)
@@ -173,25 +199,30 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 0.3) -> t
         pair = np.zeros((TAGS, TAGS))
         for t in range(length - 1):
             pair += np.exp(forward[:, t, :, None] + moves + (score[:, t + 1] + back[:, t + 1])[:, None, :] - total[:, None, None]).sum(0)
-        grad = np.stack([np.bincount(flat, wrong[..., k].reshape(-1)[repeat], SIZE) for k in range(TAGS)], axis=1) / n + 1e-4 * weights
+        grad = np.stack([np.bincount(flat, wrong[..., k].reshape(-1)[repeat], SIZE + 1) for k in range(TAGS)], axis=1) / n + 1e-4 * weights
         for (m, v), w, g in zip(state, (weights, moves), (grad, (pair - told) / n + 0.05 * moves), strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return weights, moves
+    return weights[:SIZE], moves
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    share = min(1.0, sample_rows / max(texts.count(), 1))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    got = some.mapInArrow(_window_batches, "x array<int>, y array<int>").limit(WINDOWS).toPandas()
-    if not len(got):
-        return None
-    y = np.stack(got["y"].to_list()).astype(np.int64)
-    if not y.any():
+    """Trained on windows of a sample: half of the sampled texts are chosen among those that may hold a finding, half among all. Windows
+    with and without a secret in their middle are chosen apart, by hash. None if no text has a finding: then there is nothing
+    to learn from."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    half = max(1, sample_rows // 2)
+    likely, any_ = sample_texts(texts, half, F.col("text").rlike(SCREEN)), sample_texts(texts, half)
+    windows = likely.unionByName(any_).mapInArrow(_window_batches, "x array<int>, y array<int>, secret boolean")
+    windows = settle(windows.withColumn("h", F.xxhash64("x", "y")).dropDuplicates(["h"]), "windows")
+    bounds = ((True, SECRET_WINDOWS), (False, QUIET_WINDOWS))
+    parts = [windows.where(F.col("secret") == F.lit(k)).orderBy("h").limit(n).select("x", "y").toPandas() for k, n in bounds]
+    forget(windows)
+    if not len(parts[0]):
         return None
-    return train(np.stack(got["x"].to_list()).astype(np.int64).reshape(len(y), WINDOW, FEATURES), y)
+    x, y = (np.stack([v for part in parts for v in part[c]]).astype(np.int64) for c in ("x", "y"))
+    return train(x.reshape(len(y), WINDOW, FEATURES), y)
 
 
 def viterbi(score: np.ndarray, begins: np.ndarray, moves: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 21
@@ -53,6 +53,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sample_texts(texts: DataFrame, rows: int, where: Column | None = None) -> DataFrame:
+    """About `rows` distinct texts (column text) of those that meet the condition, chosen by hash: neither the order of rows nor the
+    number of copies of a text matters. The share comes from an approximate distinct count over all rows, so no limit is needed."""
+    own = texts.where("text is not null").select("text", F.xxhash64("text").alias("_h"))
+    own = own if where is None else own.where(where)
+    n = own.agg(F.approx_count_distinct("_h")).first()[0]
+    most = 1 << 48
+    share = min(most, int(most * rows / max(n, 1)) + 1)
+    return own.where(F.pmod(F.col("_h"), F.lit(most)) < F.lit(share)).dropDuplicates(["_h"]).select("text")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column in one array, and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
