@@ -26,9 +26,8 @@ def book(spark):
                                  "SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long")
 
 
-@pytest.mark.parametrize("block", [1, 2, 3, 100])
-def test_book(spark, block):
-    cancels = {r.order_id: (r.price, r.level, r.queue) for r in K.cancel_locations(book(spark), block).collect()}
+def test_book(spark):
+    cancels = {r.order_id: (r.price, r.level, r.queue) for r in K.cancel_locations(book(spark)).collect()}
     assert cancels == {2: (10, 1, 2), 3: (9, 2, 1), 9: (0, -1, -1)}
     levels = {(r.side, r.price): (r.volume, r.orders) for r in K.depth(K.live_orders(book(spark))).collect()}
     assert levels == {("B", 10): (80, 1), ("B", 9): (20, 1), ("S", 11): (20, 1)}
@@ -41,8 +40,7 @@ def test_book_ignores_repeats_and_early_events(spark):
     assert live == {1: 0, 2: 0, 3: 20, 4: 20}
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_own_best_orders_in_any_block_size(spark, block):
+def test_own_best_orders_keep_a_level_alive(spark):
     """A chain of own-best orders keeps a level alive after its first order is gone."""
     rows = [
         (1, "insert", 1, "B", 10, 5), (2, "insert", 2, "B", None, 5), (3, "cancel", 1, "B", 10, 5),
@@ -51,8 +49,85 @@ def test_own_best_orders_in_any_block_size(spark, block):
         (10, "insert", 6, "B", None, 5),
     ]
     df = spark.createDataFrame([(1, 1, *r) for r in rows], book(spark).schema)
-    used = {r.order_id: r.used_price for r in K.replay(df, block=block).where("kind = 'insert'").collect()}
-    assert used == {1: 10, 2: 10, 3: 8, 4: 10, 5: 10, 6: 8}
+    found = K.best_prices(df).orderBy("seq").collect()
+    assert {r.order_id: r.price for r in found if r.kind == "insert"} == {1: 10, 2: 10, 3: 8, 4: 10, 5: 10, 6: 8}
+    assert [r.best_bid for r in found] == [10] * 8 + [8, 8] and {r.best_ask for r in found} == {0}
+
+
+class PlainBook:
+    """A book kept event by event, as lists."""
+
+    def __init__(self):
+        self.orders = {}  # id: [side, price, qty, number]
+
+    def best(self, side):
+        prices = [o[1] for o in self.orders.values() if o[0] == side]
+        return (max if side == "B" else min)(prices) if prices else 0
+
+    def levels(self, side, n):
+        prices = sorted({o[1] for o in self.orders.values() if o[0] == side}, reverse=side == "B")[:n]
+        at = lambda p: [o for o in self.orders.values() if o[0] == side and o[1] == p]
+        return [(float(p), sum(o[2] for o in at(p)), len(at(p))) for p in prices]
+
+    def apply(self, number, kind, oid, side, price, qty, seen):
+        """Level and queue of a cancel, the price of an insert."""
+        if kind == "insert":
+            if oid in seen:
+                return None
+            seen.add(oid)
+            price = self.best(side) if price is None else price
+            self.orders[oid] = [side, price, qty, number]
+            return price
+        if oid not in self.orders:
+            return (0, -1, -1)
+        own = self.orders[oid]
+        better = {o[1] for o in self.orders.values() if o[0] == own[0] and (o[1] > own[1] if own[0] == "B" else o[1] < own[1])}
+        ahead = sum(o[0] == own[0] and o[1] == own[1] and o[3] < own[3] for o in self.orders.values())
+        own[2] -= min(qty, own[2])
+        if own[2] == 0:
+            del self.orders[oid]
+        return (own[1], len(better) + 1, ahead + 1)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_the_book_against_one_kept_event_by_event(spark, seed):
+    """Few prices, many orders, repeated inserts, events of unknown orders, own-best orders: best prices, places and depth."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    for seq in range(1, 700):
+        oid = rng.randint(1, 220)
+        kind = rng.choice(["insert", "insert", "trade", "cancel"])
+        price = None if kind == "insert" and rng.random() < 0.2 else rng.randint(1, rng.choice([3, 40]))
+        rows.append((seq, kind, oid, "B" if oid % 3 else "S", price, rng.randint(1, 9)))
+    plain, seen, best, places, prices, depth = PlainBook(), set(), {}, {}, {}, {}
+    for number, (seq, kind, oid, side, price, qty) in enumerate(rows, 1):
+        got = plain.apply(number, kind, oid, side, price, qty, seen)
+        best[seq] = (plain.best("B"), plain.best("S"))
+        depth[number] = (plain.levels("B", 3), plain.levels("S", 3))
+        if kind == "cancel":
+            places[seq] = got
+        elif kind == "insert" and got is not None:
+            prices[seq] = got
+    df = spark.createDataFrame([(1, 1, *r) for r in rows], book(spark).schema).repartition(3)
+    found = K.best_prices(df).collect()
+    assert {r.seq: (r.best_bid, r.best_ask) for r in found} == best
+    assert {r.seq: r.price for r in found if r.seq in prices} == prices
+    assert {r.seq: (r.price, r.level, r.queue) for r in K.cancel_locations(df).collect()} == places
+    at = K.positioned(df)
+    got = {r["_pos"]: ([tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) for r in K.depth_at(at, at.where("_pos % 5 = 0"), 3).collect()}
+    assert got == {n: depth[n] for n in depth if n % 5 == 0}
+
+
+def test_a_hot_level_of_many_orders(spark):
+    """Twenty thousand orders on one level, cancelled from the back: the queue place is the order's own turn."""
+    n = 20_000
+    base = spark.range(n).select(F.lit(1).cast("long").alias("SecuCode"), F.lit(1).cast("long").alias("TradingDay"), (F.col("id") + 1).alias("seq"),
+                                 F.lit("insert").alias("kind"), "id", F.lit("B").alias("side"), F.lit(10).cast("long").alias("price"), F.lit(5).cast("long").alias("qty"))
+    gone = base.withColumn("seq", F.lit(2 * n + 1) - F.col("seq")).withColumn("kind", F.lit("cancel"))
+    events = base.unionByName(gone).withColumnRenamed("id", "order_id")
+    wrong = K.cancel_locations(events).where("price <> 10 or level <> 1 or queue <> order_id + 1")
+    assert wrong.isEmpty()
 
 
 def deals(spark, rows):
@@ -187,37 +262,42 @@ def test_own_best_orders_count_with_the_price_they_got(spark):
     assert [r.bid_price for r in K.book_totals(df).orderBy("seq").collect()] == [10.0, 10.0]
 
 
-@pytest.mark.parametrize("block", [1, 100])
-def test_cancels_are_located_in_the_book(spark, block):
+def test_cancels_are_located_in_the_book(spark):
     rows = [(1, 1, 1, "insert", 1, "B", 10, 20), (1, 1, 2, "insert", 2, "B", 11, 20), (1, 1, 3, "insert", 3, "B", 10, 5),
             (1, 1, 4, "cancel", 3, "B", 10, 5), (1, 1, 5, "cancel", 99, "B", 10, 5)]
     events = spark.createDataFrame(rows, "SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long")
     cancels = spark.createDataFrame([(1, 1, 4, 3), (1, 1, 5, 99), (2, 1, 1, 1)], "SecuCode long, TradingDay long, DealID long, OrderID long")
-    got = {(r.SecuCode, r.DealID): (r.CancelPrice, r.OBLevel, r.QueuePos) for r in K.locate_cancels(cancels, events, block).collect()}
+    got = {(r.SecuCode, r.DealID): (r.CancelPrice, r.OBLevel, r.QueuePos) for r in K.locate_cancels(cancels, events).collect()}
     assert got == {(1, 4): (10, 2, 2), (1, 5): (0, -1, -1), (2, 1): (0, -1, -1)}
 
 
 def test_snapshot_verification(spark):
-    """Volumes may differ by 20 shares; prices, counts and totals may not."""
+    """Volumes may differ by 20 shares; prices, counts and totals may not; the traded volume must come in time."""
     level = lambda p, v, o: (float(p), v, o)
-    names = ["SecuCode", "TradingDay", "snap_no", "TickTime", "since", "deadline", "TotalVolume", "TotalTurnover", "TotalBidVolume",
+    names = ["SecuCode", "TradingDay", "snap_no", "TickTime", "TotalVolume", "TotalTurnover", "TotalBidVolume",
              "TotalAskVolume", "WeightBidPrice", "WeightAskPrice", "bids", "asks"]
     asks = [level(11, 20, 1)]
     deep = [level(5 - i, 0, 0) for i in range(3)]  # five levels, so the snapshot is not a thin one
 
-    def snap(no, bids, clock=100_000_000, turnover=200, last=9, total=100):
-        return (1, 1, no, clock, 0, last, 20, turnover, total, 20, 98.0, 110.0, bids + deep, asks)
+    def snap(no, bids, clock=100_000_000, turnover=200, total=100, volume=20):
+        return (1, 1, no, clock, volume, turnover, total, 20, 98.0, 110.0, bids + deep, asks)
 
     good = [level(10, 80, 1), level(9, 35, 1)]
     rows = [
         snap(1, good), snap(2, [level(10, 80, 2), level(9, 20, 1)]), snap(3, [level(10, 80, 1), level(9, 41, 1)]),
         snap(4, good, turnover=201), snap(5, good, total=99), snap(6, good, clock=92_400_000, total=99),
-        snap(7, good, last=4)]
+        snap(7, good, clock=99_990_000), snap(8, good, clock=99_999_000), snap(9, good, volume=21)]
     level_type = "array<struct<price:double,volume:long,orders:long>>"
     kinds = {"WeightBidPrice": "double", "WeightAskPrice": "double", "bids": level_type, "asks": level_type}
     snaps = spark.createDataFrame(rows, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names))
-    ok = {r.snap_no: r.ok for r in K.verify_snapshots(book(spark), snaps, n_levels=2, block=3).collect()}
-    assert ok == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True, 7: False}
+    late = book(spark).withColumn("clock", F.lit(100_000_000) + F.col("seq") - 5)  # the trade that reaches 20 shares is at 100000000
+    ok = {r.snap_no: (r.ok, r.at_seq) for r in K.verify_snapshots(late.withColumn("clock", F.when(F.col("seq") < 5, F.col("clock")).otherwise(F.col("clock"))), snaps, n_levels=2).collect()}
+    # 6 is in the opening auction by its clock, and its limit passed long before the trade; 7 gave up two seconds after its tick
+    assert {k: v[0] for k, v in ok.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: False, 8: True, 9: False}
+    assert ok[1] == (True, 8) == ok[8]
+    early = book(spark).withColumn("clock", F.lit(92_400_000) + F.col("seq"))
+    ok = {r.snap_no: r.ok for r in K.verify_snapshots(early, snaps.where("snap_no = 6"), n_levels=2).collect()}
+    assert ok == {6: True}
 
 
 def test_deal_numbers_above_ten_digits_keep_their_order(spark):

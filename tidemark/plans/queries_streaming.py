@@ -110,10 +110,34 @@ def _(spark, d):
     rows = V.book_events(spark, d, stream(spark, d, "orders")).select(
         "SecuCode", "TradingDay", F.timestamp_seconds(second).alias("ts"), (second * 1000).alias("at_ms"), "seq", "kind",
         "order_id", "side", "price", "qty")
-    out = J.materialised(O.live_book(rows, ["SecuCode", "TradingDay"], "2 seconds"), "append")
+    out = J.materialised(O.live_book(rows, ["SecuCode", "TradingDay"], "2 seconds", HOUR_MS), "append")
     return out.select("SecuCode", "TradingDay", "seq", "order_id", "best_bid", "best_ask")
 
 
+V.VIEW_SQL["true_levels"] = V.VIEW_SQL["snap_levels"].replace("% 9 AS fault", "% 9 * 0 AS fault")
+
+
+@query("st05_live_checks", """
+SELECT SecuCode, TradingDay, snap_no, bool_and(coalesce(a.price = b.price AND a.orders = b.orders AND abs(a.volume - b.volume) <= 20, false)) AS ok
+FROM (SELECT *, max(TickTime) OVER (PARTITION BY SecuCode, TradingDay, snap_no) AS t FROM true_levels) a FULL JOIN snap_levels b USING (SecuCode, TradingDay, snap_no, side, level)
+GROUP BY 1, 2, 3 HAVING max(t) - 93000000 <= (SELECT max(seq) - 2 FROM book_events)""")
+def _(spark, d):
+    """Snapshots stand in the stream among the events; the levels of the live book are compared with theirs."""
+    days = ["SecuCode", "TradingDay"]
+    events = V.book_events(spark, d)
+    number = events.select(*days, "seq").distinct().withColumn("n", F.row_number().over(Window.partitionBy(*days).orderBy("seq")))  # of a fixture
+    checks = snapshots(spark, d).join(number.withColumnRenamed("n", "snap_no"), [*days, "snap_no"]).select(
+        *days, "seq", F.lit("check").alias("kind"), (F.lit(1 << 40) + F.col("snap_no")).alias("order_id"), F.lit("B").alias("side"),
+        F.lit(0).cast("bigint").alias("price"), F.lit(0).cast("bigint").alias("qty"), "bids", "asks")
+    rows = events.withColumns({c: F.lit(None).cast(checks.schema[c].dataType) for c in ("bids", "asks")}).unionByName(checks)
+    second = F.col("seq") + 1
+    rows = rows.select(*days, F.timestamp_seconds(second).alias("ts"), (second * 1000).alias("at_ms"), "seq", "kind", "order_id", "side", "price", "qty", "bids", "asks")
+    path = work_dir(spark, "book-feed")
+    rows.write.parquet(path)
+    out = J.materialised(O.live_book(spark.readStream.schema(rows.schema).parquet(path), days, "2 seconds", HOUR_MS), "append")
+    return out.where("kind = 'check'").select(*days, (F.col("order_id") - (1 << 40)).alias("snap_no"), "ok")
+
+
 @query("st07_live_boxes", """
 SELECT symbol, start_t, end_t, break_t, box_high, box_low, days FROM price_boxes WHERE break_t < (SELECT max(t) FROM bars_m)""")
 def _(spark, d):

@@ -1,7 +1,7 @@
 """Event-time ordered state machines on ``transformWithStateInPandas``.
 
-Rows wait in state until the watermark has passed them, then go through a step function in order - the same
-step functions as the batch jobs. State is one entry per key plus the rows inside the watermark. What must end without
+Rows wait in state by time step until the watermark has passed them, then go through a step function in order - the same
+step functions as the batch jobs. A timer reads and writes the rows of its own step only, whatever else waits. What must end without
 a further row (the close of a day, a time-out) is a ``late`` function, called when the watermark passes its time.
 """
 
@@ -10,59 +10,90 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tidemark.operators.book import _replay_block
 from tidemark.operators.machines import Box, advance_box
 
 Step = Callable[[tuple, pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
 #: Key, watermark and state to rows due, new state, and the next time to be called at (None: only after further rows).
 Late = Callable[[tuple, int, str | None], tuple[pd.DataFrame, str | None, int | None]]
+#: Milliseconds of a step in which rows wait together.
+STEP_MS = 60_000
+
+
+def _plain(value: Any) -> Any:
+    if isinstance(value, dict):
+        return tuple(_plain(v) for v in value.values())
+    if isinstance(value, (list, tuple)) or hasattr(value, "tolist") and getattr(value, "ndim", 0):
+        return [_plain(v) for v in value]
+    return value.item() if hasattr(value, "item") else value
 
 
 class Ordered(StatefulProcessor):
     """Buffer rows (``columns`` with ``at_ms``), release them up to the watermark, run ``step``."""
 
-    def __init__(self, buffer: StructType, keys: list[str], order: list[str], step: Step, late: Late | None = None):
-        self.schema, self.keys, self.order, self.step, self.late = buffer, keys, order, step, late
+    def __init__(self, buffer: StructType, keys: list[str], order: list[str], step: Step | None, late: Late | None = None, step_ms: int = STEP_MS):
+        self.schema, self.keys, self.order, self.step, self.late, self.step_ms = buffer, keys, order, step, late, step_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getMapState("waiting", "step bigint", StructType([StructField("rows", ArrayType(self.schema))]))
         self.state = handle.getValueState("state", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        steps: dict[int, list] = {}
+        at = self.schema.names.index("at_ms")
         for pdf in rows:
-            data = [tuple(v.item() if hasattr(v, "item") else v for v in r) for r in pdf[self.schema.names].itertuples(index=False)]
-            self.waiting.appendList(data)
-            first = int(pdf["at_ms"].min())
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self.handle.registerTimer(earliest)
+            for r in pdf[self.schema.names].itertuples(index=False):
+                row = tuple(_plain(v) for v in r)
+                steps.setdefault(row[at] // self.step_ms, []).append(row)
+        for step, new in steps.items():
+            self._wait(step, (self._rows(step) or []) + new)
+            self.handle.registerTimer(min(r[at] for r in new))
         return iter(())
 
+    def _rows(self, step: int) -> list | None:
+        return list(self.waiting.getValue((step,))[0]) if self.waiting.containsKey((step,)) else None
+
+    def _wait(self, step: int, rows: list) -> None:
+        self.waiting.updateValue((step,), ([tuple(r) for r in rows],))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=self.schema.names)
-        ready, rest = rows[rows["at_ms"] <= mark], rows[rows["at_ms"] > mark]
-        self.waiting.clear()
-        if len(rest):
-            self.waiting.put([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rest.itertuples(index=False)])
-            self.handle.registerTimer(int(rest["at_ms"].min()))
-        state = self.state.get()[0] if self.state.exists() else None
-        if len(ready):
-            out, state = self.step(key, ready.sort_values(self.order, kind="stable"), state)
-            yield from self._keyed(key, out)
+        mark, due = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        at, step = self.schema.names.index("at_ms"), due // self.step_ms
+        held = self._rows(step)
+        if held:
+            rest = [r for r in held if r[at] > mark]
+            if len(rest) < len(held):
+                if rest:
+                    self._wait(step, rest)
+                    self.handle.registerTimer(min(r[at] for r in rest))
+                else:
+                    self.waiting.removeKey((step,))
+                ready = pd.DataFrame([tuple(r) for r in held if r[at] <= mark], columns=self.schema.names)
+                yield from self.release(key, ready.sort_values(self.order, kind="stable"))
         if self.late:
-            out, state, due = self.late(key, mark, state)
+            out, state, again = self.late(key, mark, self._state())
+            self._keep(state)
             yield from self._keyed(key, out)
-            if due is not None:
-                self.handle.registerTimer(int(due))
+            if again is not None:
+                self.handle.registerTimer(int(again))
+
+    def release(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows that no earlier one can precede any more, in order."""
+        out, state = self.step(key, rows, self._state())
+        self._keep(state)
+        yield from self._keyed(key, out)
+
+    def _state(self) -> str | None:
+        return self.state.get()[0] if self.state.exists() else None
+
+    def _keep(self, state: str | None) -> None:
         if state is not None:
             self.state.update((state,))
         elif self.state.exists():
@@ -79,14 +110,15 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def ordered(stream: DataFrame, keys: list[str], order: list[str], step: Step, output: str, delay: str,
-            late: Late | None = None) -> DataFrame:
-    """Attach ``step`` to a stream with ``ts`` and ``at_ms``."""
+def ordered(stream: DataFrame, keys: list[str], order: list[str], step: Step | None, output: str, delay: str | None,
+            late: Late | None = None, step_ms: int = STEP_MS, processor: type[Ordered] = Ordered) -> DataFrame:
+    """Attach ``step`` to a stream with ``ts`` and ``at_ms``. Without ``delay`` the stream has its watermark already."""
     fields = [f for f in stream.schema.fields if f.name not in (*keys, "ts")]
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     full = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + output
-    return stream.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Ordered(StructType(fields), keys, order, step, late), outputStructType=full,
+    marked = stream.withWatermark("ts", delay) if delay else stream
+    return marked.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor(StructType(fields), keys, order, step, late, step_ms), outputStructType=full,
         outputMode="append", timeMode="eventTime")
 
 
@@ -150,38 +182,154 @@ def live_boxes(stream: DataFrame, keys: list[str], mid_rows: int, band: float, i
                    "start_t bigint, end_t bigint, break_t bigint, box_high double, box_low double, days bigint", delay)
 
 
-def live_book(stream: DataFrame, keys: list[str], delay: str = "2 seconds") -> DataFrame:
+class _Cached:
+    """A map state read through a dictionary for the length of one call; what changed is written at the end."""
+
+    def __init__(self, state):
+        self.state, self.known, self.dirty = state, {}, set()
+
+    def get(self, key: tuple):
+        if key not in self.known:
+            self.known[key] = tuple(self.state.getValue(key)) if self.state.containsKey(key) else None
+        return self.known[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        self.known[key] = value
+        self.dirty.add(key)
+
+    def flush(self) -> None:
+        for key in self.dirty:
+            if self.known[key] is not None:
+                self.state.updateValue(key, self.known[key])
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+        self.known, self.dirty = {}, set()
+
+
+class Ladder:
+    """The prices of one side as a tree of 16-bit masks in a map state (side, depth, prefix): a price comes, goes or is followed
+    to the next worse one in as many steps as it has hexadecimal digits, however many prices there are."""
+
+    DEPTH = 10
+    LAST = 16**DEPTH - 1
+
+    def __init__(self, masks: _Cached, side: str):
+        self.masks, self.side = masks, side
+
+    def _score(self, price: int) -> int:
+        return price if self.side == "B" else self.LAST - price
+
+    def add(self, price: int) -> None:
+        score = self._score(price)
+        for depth in range(self.DEPTH):
+            at = (self.side, depth, score >> 4 * (depth + 1))
+            mask = (self.masks.get(at) or (0,))[0]
+            self.masks.put(at, (mask | 1 << (score >> 4 * depth & 15),))
+            if mask:
+                return
+
+    def remove(self, price: int) -> None:
+        score = self._score(price)
+        for depth in range(self.DEPTH):
+            at = (self.side, depth, score >> 4 * (depth + 1))
+            mask = self.masks.get(at)[0] & ~(1 << (score >> 4 * depth & 15))
+            self.masks.put(at, (mask,) if mask else None)
+            if mask:
+                return
+
+    def _greatest(self, depth: int, prefix: int) -> int:
+        """The greatest score below the node."""
+        while True:
+            prefix = prefix << 4 | self.masks.get((self.side, depth, prefix))[0].bit_length() - 1
+            if depth == 0:
+                return prefix
+            depth -= 1
+
+    def best(self, n: int) -> list[int]:
+        """The best n prices."""
+        out: list[int] = []
+        if self.masks.get((self.side, self.DEPTH - 1, 0)) is None:
+            return out
+        score = self._greatest(self.DEPTH - 1, 0)
+        while len(out) < n:
+            out.append(self._score(score))  # the score of a score is the price again
+            for depth in range(self.DEPTH):
+                lower = self.masks.get((self.side, depth, score >> 4 * (depth + 1)))[0] & ((1 << (score >> 4 * depth & 15)) - 1)
+                if lower:
+                    node = score >> 4 * (depth + 1) << 4 | lower.bit_length() - 1
+                    score = self._greatest(depth - 1, node) if depth else node
+                    break
+            else:
+                break
+        return out
+
+
+class Book(Ordered):
+    """Orders by id, levels by price and ladders of prices, each in a map state: an event touches its order, its level and a path of
+    the ladder, whatever the size of the book."""
+
+    N = 10
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.orders = handle.getMapState("orders", "order_id bigint", "side string, price bigint, qty bigint")
+        self.levels = handle.getMapState("levels", "side string, price bigint", "orders bigint, volume bigint")
+        self.ladders = handle.getMapState("ladders", "side string, depth int, prefix bigint", "mask bigint")
+
+    def release(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        self.order_of, self.level_of, masks = _Cached(self.orders), _Cached(self.levels), _Cached(self.ladders)
+        self.ladder = {s: Ladder(masks, s) for s in "BS"}
+        out = []
+        for r in rows.itertuples(index=False):
+            ok = None
+            if r.kind == "check":
+                ok = all(self._agrees(side, theirs) for side, theirs in (("B", r.bids), ("S", r.asks)))
+            else:
+                self._apply(r)
+            bid, ask = ((self.ladder[s].best(1) or [0])[0] for s in "BS")
+            out.append((r.seq, r.kind, r.order_id, float(bid), float(ask), ok))
+        for cached in (self.order_of, self.level_of, masks):
+            cached.flush()
+        yield from self._keyed(key, pd.DataFrame(out, columns=["seq", "kind", "order_id", "best_bid", "best_ask", "ok"]).astype({"ok": object}))
+
+    def _apply(self, r) -> None:
+        own = self.order_of.get((r.order_id,))
+        if r.kind == "insert":
+            if own is None and r.qty > 0:
+                price = int(r.price) if r.price == r.price and r.price is not None else (self.ladder[r.side].best(1) or [0])[0]
+                self.order_of.put((r.order_id,), (r.side, price, int(r.qty)))
+                self._change(r.side, price, 1, int(r.qty))
+        elif own is not None and own[2]:
+            side, price, qty = own
+            cut = min(int(r.qty), qty)
+            # a finished order stays as one without shares, so that a repeated insert changes nothing
+            self.order_of.put((r.order_id,), (side, price, qty - cut))
+            self._change(side, price, -(cut == qty), -cut)
+
+    def _change(self, side: str, price: int, orders: int, volume: int) -> None:
+        had = self.level_of.get((side, price)) or (0, 0)
+        now = (had[0] + orders, had[1] + volume)
+        self.level_of.put((side, price), now if now[0] else None)
+        if not had[0]:
+            self.ladder[side].add(price)
+        elif not now[0]:
+            self.ladder[side].remove(price)
+
+    def _agrees(self, side: str, theirs: list) -> bool:
+        """Prices and counts of the best levels equal, volumes within 20 shares."""
+        mine = [(p, *reversed(self.level_of.get((side, p)))) for p in self.ladder[side].best(self.N)]
+        theirs = [] if theirs is None else [tuple(x) for x in theirs][:self.N]
+        return len(mine) == len(theirs) and all(a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) <= 20 for a, b in zip(mine, theirs))
+
+
+def live_book(stream: DataFrame, keys: list[str], delay: str = "2 seconds", step_ms: int = STEP_MS) -> DataFrame:
     """Order book per stock-day: best prices after every event, and snapshot checks on ``check`` events.
 
-    A check event carries the expected best bid in ``price``; it reports whether the book agrees. State holds
-    the live orders only.
+    A check event carries the expected levels in ``bids`` and ``asks`` (arrays of price, volume, orders); it reports whether the
+    best ten of the book agree. Prices are whole numbers of at most ten hexadecimal digits.
     """
-
-    def step(key, rows, before):
-        live = {int(k): v for k, v in json.loads(before).items()} if before else {}
-        events = []
-        start = [(True, i, -1, "carry", o, v[0], v[1], v[2], False, False, False) for i, (o, v) in enumerate(live.items())]
-        for n, r in enumerate(rows.itertuples(index=False)):
-            opens = r.kind == "insert" and r.order_id not in live
-            if opens:
-                live[r.order_id] = [r.side, float(r.price), int(r.qty)]
-            left, closes = 0, False
-            if r.order_id in live:
-                if r.kind in ("trade", "cancel"):
-                    live[r.order_id][2] = max(0, live[r.order_id][2] - int(r.qty))
-                left = live[r.order_id][2]
-                closes = left == 0
-                if closes:
-                    del live[r.order_id]
-            events.append((False, n, r.seq, r.kind, r.order_id, r.side, float(r.price), left, opens, closes, False))
-        cols = ["carry", "_pos", "seq", "kind", "order_id", "side", "price", "live", "opens", "closes", "want"]
-        out = _replay_block(pd.DataFrame(start + events, columns=cols), 1)
-        expected = pd.Series([float(e[6]) for e in events])
-        out["ok"] = (out["best_bid"] == expected).where(out["kind"] == "check", None).astype(object)
-        return out[["seq", "kind", "order_id", "best_bid", "best_ask", "ok"]], json.dumps(live)
-
-    return ordered(stream, keys, ["at_ms", "seq", "order_id"], step,
-                   "seq bigint, kind string, order_id bigint, best_bid double, best_ask double, ok boolean", delay)
+    return ordered(stream, keys, ["at_ms", "seq", "order_id"], None,
+                   "seq bigint, kind string, order_id bigint, best_bid double, best_ask double, ok boolean", delay, step_ms=step_ms, processor=Book)
 
 
 def timed_checks(stream: DataFrame, keys: list[str], wait_ms: int = 2000, delay: str = "2 seconds") -> DataFrame:
