@@ -36,21 +36,71 @@ def test_timeline_orders_late_rows(spark, tmp_path):
     assert [(r.at_ms // 1000, r.event_no) for r in out] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
 
 
-def test_book_matches_the_batch_replay(spark, tmp_path):
-    rows = [
-        (1, "insert", 1, "B", 10, 100), (2, "insert", 2, "B", 11, 50), (3, "insert", 3, "S", 13, 40),
-        (4, "cancel", 2, "B", 11, 50), (5, "trade", 1, "B", 10, 100), (6, "insert", 4, "B", 9, 5),
-        (7, "check", 0, "B", 9, 0), (8, "check", 0, "B", 10, 0), (500, "insert", 9, "B", 1, 1)]
-    df = spark.createDataFrame([(1, 1, *r) for r in rows], (
-        "SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long"))
-    timed = df.select("SecuCode", "TradingDay", F.timestamp_seconds("seq").alias("ts"), (F.col("seq") * SECOND).alias("at_ms"),
-                      "seq", "kind", "order_id", "side", "price", "qty")
-    stream = as_stream(spark, timed, tmp_path)
-    got = {r.seq: r for r in J.materialised(O.live_book(stream, ["SecuCode", "TradingDay"]), "append").collect()}
-    want = {r.seq: r for r in B.replay(df.where("kind <> 'check'")).collect() if r.seq < 100}
-    for seq, r in want.items():
-        assert (got[seq].best_bid, got[seq].best_ask) == (r.best_bid, r.best_ask)
-    assert (got[7].ok, got[8].ok) == (True, False)
+BOOK = ("SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long, "
+        "bids array<struct<price:double,volume:long,orders:long>>, asks array<struct<price:double,volume:long,orders:long>>")
+
+
+@pytest.mark.parametrize("step_ms", [1, 40_000, 10**9])
+def test_book_matches_the_batch_book(spark, tmp_path, step_ms):
+    """Levels are checked among the events; a repeated insert, an unknown order and an own-best order change what they do in the batch book."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for seq in range(1, 160):
+        oid = rng.randint(1, 60)
+        kind = rng.choice(["insert", "insert", "trade", "cancel"])
+        rows.append((seq, kind, oid, "B" if oid % 3 else "S", None if kind == "insert" and seq % 9 == 0 else rng.randint(1, 300) * 7, rng.randint(1, 9), None, None))
+    df = spark.createDataFrame([(1, 1, *r) for r in rows], BOOK)
+    want = {r.seq: (r.best_bid, r.best_ask) for r in B.best_prices(df).collect()}
+    at = B.positioned(df)
+    depth = {r["_pos"]: (r.bids, r.asks) for r in B.depth_at(at, at.where("_pos % 10 = 0"), 10).collect()}
+    checks, ok = [], {}
+    for seq, (bids, asks) in depth.items():
+        bids = [tuple(x) for x in bids]
+        if seq % 20 == 0 and bids:
+            bids[-1] = (bids[-1][0], bids[-1][1] + (20 if seq % 40 == 0 else 21), bids[-1][2])
+        ok[seq] = seq % 20 != 0 or not bids or seq % 40 == 0
+        checks.append((1, 1, seq, "check", 10**9, "B", 0, 0, bids, [tuple(x) for x in asks]))
+    both = df.union(spark.createDataFrame(checks, BOOK)).union(spark.createDataFrame([(1, 1, 500, "insert", 9, "B", 1, 1, None, None)], BOOK))
+    timed = both.select("SecuCode", "TradingDay", F.timestamp_seconds("seq").alias("ts"), (F.col("seq") * SECOND).alias("at_ms"),
+                        "seq", "kind", "order_id", "side", "price", "qty", "bids", "asks").orderBy("seq")
+    path = str(tmp_path / "in")
+    for low, high in ((0, 60), (60, 110), (110, 1000)):
+        timed.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = J.materialised(O.live_book(stream, ["SecuCode", "TradingDay"], step_ms=step_ms), "append").collect()
+    assert {r.seq: (r.best_bid, r.best_ask) for r in got if r.kind != "check"} == want
+    assert {r.seq: r.ok for r in got if r.kind == "check"} == ok
+
+
+def test_ladder_of_prices():
+    import random
+
+    class Held(dict):
+        def containsKey(self, key):
+            return key in self
+
+        getValue, updateValue = dict.__getitem__, dict.__setitem__
+        removeKey = dict.__delitem__
+
+    rng, masks = random.Random(1), O._Cached(Held())
+    for side in "BS":
+        ladder, prices = O.Ladder(masks, side), set()
+        for _ in range(2000):
+            price = rng.choice([rng.randint(0, 40), rng.randint(0, 16**10 - 1)])
+            if price in prices:
+                prices.remove(price)
+                ladder.remove(price)
+            else:
+                prices.add(price)
+                ladder.add(price)
+            if rng.random() < 0.1:
+                masks.flush()
+                assert ladder.best(5) == sorted(prices, reverse=side == "B")[:5]
+        for price in prices:
+            ladder.remove(price)
+    masks.flush()
+    assert not masks.state
 
 
 @pytest.fixture(scope="module")

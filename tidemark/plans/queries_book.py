@@ -208,7 +208,7 @@ traded AS (SELECT c.SecuCode, c.TradingDay, c.seq, c.n, sum(CASE WHEN s.kind = '
   FROM chosen c JOIN steps s ON s.SecuCode = c.SecuCode AND s.TradingDay = c.TradingDay AND s.seq <= c.seq GROUP BY c.SecuCode, c.TradingDay, c.seq, c.n),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY SecuCode, TradingDay, seq, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS level FROM book),
 faulty AS (SELECT t.*, (t.n / 7 + t.SecuCode) % 9 AS fault FROM traded t)
-SELECT f.SecuCode, f.TradingDay, f.n AS snap_no, CASE WHEN f.fault = 7 THEN 93000000 ELSE 93000000 + f.seq END AS TickTime, f.volume AS TotalVolume,
+SELECT f.SecuCode, f.TradingDay, f.n AS snap_no, f.seq AS taken, CASE WHEN f.fault = 7 THEN 93000000 ELSE 93000000 + f.seq END AS TickTime, f.volume AS TotalVolume,
   f.turnover + CASE WHEN f.fault = 6 THEN 1 ELSE 0 END AS TotalTurnover, t.bid_volume + CASE WHEN f.fault = 1 THEN 1 ELSE 0 END AS TotalBidVolume, t.ask_volume AS TotalAskVolume,
   CAST(floor((t.bid_value * 20 + t.bid_volume) / (CASE WHEN t.bid_volume > 0 THEN t.bid_volume ELSE 1 END * 2)) AS double) AS WeightBidPrice,
   CAST(floor((t.ask_value * 20 + t.ask_volume) / (CASE WHEN t.ask_volume > 0 THEN t.ask_volume ELSE 1 END * 2)) AS double) AS WeightAskPrice,
@@ -216,7 +216,7 @@ SELECT f.SecuCode, f.TradingDay, f.n AS snap_no, CASE WHEN f.fault = 7 THEN 9300
   r.orders + CASE WHEN f.fault = 5 AND r.level = 1 THEN 1 ELSE 0 END AS orders
 FROM faulty f JOIN totals t ON t.SecuCode = f.SecuCode AND t.TradingDay = f.TradingDay AND t.seq = f.seq
   JOIN ranked r ON r.SecuCode = f.SecuCode AND r.TradingDay = f.TradingDay AND r.seq = f.seq AND r.level <= 10"""
-HEAD = ["SecuCode", "TradingDay", "snap_no", "TickTime", "TotalVolume", "TotalTurnover", "TotalBidVolume", "TotalAskVolume", "WeightBidPrice", "WeightAskPrice"]
+HEAD = ["SecuCode", "TradingDay", "snap_no", "taken", "TickTime", "TotalVolume", "TotalTurnover", "TotalBidVolume", "TotalAskVolume", "WeightBidPrice", "WeightAskPrice"]
 V.VIEW_SQL["snap_levels"] = SNAPSHOTS.format(log="book_events").replace("n / 7", "n // 7").replace("(n + 6) / 7", "(n + 6) // 7")
 V.VIEW_SQL["snap_heads"] = f"SELECT DISTINCT {', '.join(HEAD)} FROM snap_levels"
 #: Every state of the book that a snapshot may meet, compared level by level.
@@ -252,7 +252,7 @@ FROM snap_heads h LEFT JOIN won w USING (SecuCode, TradingDay, snap_no) WHERE NO
 def snapshots(spark, d):
     """The snapshots of SNAPSHOTS as one row each with its levels."""
     text = SNAPSHOTS.replace("n / 7", "n div 7").replace("(n + 6) / 7", "(n + 6) div 7")
-    levels = spark.sql(text, log=V.book_events(spark, d)).withColumns({c: F.col(c).cast("bigint") for c in HEAD[2:8]})
+    levels = spark.sql(text, log=V.book_events(spark, d)).withColumns({c: F.col(c).cast("bigint") for c in HEAD[2:9]})
     one = F.struct(F.col("price").cast("double").alias("price"), F.col("volume").cast("bigint").alias("volume"), F.col("orders").cast("bigint").alias("orders"))
     side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("level", one.alias("v"))))), lambda x: x["v"])
     return levels.groupBy(*HEAD).agg(side("B").alias("bids"), side("S").alias("asks"))  # ten levels a side

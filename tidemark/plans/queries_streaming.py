@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from tidemark.plans import views as V
 from tidemark.functions.series import running
 from tidemark.plans.catalog import query
-from tidemark.plans.queries_book import BOX
+from tidemark.plans.queries_book import BOX, snapshots
 from tidemark.plans.queries_flow import rounded
 from tidemark.session import work_dir
 from tidemark.streaming import jobs as J
 from tidemark.streaming import ordered as O
 
 DELAY = "10 minutes"
+HOUR_MS = 3_600_000
 
 
 def stream(spark, d, name="events"):
@@ -119,15 +120,14 @@ V.VIEW_SQL["true_levels"] = V.VIEW_SQL["snap_levels"].replace("% 9 AS fault", "%
 
 @query("st05_live_checks", """
 SELECT SecuCode, TradingDay, snap_no, bool_and(coalesce(a.price = b.price AND a.orders = b.orders AND abs(a.volume - b.volume) <= 20, false)) AS ok
-FROM (SELECT *, max(TickTime) OVER (PARTITION BY SecuCode, TradingDay, snap_no) AS t FROM true_levels) a FULL JOIN snap_levels b USING (SecuCode, TradingDay, snap_no, side, level)
-GROUP BY 1, 2, 3 HAVING max(t) - 93000000 <= (SELECT max(seq) - 2 FROM book_events)""")
+FROM true_levels a FULL JOIN snap_levels b USING (SecuCode, TradingDay, snap_no, side, level)
+GROUP BY 1, 2, 3 HAVING max(a.taken) <= (SELECT max(seq) - 2 FROM book_events)""")
 def _(spark, d):
     """Snapshots stand in the stream among the events; the levels of the live book are compared with theirs."""
     days = ["SecuCode", "TradingDay"]
     events = V.book_events(spark, d)
-    number = events.select(*days, "seq").distinct().withColumn("n", F.row_number().over(Window.partitionBy(*days).orderBy("seq")))  # of a fixture
-    checks = snapshots(spark, d).join(number.withColumnRenamed("n", "snap_no"), [*days, "snap_no"]).select(
-        *days, "seq", F.lit("check").alias("kind"), (F.lit(1 << 40) + F.col("snap_no")).alias("order_id"), F.lit("B").alias("side"),
+    checks = snapshots(spark, d).select(
+        *days, F.col("taken").alias("seq"), F.lit("check").alias("kind"), (F.lit(1 << 40) + F.col("snap_no")).alias("order_id"), F.lit("B").alias("side"),
         F.lit(0).cast("bigint").alias("price"), F.lit(0).cast("bigint").alias("qty"), "bids", "asks")
     rows = events.withColumns({c: F.lit(None).cast(checks.schema[c].dataType) for c in ("bids", "asks")}).unionByName(checks)
     second = F.col("seq") + 1

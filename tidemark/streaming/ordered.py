@@ -15,7 +15,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegralType, StructField, StructType
 
 from tidemark.operators.machines import Box, advance_box
 
@@ -26,10 +26,15 @@ Late = Callable[[tuple, int, str | None], tuple[pd.DataFrame, str | None, int |
 STEP_MS = 60_000
 
 
-def _plain(value: Any) -> Any:
+def _plain(value: Any, kind: DataType | None = None) -> Any:
+    """A value as state takes it: pandas turns whole numbers among nulls into floats."""
+    if isinstance(kind, IntegralType):
+        return None if value is None or value != value else int(value)
     if isinstance(value, dict):
         return tuple(_plain(v) for v in value.values())
-    if isinstance(value, (list, tuple)) or hasattr(value, "tolist") and getattr(value, "ndim", 0):
+    if isinstance(value, tuple):
+        return tuple(_plain(v) for v in value)
+    if hasattr(value, "__iter__") and not isinstance(value, (str, bytes)):
         return [_plain(v) for v in value]
     return value.item() if hasattr(value, "item") else value
 
@@ -47,10 +52,10 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         steps: dict[int, list] = {}
-        at = self.schema.names.index("at_ms")
+        at, kinds = self.schema.names.index("at_ms"), [f.dataType for f in self.schema.fields]
         for pdf in rows:
             for r in pdf[self.schema.names].itertuples(index=False):
-                row = tuple(_plain(v) for v in r)
+                row = tuple(_plain(v, t) for v, t in zip(r, kinds, strict=True))
                 steps.setdefault(row[at] // self.step_ms, []).append(row)
         for step, new in steps.items():
             self._wait(step, (self._rows(step) or []) + new)
@@ -58,7 +63,7 @@ class Ordered(StatefulProcessor):
         return iter(())
 
     def _rows(self, step: int) -> list | None:
-        return list(self.waiting.getValue((step,))[0]) if self.waiting.containsKey((step,)) else None
+        return _plain(self.waiting.getValue((step,))[0]) if self.waiting.containsKey((step,)) else None
 
     def _wait(self, step: int, rows: list) -> None:
         self.waiting.updateValue((step,), ([tuple(r) for r in rows],))
