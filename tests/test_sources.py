@@ -153,12 +153,52 @@ def test_a_failed_split_leaves_no_data_to_read(spark, tmp_path):
 
 
 def test_a_second_append_adds_nothing(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.createDataFrame([(1, 10), (2, 20)], "k int, t int").write.parquet(path)
-    new = spark.createDataFrame([(1, 10), (1, 11), (2, 19), (3, 1)], "k int, t int")
+    path, kind = str(tmp_path / "t"), "k int, t int"
+    W.append_newer(spark.createDataFrame([(1, 10), (2, 20)], kind), path, ["k"], "t")
+    new = spark.createDataFrame([(1, 10), (1, 11), (2, 19), (3, 1), (3, 2)], kind)
     for _ in range(2):
-        W.append_newer(new, path, ["k"], "t")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 10), (1, 11), (2, 20), (3, 1)]
+        ledger = W.append_newer(new, path, ["k"], "t")
+    assert sorted(map(tuple, ledger.rows().collect())) == [(1, 10), (1, 11), (2, 20), (3, 1), (3, 2)]
+    assert sorted(map(tuple, ledger.last().collect())) == [(1, 11), (2, 20), (3, 2)]
+
+
+def test_an_append_that_is_not_committed_changes_nothing(spark, tmp_path, monkeypatch):
+    """A crash between the rows and the commit; the same batch again; a second run that takes the same number."""
+    from tidemark.sinks.ledger import Ledger
+
+    path, schema = str(tmp_path / "t"), spark.createDataFrame([], "k int, t int").schema
+    df = lambda *rows: spark.createDataFrame(rows, schema)
+    table = lambda: Ledger(spark, path, schema, ["k"], "t")
+    assert table().rows().collect() == [] and table().last() is None
+    assert table().append(df((1, 1)), "a")
+    with monkeypatch.context() as m:
+        m.setattr(Ledger, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table().append(df((1, 2), (2, 1)), "b")
+    assert sorted(map(tuple, table().rows().collect())) == [(1, 1)]
+    assert table().append(df((1, 2), (2, 1)), "b") and not table().append(df((1, 3)), "b")
+    assert sorted(map(tuple, table().rows().collect())) == [(1, 1), (1, 2), (2, 1)]
+    with pytest.raises(Exception, match="(?i)exists"):
+        table()._commit(1, {})
+
+
+def test_an_append_reads_no_stored_rows(spark, tmp_path, monkeypatch):
+    from tidemark.sinks import ledger as L
+
+    monkeypatch.setattr(L, "SUMMARY_EVERY", 3)
+    path, schema = str(tmp_path / "t"), spark.createDataFrame([], "k int, t int").schema
+    for i in range(8):
+        table = L.Ledger(spark, path, schema, ["k"], "t")
+        assert table.append(spark.createDataFrame([(i % 2, i)], schema), f"b{i}")
+        for data in (tmp_path / "t" / "data").iterdir():  # what is stored can be unreadable
+            for file in data.glob("*.parquet"):
+                file.rename(file.with_suffix(".kept"))
+        assert not table.append(spark.createDataFrame([(0, 100)], schema), f"b{i}")
+    assert len(table._commits()) <= 3
+    for data in (tmp_path / "t" / "data").iterdir():
+        for file in data.glob("*.kept"):
+            file.rename(file.with_suffix(".parquet"))
+    assert sorted(map(tuple, table.rows().collect())) == [(i % 2, i) for i in sorted(range(8), key=lambda i: (i % 2, i))]
 
 
 def test_a_report_is_one_small_file_with_the_expected_columns(spark, tmp_path):

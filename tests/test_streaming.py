@@ -36,6 +36,26 @@ def test_timeline_orders_late_rows(spark, tmp_path):
     assert [(r.at_ms // 1000, r.event_no) for r in out] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
 
 
+def test_three_feeds_with_watermarks_of_their_own(spark, tmp_path):
+    """A row is late only where its own feed's delay and all other feeds have passed it; the slowest feed rules."""
+    def feed(name, batches):
+        path = str(tmp_path / name)
+        for k, seconds in enumerate(batches):
+            rows = spark.createDataFrame([("a", s, s * 10 + k) for s in seconds], "k string, sec long, seq long")
+            rows.select("k", F.timestamp_seconds("sec").alias("ts"), (F.col("sec") * SECOND).alias("at_ms"), "seq").coalesce(1).write.mode("append").parquet(path)
+        schema = "k string, ts timestamp, at_ms long, seq long"
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    orders = feed("orders", [[10, 20], [50, 15], [100]])  # 15 comes when orders are at 50, but deals still at 30
+    deals = feed("deals", [[12, 30], [40, 11], [90]])     # 11 is behind its own delay, but the snapshots hold everything back
+    snaps = feed("snaps", [[5], [12], [60]])
+    feeds = {"order": (orders, "5 seconds"), "deal": (deals, "5 seconds"), "snapshot": (snaps, "1 second")}
+    out = J.materialised(O.feeds_timeline(feeds, ["k"], 20 * SECOND), "append").orderBy("event_no").collect()
+    want = sorted([(10, 0), (20, 0), (15, 0), (50, 0), (12, 1), (30, 1), (40, 1), (11, 1), (5, 2), (12, 2)])
+    assert [(r.at_ms // SECOND, r.prio) for r in out] == want
+    assert [r.event_no for r in out] == list(range(1, len(want) + 1))
+
+
 BOOK = ("SecuCode long, TradingDay long, seq long, kind string, order_id long, side string, price long, qty long, "
         "bids array<struct<price:double,volume:long,orders:long>>, asks array<struct<price:double,volume:long,orders:long>>")
 

@@ -95,7 +95,7 @@ def _(spark, d):
 
 
 @query("st01_live_timeline", """
-SELECT user_id, at_ms, seq, prio, kind, event_no FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, seq, prio) AS event_no
+SELECT user_id, at_ms, seq, prio, kind, event_no FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, prio, seq) AS event_no
   FROM (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, event_id % 3 AS prio, event_type AS kind FROM events)), watermark WHERE at_ms <= wm""")
 def _(spark, d):
     rows = stream(spark, d).select(
@@ -104,6 +104,29 @@ def _(spark, d):
     return J.materialised(O.timeline(rows, ["user_id"], DELAY), "append").select("user_id", "at_ms", "seq", "prio", "kind", "event_no")
 
 
+V.VIEW_SQL["feed_rows"] = """
+SELECT SecuCode, TradingDay, CASE kind WHEN 'insert' THEN seq ELSE seq + order_id % 3 END + 1 AS second, order_id AS seq,
+  CASE kind WHEN 'insert' THEN 0 WHEN 'trade' THEN 1 ELSE 2 END AS prio, CASE kind WHEN 'insert' THEN 'order' WHEN 'trade' THEN 'deal' ELSE 'snapshot' END AS kind FROM book_events"""
+
+
+@query("st01_three_feeds", """
+WITH w AS (SELECT min(wm) AS wm FROM (SELECT max(second) - CASE prio WHEN 0 THEN 2 WHEN 1 THEN 30 ELSE 600 END AS wm FROM feed_rows GROUP BY prio))
+SELECT * FROM (SELECT SecuCode, TradingDay, second * 1000 AS at_ms, seq, prio::BIGINT AS prio, kind,
+  row_number() OVER (PARTITION BY SecuCode, TradingDay ORDER BY second, prio, seq) AS event_no FROM feed_rows) WHERE at_ms <= (SELECT wm FROM w) * 1000""")
+def _(spark, d):
+    """Three streams with delays of their own; the slowest watermark decides how far the timeline goes."""
+    days = ["SecuCode", "TradingDay"]
+
+    def feed(kind):
+        rows = V.book_events(spark, d, stream(spark, d, "orders")).where(F.col("kind") == kind)
+        second = F.col("seq") + 1 + F.when(F.col("kind") == "insert", 0).otherwise(F.col("order_id") % 3)
+        return rows.select(*days, F.timestamp_seconds(second).alias("ts"), (second * 1000).alias("at_ms"), F.col("order_id").alias("seq"))
+
+    kinds = {"order": ("insert", "2 seconds"), "deal": ("trade", "30 seconds"), "snapshot": ("cancel", "10 minutes")}
+    out = O.feeds_timeline({k: (feed(source), delay) for k, (source, delay) in kinds.items()}, days, HOUR_MS)
+    return J.materialised(out, "append").select(*days, "at_ms", "seq", "prio", "kind", "event_no")
+
+
 @query("st05_live_book", """
 SELECT SecuCode, TradingDay, seq, order_id, best_bid, best_ask FROM best_prices WHERE seq <= (SELECT max(seq) - 2 FROM book_events)""")
 def _(spark, d):
@@ -204,5 +227,5 @@ def _(spark, d):
     rows = live_ticks(spark, d).select("symbol", F.unix_micros("ts").alias("ts_us"), "price", "volume")
     noon = V.ticks(spark, d).agg(F.expr("(min(ts_us) + max(ts_us)) div 2")).first()[0]
     for part in (rows.where(F.col("ts_us") <= noon), rows, rows):  # first half, the rest, and a replay that adds nothing
-        J.refresh_table(part, path, ["symbol"], "ts_us")
-    return spark.read.schema(rows.schema).parquet(path)
+        ledger = J.refresh_table(part, path, ["symbol"], "ts_us")
+    return ledger.rows()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sinks.ledger import Ledger
+
 ROW_GROUP_ROWS = 200_000
 
 # Sort columns of each table inside a stock (fixed values).
@@ -60,10 +64,12 @@ def newer_rows(stored: DataFrame, new: DataFrame, keys: list[str], t: str) -> Da
     return new.join(last, keys, "left").where(F.col("_last").isNull() | (F.col(t) > F.col("_last"))).drop("_last")
 
 
-def append_newer(new: DataFrame, path: str, keys: list[str], t: str) -> None:
-    """Append to the table at ``path`` what is newer than its rows; a second run adds nothing."""
-    stored = new.sparkSession.read.schema(new.schema).parquet(path)
-    newer_rows(stored, new, keys, t).write.mode("append").parquet(path)
+def append_newer(new: DataFrame, path: str, keys: list[str], t: str, batch: str | None = None) -> Ledger:
+    """Append to the ledger table at ``path`` what is newer than the last time of its key; a second run adds nothing. No stored row is
+    read. A batch id, if given, is added once."""
+    ledger = Ledger(new.sparkSession, path, new.schema, keys, t)
+    ledger.append(new, batch or uuid.uuid4().hex)
+    return ledger
 
 
 def write_report(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -10,30 +10,37 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.fields import order_key
 from tidemark.session import ROCKSDB, STATE_STORE_CONF, work_dir
-from tidemark.sinks.tables import newer_rows
+from tidemark.sinks.ledger import Ledger
+
+
+WATERMARK_POLICY = "spark.sql.streaming.multipleWatermarkPolicy"
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append",
                   checkpoint: str | None = None) -> None:
     """Process everything that has arrived, batch by batch, and stop.
 
-    State with several variables and timers needs the RocksDB store. A query takes its settings from the session when it starts,
-    so the store is set for the start alone and the session keeps what its owner chose.
+    State with several variables and timers needs the RocksDB store, and where feeds meet, the slowest one's watermark must rule
+    (policy ``min``), or a feed that runs ahead would make the others late. A query takes its settings from the session when it
+    starts, so both are set for the start alone and the session keeps what its owner chose.
     """
     spark = stream.sparkSession
     writer = (
         stream.writeStream.outputMode(mode).trigger(availableNow=True)
         .option("checkpointLocation", checkpoint or work_dir(spark, "stream-checkpoint")).foreachBatch(write)
     )
-    own = spark.conf.get(STATE_STORE_CONF, None)
-    spark.conf.set(STATE_STORE_CONF, ROCKSDB)
+    needed = {STATE_STORE_CONF: ROCKSDB, WATERMARK_POLICY: "min"}
+    own = {k: spark.conf.get(k, None) for k in needed}
     try:
+        for k, v in needed.items():
+            spark.conf.set(k, v)
         query = writer.start()
     finally:
-        if own is None:
-            spark.conf.unset(STATE_STORE_CONF)
-        else:
-            spark.conf.set(STATE_STORE_CONF, own)
+        for k, v in own.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     query.awaitTermination()
 
 
@@ -119,18 +126,18 @@ def without_replays(stream: DataFrame, keys: list[str], delay: str = "2 seconds"
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def refresh_table(stream: DataFrame, path: str, keys: list[str], t: str, checkpoint: str | None = None) -> None:
+def refresh_table(stream: DataFrame, path: str, keys: list[str], t: str, checkpoint: str | None = None, source: str | None = None) -> Ledger:
     """Append only rows newer than the stored last time of their key, one micro-batch after the other.
 
-    A batch repeated after a failure finds its rows stored and adds nothing.
+    Last times come from the table's ledger, so a batch reads no stored row; it is committed under its id (of ``source``, by default the
+    checkpoint), and one repeated after a failure adds nothing.
     """
-    schema = stream.schema
+    spark: SparkSession = stream.sparkSession
+    checkpoint = checkpoint or work_dir(spark, "stream-checkpoint")
+    ledger = Ledger(spark, path, stream.schema, keys, t)
 
     def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        stored = spark.read.schema(schema).parquet(path)
-        newer_rows(stored, df, keys, t).write.mode("append").parquet(path)
+        Ledger(df.sparkSession, path, stream.schema, keys, t).append(df, f"{source or checkpoint}#{batch_id}")
 
-    spark: SparkSession = stream.sparkSession
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
     run_available(stream, write, "append", checkpoint)
+    return ledger

@@ -2,7 +2,8 @@
 
 Rows wait in state by time step until the watermark has passed them, then go through a step function in order - the same
 step functions as the batch jobs. A timer reads and writes the rows of its own step only, whatever else waits. What must end without
-a further row (the close of a day, a time-out) is a ``late`` function, called when the watermark passes its time.
+a further row (the close of a day, a time-out) is a ``late`` function; ``alarms`` names the times it must be called at when rows come
+in, so that its timers and those of rows go off in one order.
 """
 
 from __future__ import annotations
@@ -10,18 +11,22 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import ArrayType, DataType, IntegralType, StructField, StructType
 
 from tidemark.operators.machines import Box, advance_box
 
 Step = Callable[[tuple, pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]]
-#: Key, watermark and state to rows due, new state, and the next time to be called at (None: only after further rows).
-Late = Callable[[tuple, int, str | None], tuple[pd.DataFrame, str | None, int | None]]
+#: Key, time up to which all rows are done, and state to rows due and the new state.
+Late = Callable[[tuple, int, str | None], tuple[pd.DataFrame, str | None]]
+#: Key and new rows to the times at which ``late`` must be called.
+Alarms = Callable[[tuple, pd.DataFrame], list[int]]
 #: Milliseconds of a step in which rows wait together.
 STEP_MS = 60_000
 
@@ -42,8 +47,9 @@ def _plain(value: Any, kind: DataType | None = None) -> Any:
 class Ordered(StatefulProcessor):
     """Buffer rows (``columns`` with ``at_ms``), release them up to the watermark, run ``step``."""
 
-    def __init__(self, buffer: StructType, keys: list[str], order: list[str], step: Step | None, late: Late | None = None, step_ms: int = STEP_MS):
-        self.schema, self.keys, self.order, self.step, self.late, self.step_ms = buffer, keys, order, step, late, step_ms
+    def __init__(self, buffer: StructType, keys: list[str], order: list[str], step: Step | None, late: Late | None = None, alarms: Alarms | None = None,
+                 step_ms: int = STEP_MS):
+        self.schema, self.keys, self.order, self.step, self.late, self.alarms, self.step_ms = buffer, keys, order, step, late, alarms, step_ms
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -54,6 +60,8 @@ class Ordered(StatefulProcessor):
         steps: dict[int, list] = {}
         at, kinds = self.schema.names.index("at_ms"), [f.dataType for f in self.schema.fields]
         for pdf in rows:
+            for alarm in set(self.alarms(key, pdf)) if self.alarms else ():
+                self.handle.registerTimer(int(alarm))
             for r in pdf[self.schema.names].itertuples(index=False):
                 row = tuple(_plain(v, t) for v, t in zip(r, kinds, strict=True))
                 steps.setdefault(row[at] // self.step_ms, []).append(row)
@@ -83,11 +91,10 @@ class Ordered(StatefulProcessor):
                 ready = pd.DataFrame([tuple(r) for r in held if r[at] <= mark], columns=self.schema.names)
                 yield from self.release(key, ready.sort_values(self.order, kind="stable"))
         if self.late:
-            out, state, again = self.late(key, mark, self._state())
+            # timers go off in order, so earlier steps are done, and this one as far as the watermark
+            out, state = self.late(key, min(mark, (step + 1) * self.step_ms - 1), self._state())
             self._keep(state)
             yield from self._keyed(key, out)
-            if again is not None:
-                self.handle.registerTimer(int(again))
 
     def release(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Rows that no earlier one can precede any more, in order."""
@@ -116,18 +123,18 @@ class Ordered(StatefulProcessor):
 
 
 def ordered(stream: DataFrame, keys: list[str], order: list[str], step: Step | None, output: str, delay: str | None,
-            late: Late | None = None, step_ms: int = STEP_MS, processor: type[Ordered] = Ordered) -> DataFrame:
+            late: Late | None = None, alarms: Alarms | None = None, step_ms: int = STEP_MS, processor: type[Ordered] = Ordered) -> DataFrame:
     """Attach ``step`` to a stream with ``ts`` and ``at_ms``. Without ``delay`` the stream has its watermark already."""
     fields = [f for f in stream.schema.fields if f.name not in (*keys, "ts")]
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     full = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + output
     marked = stream.withWatermark("ts", delay) if delay else stream
     return marked.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor(StructType(fields), keys, order, step, late, step_ms), outputStructType=full,
+        statefulProcessor=processor(StructType(fields), keys, order, step, late, alarms, step_ms), outputStructType=full,
         outputMode="append", timeMode="eventTime")
 
 
-def timeline(stream: DataFrame, keys: list[str], delay: str = "10 seconds") -> DataFrame:
+def timeline(stream: DataFrame, keys: list[str], delay: str | None = "10 seconds", step_ms: int = STEP_MS) -> DataFrame:
     """Order, deal and snapshot events (kind, seq, prio) numbered in time order."""
 
     def step(key, rows, before):
@@ -136,8 +143,26 @@ def timeline(stream: DataFrame, keys: list[str], delay: str = "10 seconds") -> D
         out["event_no"] = range(first + 1, first + 1 + len(out))
         return out, str(first + len(out))
 
-    return ordered(stream, keys, ["at_ms", "seq", "prio"], step,
-                   "at_ms bigint, seq bigint, prio bigint, kind string, event_no bigint", delay)
+    return ordered(stream, keys, ["at_ms", "prio", "seq"], step,
+                   "at_ms bigint, seq bigint, prio bigint, kind string, event_no bigint", delay, step_ms=step_ms)
+
+
+#: Order in which feeds go at one time.
+FEEDS = ("order", "deal", "snapshot")
+
+
+def feeds_timeline(feeds: dict[str, tuple[DataFrame, str]], keys: list[str], step_ms: int = STEP_MS) -> DataFrame:
+    """One timeline of several feeds. ``feeds``: kind -> (stream of keys, ts, at_ms, seq; its own delay); at one time they go in the
+    order given.
+
+    Each feed has its own watermark and the least of them rules (see ``run_available``): a row is late only if its feed's own delay
+    and every other feed have passed it, and a feed that stands still holds back the others.
+    """
+    columns = [*keys, "ts", "at_ms", "seq"]
+    marked = [
+        s.select(*columns).withColumns({"prio": F.lit(i).cast("bigint"), "kind": F.lit(kind)}).withWatermark("ts", delay)
+        for i, (kind, (s, delay)) in enumerate(feeds.items())]
+    return timeline(reduce(DataFrame.unionByName, marked), keys, None, step_ms)
 
 
 def next_trade(stream: DataFrame, keys: list[str], delay: str = "10 minutes", close_of: Callable[[tuple], int] | None = None,
@@ -150,9 +175,9 @@ def next_trade(stream: DataFrame, keys: list[str], delay: str = "10 minutes", cl
 
     def late(key, mark, before):
         if before is None or mark < close_of(key):
-            return pd.DataFrame(), before, None if before is None else close_of(key)
+            return pd.DataFrame(), before
         waiting = json.loads(before)
-        return pd.DataFrame({"seq": waiting, "next_time": [default] * len(waiting)}), None, None
+        return pd.DataFrame({"seq": waiting, "next_time": [default] * len(waiting)}), None
 
     def step(key, rows, before):
         pending, done = json.loads(before) if before else [], []
@@ -163,7 +188,8 @@ def next_trade(stream: DataFrame, keys: list[str], delay: str = "10 minutes", cl
             pending.append(int(seq))
         return pd.DataFrame(done, columns=["seq", "next_time"]), json.dumps(pending)
 
-    return ordered(stream, keys, ["clock", "seq"], step, "seq bigint, next_time bigint", delay, close_of and late)
+    return ordered(stream, keys, ["clock", "seq"], step, "seq bigint, next_time bigint", delay, close_of and late,
+                   close_of and (lambda key, rows: [close_of(key)]))
 
 
 def live_boxes(stream: DataFrame, keys: list[str], mid_rows: int, band: float, init: int, period: int,
@@ -371,7 +397,9 @@ def timed_checks(stream: DataFrame, keys: list[str], wait_ms: int = 2000, delay:
         total, open_checks = json.loads(before) if before else (0, [])
         over = [(s, False, None) for s, t, _ in open_checks if t + wait_ms < mark]
         open_checks = [c for c in open_checks if c[1] + wait_ms >= mark]
-        due = min((t for _, t, _ in open_checks), default=None)
-        return result(over), json.dumps((total, open_checks)), None if due is None else due + wait_ms + 1
+        return result(over), json.dumps((total, open_checks))
+
+    def alarms(key, rows):
+        return (rows.loc[rows["kind"] == "check", "at_ms"] + wait_ms + 1).tolist()
 
-    return ordered(stream, keys, ["at_ms", "prio", "seq"], step, "seq bigint, ok boolean, matched_ms bigint", delay, late)
+    return ordered(stream, keys, ["at_ms", "prio", "seq"], step, "seq bigint, ok boolean, matched_ms bigint", delay, late, alarms)
