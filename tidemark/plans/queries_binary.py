@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +17,17 @@ from tidemark.plans.catalog import query
 from tidemark.plans.queries_tables import reports
 from tidemark.session import work_dir
 from tidemark.sources import fixed_width as X
+from tidemark.sources import market as M
+from tidemark.sources.records import store
+from tidemark.streaming import jobs as J
 
 
-def write_files(df: DataFrame, by: list[str], ext: str, encode: Callable[[pd.DataFrame], bytes], name: str) -> str:
+def write_files(df: DataFrame, by: list[str], ext: str, encode: Callable[[pd.DataFrame], bytes], name: str, folder: str | None = None) -> str:
     """One file per group, named by column ``name``; returns the folder."""
-    folder = work_dir(df.sparkSession, "vendor")
+    folder = folder or work_dir(df.sparkSession, "vendor")
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, path = store(folder)
         system.create_dir(path, recursive=True)
         data = encode(pdf)
         with system.open_output_stream(f"{path}/{pdf[name].iloc[0]}.{ext}") as out:
@@ -60,6 +62,45 @@ def _(spark, d):
         F.round("close", 4).alias("close"), "amount", F.round("volume", 4).alias("volume"))
 
 
+@M.register_feed("vendor_files")
+class FileFeed(M.Feed):
+    """Daily bars of a folder of vendor files; an update reads what the files have gained."""
+
+    def daily(self, spark, path):
+        return X.read_daily(spark, path)
+
+    def update(self, spark, path, table, checkpoint):
+        bars = X.daily_bars(X.stream_records(spark, path, "daily", "*.day"))
+        return J.refresh_table(bars, table, ["symbol"], "date", checkpoint, source=path).rows()
+
+
+@query("src18_feed_update", """
+SELECT 'sh' || (600000 + symbol) AS symbol, (t // 12) * 10000 + (t % 12 + 1) * 100 + 1 AS day, round(close * 0.01::DOUBLE, 4) AS close FROM bars_m""")
+def _(spark, d):
+    """A table is filled from files of the first half of each series, the files grow, and an update adds the rest; another adds nothing."""
+    bars = V.bars_m(spark, d).withColumns({
+        "file": F.concat(F.lit("sh"), F.col("symbol") + 600000), "day": F.expr("(t div 12) * 10000 + (t % 12 + 1) * 100 + 1")})
+    table, checkpoint, folder = (work_dir(spark, n) for n in ("bars", "checkpoint", "vendor"))
+    feed = M.feed("vendor_files")
+    for part in (bars.where("t < 23950"), bars, bars):
+        write_files(part, ["symbol"], "day", lambda p: records(
+            p.sort_values("t"), X.DAILY, date="day", amount="turnover", volume="volume", **PRICES), "file", folder)
+        rows = feed.update(spark, folder, table, checkpoint)
+    return rows.select("symbol", F.date_format("date", "yyyyMMdd").cast("bigint").alias("day"), F.round("close", 4).alias("close"))
+
+
+@query("src11_days_of_files", """
+SELECT 'sh' || (600000 + symbol) AS symbol, (t // 12) * 10000 + (t % 12 + 1) * 100 + 1 AS day, close FROM bars_m WHERE t BETWEEN 23928 AND 23951""")
+def _(spark, d):
+    """Two years of the records: the bounds reach the files."""
+    bars = V.bars_m(spark, d).withColumns({
+        "file": F.concat(F.lit("sh"), F.col("symbol") + 600000), "day": F.expr("(t div 12) * 10000 + (t % 12 + 1) * 100 + 1")})
+    path = write_files(bars, ["symbol"], "day", lambda p: records(
+        p.sort_values("t"), X.DAILY, date="day", amount="turnover", volume="volume", **PRICES), "file")
+    rows = X.read_records(spark, path, "daily", "*.day").where("date >= 19940101 and date <= 19951231")
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.day$", 1).alias("symbol"), F.col("date").alias("day"), "close")
+
+
 def minute_rows(spark, d):
     at = F.timestamp_seconds("ts")
     return V.bars_h(spark, d).withColumns({

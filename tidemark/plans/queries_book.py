@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
 from tidemark.operators import book as B
+from tidemark.operators import daily as D
 from tidemark.operators import flow as O
 from tidemark.operators import machines as M
-from tidemark.operators import profile as P
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
-from tidemark.plans.queries_flow import PROFILES, SWEEPS, day_cuts, deal_log, rounded, turnover_pairs
+from tidemark.plans.queries_flow import PROFILES, SWEEPS, day_cuts, deal_log, flat_cuts, rounded, turnover_pairs
 from tidemark.plans.queries_screens import K, T, YEARS, exits, grid
 from tidemark.session import stage
 
@@ -283,21 +283,23 @@ def _(spark, d):
     return totals.groupBy(*B.DAY, F.col("matched").alias("TotalVolume")).agg(F.min("seq").alias("first_seq"))
 
 
+V.VIEW_SQL["day_bars"] = """
+SELECT SecuCode, TradingDay, arg_min(Price, (DealTime, DealID)) AS open, max(Price) AS high, min(Price) AS low, sum(Volume)::BIGINT AS volume,
+  sum(Price * Volume)::BIGINT AS turnover, count(*) AS trades FROM deals WHERE Side IN (0, 1) GROUP BY 1, 2"""
+
+
 @query("ob10_daily_metrics", f"""
-WITH m AS (SELECT SecuCode, TradingDay, count(*) AS minutes, {", ".join(f"sum(coalesce(deal_{c}_vol_Mega, 0))::BIGINT AS {c}_mega" for c in O.CATEGORIES)} FROM flow_m GROUP BY 1, 2)
-SELECT * FROM ({SWEEPS}) JOIN m USING (SecuCode, TradingDay) JOIN ({PROFILES}) USING (SecuCode, TradingDay)""")
+WITH m AS (SELECT SecuCode, TradingDay, count(*) AS minutes, {", ".join(f"sum(coalesce(deal_{c}_vol_Mega, 0))::BIGINT AS {c}_mega" for c in O.CATEGORIES)} FROM flow_m GROUP BY 1, 2),
+x AS (SELECT SecuCode, TradingDay, {", ".join(f"sum({c})::BIGINT AS {c}" for c in D.CANCELS)} FROM cancel_m GROUP BY 1, 2),
+o AS (SELECT SecuCode, round(p70, 5) AS order_p70, round(p95, 5) AS order_p95, round(p995, 5) AS order_p995 FROM thresholds WHERE book = 'total')
+SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in D.CANCELS)})
+FROM day_bars JOIN ({SWEEPS}) USING (SecuCode, TradingDay) JOIN m USING (SecuCode, TradingDay) JOIN ({PROFILES}) USING (SecuCode, TradingDay)
+JOIN o USING (SecuCode) LEFT JOIN x USING (SecuCode, TradingDay)""")
 def _(spark, d):
-    """Sweeps, profile and cancel metrics of every stock-day in one job, keyed by stock and day."""
-    deals = V.deals(spark, d)
-    profile = stage(P.volume_at_price(deals))
-    closes = deals.where(C.is_trade(F.col("Side"))).groupBy(*O.DAY).agg(
-        F.max_by("Price", O.deal_key()).alias("close"))
-    flow = O.minute_features(deals, day_cuts(spark, d)).groupBy(*O.DAY).agg(
-        F.count(F.lit(1)).alias("minutes"), *[F.sum(f"deal_{c}_vol_Mega").alias(f"{c}_mega") for c in O.CATEGORIES])
-    metrics = O.sweep_metrics(deals).join(flow, O.DAY).join(
-        P.profile_metrics(profile, stage(turnover_pairs(spark, d, profile)), closes), O.DAY)
-    at = "price_position_in_va"
-    return rounded(metrics, skip=(at,)).withColumn(at, F.round(at, 4))
+    """Bars, sweeps, profile, tiers, minute flow and cancels of every stock-day in one job, keyed by stock and day."""
+    metrics = D.daily_metrics(V.deals(spark, d), day_cuts(spark, d), flat_cuts(spark, d), lambda profile: turnover_pairs(spark, d, profile))
+    at, tiers = "price_position_in_va", ("order_p70", "order_p95", "order_p995")
+    return rounded(metrics, skip=(at, *tiers)).withColumns({at: F.round(at, 4), **{c: F.round(c, 5) for c in tiers}})
 
 
 V.VIEW_SQL["segments"] = """

@@ -105,7 +105,32 @@ def _(spark, d):
     return P.apply_exits(metrics(spark, d), 60, 99.5).select("ts_code", "out_type")
 
 
-@query("pl04_daily_job")
+V.VIEW_SQL["ignited"] = """
+SELECT DISTINCT symbol AS ts_code FROM ig
+WHERE pos >= 20 AND avg_conv < 60 AND mn > 0 AND mx > 0.02 AND gain > 0.1 AND v3 > v7 * 0.8 AND rise AND close > m8"""
+V.VIEW_SQL["sector_picks"] = """
+SELECT symbol AS ts_code, sector AS name FROM sectors JOIN (SELECT sector FROM last_sector ORDER BY score DESC, sector LIMIT 10) USING (sector)"""
+V.VIEW_SQL["pool1"] = """
+SELECT ts_code, indate::BIGINT AS indate, reason AS why FROM pool0 WHERE ts_code IN (SELECT ts_code FROM picks0)
+UNION ALL SELECT ts_code, 24022, CASE WHEN ts_code IN (SELECT ts_code FROM deleted0) THEN 'manual重返' ELSE 'manual' END FROM picks0 WHERE ts_code NOT IN (SELECT ts_code FROM pool0)"""
+V.VIEW_SQL["deleted1"] = """
+SELECT ts_code, NULL::VARCHAR AS why FROM deleted0 WHERE ts_code NOT IN (SELECT ts_code FROM picks0)
+UNION ALL SELECT ts_code, 'manual' FROM pool0 WHERE ts_code NOT IN (SELECT ts_code FROM picks0)"""
+for _n, _strategy, _picks in ((1, "ignition", "ignited"), (2, "sector", "sector_picks")):
+    V.VIEW_SQL[f"pool{_n + 1}"] = f"""
+SELECT ts_code, indate, CASE WHEN ts_code IN (SELECT ts_code FROM {_picks}) AND NOT contains(why, '{_strategy}') THEN why || ' | {_strategy}' ELSE why END AS why FROM pool{_n}
+UNION ALL SELECT DISTINCT ts_code, 24022, CASE WHEN ts_code IN (SELECT ts_code FROM deleted{_n}) THEN '{_strategy}重返' ELSE '{_strategy}' END
+FROM {_picks} WHERE ts_code NOT IN (SELECT ts_code FROM pool{_n})"""
+    V.VIEW_SQL[f"deleted{_n + 1}"] = f"SELECT * FROM deleted{_n} WHERE ts_code NOT IN (SELECT ts_code FROM {_picks} WHERE ts_code NOT IN (SELECT ts_code FROM pool{_n}))"
+V.VIEW_SQL["daily_x"] = V.VIEW_SQL["pool_x"].replace("pool0", "pool3")
+V.VIEW_SQL["daily_m"] = V.VIEW_SQL["pool_m"].replace("pool_x", "daily_x")
+
+
+@query("pl04_daily_job", """
+WITH e AS (SELECT ts_code, why, CASE WHEN highest_duration > 60 THEN '最高点间隔超过60天' WHEN maxdd > 40 THEN '从最高点回撤超过30%'
+  WHEN close < stop THEN printf('吊灯止损触发(Close:%.2f < Exit:%.2f)', close, stop) END AS gone FROM pool3 LEFT JOIN daily_m USING (ts_code))
+SELECT ts_code, CASE WHEN gone IS NULL THEN 'pool' ELSE 'deleted' END AS place, coalesce(gone, why) AS why FROM e
+UNION ALL SELECT ts_code, 'deleted', why FROM deleted3""")
 def _(spark, d):
     bars = pool_bars(spark, d)
     lit = S.ignition(stocks(spark, d, 40), IGNITE).close().where("ignited").select(

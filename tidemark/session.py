@@ -22,6 +22,7 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         STATE_STORE_CONF: ROCKSDB,
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     settings.update(conf)
     for key, value in settings.items():

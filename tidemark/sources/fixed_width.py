@@ -1,7 +1,7 @@
 """Fixed-width binary bar, block and report files.
 
-Spark lists the files and gives each task its share of them (``binaryFile``); a task decodes one file's bytes
-with numpy. Record layouts are fixed values.
+Files of records are read by ranges (``sources.records``), a file of any size by many tasks. Block and report files, which have an
+index at their head and are bounded by it, come whole (``binaryFile``). Record layouts are fixed values.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
+from tidemark.sources import records as R
 
 DAILY = np.dtype([("date", "<u4"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"),
                   ("amount", "<f4"), ("volume", "<u4"), ("unknown", "<u4")])
@@ -39,20 +40,15 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, layout: str, glob: str = "*") -> DataFrame:
-    """All fields of a fixed-width layout as one row per record, with the file's ``path``."""
+    """All fields of a fixed-width layout as one row per record, with the file's ``path``; files are read in ranges of records."""
     dtype = _LAYOUTS[layout]
-    kinds = {"u": "bigint", "f": "double"}
-    schema = "path string, record bigint, " + ", ".join(f"{n} {kinds[dtype[n].kind]}" for n in dtype.names)
+    first = dtype.names[0]  # files are in the order of their days
+    return spark.read.format(R.NAME).options(**R.options_of(spark, path, dtype, glob, first)).load()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files["path"], files["content"]):
-                whole = len(content) // dtype.itemsize
-                data = np.frombuffer(content, dtype=dtype, count=whole)
-                out = {n: data[n].astype("float64" if dtype[n].kind == "f" else "int64") for n in dtype.names}
-                yield pd.DataFrame({"path": name, "record": np.arange(whole), **out})
 
-    return _files(spark, path, glob).mapInPandas(decode, schema)
+def stream_records(spark: SparkSession, path: str, layout: str, glob: str = "*") -> DataFrame:
+    """The same as a stream of what files gain."""
+    return spark.readStream.format(R.NAME).options(**R.options_of(spark, path, _LAYOUTS[layout], glob, None)).load()
 
 
 def read_daily(spark: SparkSession, path: str, glob: str = "*.day") -> DataFrame:
@@ -60,7 +56,11 @@ def read_daily(spark: SparkSession, path: str, glob: str = "*.day") -> DataFrame
 
     Rows of a file whose name tells no known security keep its name as symbol; kind and scaled values are null.
     """
-    rows = read_records(spark, path, "daily", glob)
+    return daily_bars(read_records(spark, path, "daily", glob))
+
+
+def daily_bars(rows: DataFrame) -> DataFrame:
+    """Daily records, of files or of a stream, as bars (see ``read_daily``)."""
     code, stem = F.regexp_extract("path", r"([A-Za-z]{2}\d{6})\.\w+$", 1), F.regexp_extract("path", r"([^/]+?)(\.\w+)?$", 1)
     kind = C.security_type(F.substring(code, 1, 2), F.substring(code, 3, 6))
     rows = rows.withColumns({"symbol": F.when(code != "", code).otherwise(stem), "kind": kind})

@@ -107,7 +107,7 @@ _FEEDS: dict[str, type] = {}
 
 
 class Feed:
-    """A vendor: subclasses give DataFrames for bars, sector lists and members."""
+    """A vendor: subclasses give DataFrames for bars, sector lists and members, and bring a table up to date."""
 
     def daily(self, spark: SparkSession, path: str) -> DataFrame:
         raise NotImplementedError
@@ -115,6 +115,10 @@ class Feed:
     def members(self, spark: SparkSession, path: str) -> DataFrame:
         raise NotImplementedError
 
+    def update(self, spark: SparkSession, path: str, table: str, checkpoint: str) -> DataFrame:
+        """Add to the table what the vendor has that it lacks, and return its rows."""
+        raise NotImplementedError
+
 
 def register_feed(name: str) -> Callable[[type], type]:
     def add(cls: type) -> type:
