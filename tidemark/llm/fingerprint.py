@@ -179,5 +179,5 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     sides = F.when(at["head"], F.array(own(at["bucket"], 0), own(F.pmod(at["bucket"] - 1, F.lit(n)), 1))).otherwise(F.array(own(at["bucket"], 0)))
     spread = rows.withColumn("at", placed("k")).select("doc_id", "text", "k", F.xxhash64("text").alias("h"), F.explode(sides).alias("to"))
     spread = spread.select("to.bucket", "to.tail", "doc_id", "text", "k", "h")
-    ordered = spread.repartition(max(n, 1), "bucket").sortWithinPartitions("bucket", "tail", "k", "h")
+    ordered = spread.repartitionById(max(n, 1), F.col("bucket")).sortWithinPartitions("bucket", "tail", "k", "h")
     return ordered.select("bucket", "tail", "doc_id", "text").mapInArrow(_run, _SCHEMA)

@@ -28,9 +28,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import settle, shared_folder
+from tidemark.llm.shared import forget, settle, shared_folder
 
 ARCHIVE_BYTES, BLOCK_ENTRIES, FILE_ENTRIES = 512 << 20, 1000, 100_000
+#: Tasks that look captures up in one index file.
+READERS = 8
 #: Gzip level of records and blocks.
 LEVEL = 3
 # Fixed values of the formats.
@@ -107,9 +109,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    largest = rows.groupBy("sha").agg(F.max("page_id").alias("largest"))
-    typed = rows.join(largest, "sha").select(
-        "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+    # equal payloads meet as digests only; what refers to another page is attached by page
+    digests = settle(rows.select("page_id", "sha"), "digests")
+    repeated = settle(digests.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    revisits = settle(digests.join(repeated, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(
+        F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to").distinct(), "revisits")
+    typed = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left").select(
+        "page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _place(folder)
@@ -132,7 +138,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return settle(typed.mapInArrow(run, "key string, page_id bigint, file string, offset bigint, length bigint"), "captures")
+    out = settle(typed.mapInArrow(run, "key string, page_id bigint, file string, offset bigint, length bigint"), "captures")
+    for table in (digests, repeated, revisits):
+        forget(table)
+    return out
 
 
 _ENTRY = {"key": pa.string(), "page_id": pa.int64(), "file": pa.string(), "offset": pa.int64(), "length": pa.int64()}
@@ -247,7 +256,8 @@ def read_back(wanted: DataFrame, top: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)],
                                              ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ordered = searched.repartition(max(len(files), 1), "at").sortWithinPartitions("at", "key", "page")
+    # a file's captures are looked up by READERS tasks, each a range of its keys
+    ordered = searched.repartitionByRange(max(READERS * len(files), 1), "at", "key", "page").sortWithinPartitions("at", "key", "page")
     return ordered.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
