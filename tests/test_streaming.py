@@ -184,6 +184,13 @@ def test_growth_segments(walk, block):
     assert want and [(r.start_t, r.peak_t) for r in got] == want
 
 
+def test_growth_segments_of_a_null_key(spark):
+    rows = [(None, t, 10.0 + 5 * (t % 3)) for t in range(9)] + [("b", t, 1.0) for t in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, t int, close double")
+    got = M.growth_segments(df, ["symbol"], "t", "t div 2", 0.5, 3).collect()
+    assert sorted((r.symbol, r.start_t, r.peak_t) for r in got) == [(None, 0, 2), (None, 3, 5), (None, 6, 8)]
+
+
 @pytest.mark.parametrize("block", [9, 100_000])
 def test_ratchet_stops(walk, block):
     signals = walk.select("symbol", "t", (F.col("t") % 20 == 3).alias("entry"), "close", F.lit(1.5).alias("atr"))

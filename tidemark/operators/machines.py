@@ -10,36 +10,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.relay import relay
-from tidemark.functions.series import BLOCK, POS, number_rows, open_series
+from tidemark.functions.series import BLOCK, POS, number_rows, open_series, running
+from tidemark.session import stage
 
 
 def growth_segments(bars: DataFrame, keys: list[str], t: str, bucket: str, threshold: float = 0.6,
                     window: int = 250, block: int = BLOCK) -> DataFrame:
     """Greedy rises: highest close within ``window`` rows; a rise of ``threshold`` is kept and skipped past.
 
-    The look-ahead is a forward frame; only the skipping is sequential.
+    The look-ahead is a forward frame. Every rise knows the first rise after its peak, whether it is kept or not; which are
+    kept follows from the first rise of a key by doubling those pointers, so a key's chain of n rises takes log n joins.
     """
     s = open_series(bars, keys, [t], bucket, back=0, forward=window - 1, block=max(block, window))
     best = F.max(F.struct(F.col("close").alias("c"), (-F.col(POS)).alias("np"), F.col(t).alias("t"))).over(s.rows(0, window - 1))
     s = s.add(_best=best)
     growth = (F.col("_best.c") - F.col("close")) / F.col("close")
-    rows = s.close(keep_pos=True).select(
+    rises = stage(s.close(keep_pos=True).select(
         *keys, F.col(POS), F.col(t).cast("bigint").alias("start_t"), F.col("_best.t").cast("bigint").alias("peak_t"),
-        (-F.col("_best.np")).alias("peak_pos"), growth.alias("growth"))
-
-    def step(pdf: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
-        free, kept = int(state or 0), []
-        hits = pdf[pdf["growth"] >= threshold]
-        for at, start, peak, past, gain in zip(
-            hits[POS], hits["start_t"], hits["peak_t"], hits["peak_pos"], hits["growth"]
-        ):
-            if at >= free:
-                kept.append((start, peak, gain))
-                free = int(past) + 1
-        return pd.DataFrame(kept, columns=["start_t", "peak_t", "growth"]), str(free)
-
-    out = relay(rows, keys, step, "start_t bigint, peak_t bigint, growth double", block)
-    return out.withColumn("duration", F.col("peak_t") - F.col("start_t"))
+        (-F.col("_best.np")).alias("_peak"), growth.alias("growth")).where(F.col("growth") >= threshold))
+    none = F.lit(None).cast("bigint")
+    both = rises.select(*keys, F.col(POS).cast("bigint").alias("_at"), F.lit(1).alias("_rise"), F.col(POS).cast("bigint").alias("_hit"), none.alias("_from")).unionByName(
+        rises.select(*keys, (F.col("_peak") + 1).cast("bigint").alias("_at"), F.lit(0).alias("_rise"), none.alias("_hit"), F.col(POS).cast("bigint").alias("_from")))
+    ahead = running(both, keys, ["_at", "_rise"], f"_at div {block}", {"_to": ("last", F.col("_hit"))}, reverse=True)
+    key = F.struct(*keys).alias("_key")  # null keys are equal inside a struct
+    jumps = stage(ahead.where("_rise = 0 and _to is not null").select(key, "_from", "_to"))
+    kept = stage(rises.groupBy(key).agg(F.min(POS).cast("bigint").alias("_from")))
+    while not jumps.isEmpty():
+        kept = stage(kept.unionByName(kept.join(jumps, ["_key", "_from"]).select("_key", F.col("_to").alias("_from"))).distinct())
+        jumps = stage(jumps.join(jumps.select("_key", F.col("_from").alias("_to"), F.col("_to").alias("_beyond")), ["_key", "_to"]).select(
+            "_key", "_from", F.col("_beyond").alias("_to")))
+    out = rises.withColumn("_key", key).join(kept.withColumnRenamed("_from", POS), ["_key", POS])
+    return out.select(*keys, "start_t", "peak_t", "growth", (F.col("peak_t") - F.col("start_t")).alias("duration"))
 
 
 @dataclass
