@@ -96,9 +96,15 @@ def convergence(s: Series, column: str, spans: list[int]) -> Series:
     return s.add(conv=row_cv([f"ma_{n}" for n in spans]))
 
 
+def quotient(x: Column, y: Column) -> Column:
+    """``x / y`` as a double. By zero it is the limit, infinity with the sign of ``x`` (NaN for 0/0), instead of an error: a range over
+    a price of 0 is greater than any other."""
+    return F.coalesce(F.try_divide(x, y), x * F.lit(float("inf")))
+
+
 def vcp(s: Series, n: int, threshold: float) -> Series:
     """Volatility contraction: calmer than ``n`` rows ago in mean and spread, and close above the pivot."""
-    s = s.add(vcp=(F.col("high") - F.col("low")) / F.col("low"))
+    s = s.add(vcp=quotient(F.col("high") - F.col("low"), F.col("low")))
     s = s.add(vcp_range=s.sma("vcp", n), vcp_std=s.std("vcp", n), _high=s.high("high", n))
     s = s.add(_r=s.lag("vcp_range", n), _s=s.lag("vcp_std", n), pivot_high=s.lag("_high"))
     calm = (F.col("vcp_range") < F.col("_r") * threshold) & (F.col("vcp_std") < F.col("_s") * threshold)
