@@ -114,7 +114,7 @@ def vcp(s: Series, n: int, threshold: float) -> Series:
 def range_contraction(s: Series, n: int = 20, long: int = 60, ratio: float = 0.6) -> Series:
     """Range of ``n`` rows below ``ratio`` times its own mean, and a close above the prior ``n``-row high."""
     high, low = s.high("high", n), s.low("low", n)
-    s = s.add(price_range=(high - low) / low)
+    s = s.add(price_range=quotient(high - low, low))
     s = s.add(
         _mean=s.full(F.avg("price_range").over(s.last(long)), n + long - 1), _prior=s.lag(high := s.high("high", n)))
     s = s.add(contracted=F.coalesce(F.col("price_range") < F.col("_mean") * ratio, F.lit(False)))
