@@ -52,7 +52,8 @@ def _(spark, d):
 @query("src05_daily_csv", "SELECT symbol::VARCHAR AS symbol, t, open, high, low, close, volume FROM bars_m WHERE t > 23960")
 def _(spark, d):
     path = work_dir(spark, "bars-csv")
-    V.bars_m(spark, d).select("symbol", "t", "open", "high", "low", "close", "volume").write.partitionBy("symbol").csv(path, header=True)
+    V.bars_m(spark, d).select("symbol", "t", "open", "high", "low", "close", "volume").repartition("symbol").write.partitionBy("symbol").csv(
+        path, header=True)  # one file a symbol, not one for each task that has rows of it
     return M.read_daily_csv(
         spark, path, "t int, open bigint, high bigint, low bigint, close bigint, volume bigint", F.lit(23960),
         symbol=r"symbol=([^/]+)/")
