@@ -101,28 +101,35 @@ def boxes(bars: DataFrame, keys: list[str], t: str, bucket: str, mid_rows: int =
 
 
 def ratchet_stops(signals: DataFrame, keys: list[str], t: str, bucket: str, k_atr: float = 3.0,
-                  block: int = BLOCK) -> DataFrame:
+                  block: int = BLOCK, points: str | None = None) -> DataFrame:
     """Trailing stop while in position: ``max(stop, close - k*atr)``; entries are ignored until the exit.
 
-    ``signals``: entry flag, close and atr per bar. Returns in-position rows with stop and exit flag.
+    ``signals``: entry flag, close and atr per bar. Returns in-position rows with stop and exit flag. With ``points`` the
+    entry is an array of the numbers of all parameter sets that enter: their machines share one pass over the bars, and
+    that column tells them apart.
     """
-    rows = number_rows(signals, keys, [t], bucket).select(
-        *keys, POS, F.col(t).cast("bigint").alias("bt"), "entry", F.col("close").cast("double").alias("close"),
+    entry = F.col("entry") if points else F.when(F.col("entry"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    numbered = signals if POS in signals.columns else number_rows(signals, keys, [t], bucket)
+    rows = numbered.select(
+        *keys, POS, F.col(t).cast("bigint").alias("bt"), entry.alias("entry"), F.col("close").cast("double").alias("close"),
         F.col("atr").cast("double").alias("atr"))
 
-    def step(pdf: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
-        stop, out = (float(state) if state else None), []
-        for r in pdf.itertuples(index=False):
-            if stop is None:
-                if r.entry and r.atr == r.atr:
-                    stop = r.close - k_atr * r.atr
-                    out.append((r.bt, stop, False))
-            elif r.close < stop:
-                out.append((r.bt, stop, True))
-                stop = None
-            else:
-                stop = max(stop, r.close - k_atr * r.atr)
-                out.append((r.bt, stop, False))
-        return pd.DataFrame(out, columns=["bt", "stop", "exit"]), "" if stop is None else repr(stop)
-
-    return relay(rows, keys, step, "bt bigint, stop double, exit boolean", block).withColumnRenamed("bt", t)
+    def step(pdf: pd.DataFrame, state: str | None) -> tuple[list[tuple], str | None]:
+        stops, out = ({int(i): stop for i, stop in json.loads(state).items()} if state else {}), []
+        for bt, enter, close, atr in zip(*[pdf[c].tolist() for c in ("bt", "entry", "close", "atr")]):
+            now = close - k_atr * atr
+            new = [int(i) for i in enter if int(i) not in stops] if now == now and len(enter) else ()
+            for i, stop in list(stops.items()):
+                if close < stop:
+                    out.append((i, bt, stop, True))
+                    del stops[i]
+                else:
+                    stops[i] = max(stop, now)
+                    out.append((i, bt, stops[i], False))
+            for i in new:
+                stops[i] = now
+                out.append((i, bt, now, False))
+        return out, json.dumps(dict(sorted(stops.items()))) if stops else None
+
+    found = relay(rows, keys, step, "_point int, bt bigint, stop double, exit boolean", block).withColumnRenamed("bt", t)
+    return found.withColumnRenamed("_point", points) if points else found.drop("_point")

@@ -145,12 +145,10 @@ def grid_back(grid: list[Params]) -> int:
     return max(p.long + p.cv_w for p in grid) + 12
 
 
-def grid_signals(s: Series, grid: list[Params], t: str, bucket: str, day_gain: float = 0.02,
-                 total_gain: float = 0.05) -> DataFrame:
-    """Entry flag and entries so far (``seg``) of every grid point on every row, long form with ``param_id``.
+def grid_hits(s: Series, grid: list[Params], t: str, day_gain: float = 0.02, total_gain: float = 0.05) -> DataFrame:
+    """Entry flags of all grid points beside each other, ``_hit0`` and on: one row per bar, with its position.
 
-    Averages and convergences are evaluated once per distinct setting, the entries are counted for all points
-    in one pass, and the grid is spread with ``explode`` last: no join and no pass per point.
+    Averages and convergences are evaluated once per distinct setting.
     """
     spans = sorted({n for p in grid for n in (p.short, p.mid, p.long)})
     s = s.add(**{f"ma_{n}": s.sma("ohlc", n) for n in spans})
@@ -175,8 +173,18 @@ def grid_signals(s: Series, grid: list[Params], t: str, bucket: str, day_gain: f
             & (F.col("close") > F.col(f"ma_{p.long}")) & (conv < p.ct)
         )
         hits[f"_hit{i}"] = F.coalesce(hit, F.lit(False))
+    return s.df.where("_core").select(*s.keys, POS, t, "high", "close", "atr", *[c.alias(n) for n, c in hits.items()])
+
+
+def grid_signals(s: Series, grid: list[Params], t: str, bucket: str, day_gain: float = 0.02,
+                 total_gain: float = 0.05) -> DataFrame:
+    """Entry flag and entries so far (``seg``) of every grid point on every row, long form with ``param_id``.
+
+    The entries are counted for all points in one pass, and the grid is spread with ``explode`` last: no join and no
+    pass per point.
+    """
     keep = [*s.keys, t, "high", "close", "atr"]
-    rows = stage(s.df.where("_core").select(*keep, *[c.alias(n) for n, c in hits.items()]))
+    rows = stage(grid_hits(s, grid, t, day_gain, total_gain).drop(POS))
     sums = {f"_seg{i}": ("sum", F.col(f"_hit{i}").cast("bigint")) for i in range(len(grid))}
     rows = running(rows, list(s.keys), [t], bucket, sums)
     points = F.array(*[

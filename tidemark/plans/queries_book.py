@@ -3,14 +3,16 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
+from tidemark.functions.series import POS
 from tidemark.operators import book as B
 from tidemark.operators import daily as D
 from tidemark.operators import flow as O
 from tidemark.operators import machines as M
+from tidemark.operators import screens as S
 from tidemark.plans import views as V
 from tidemark.plans.catalog import query
 from tidemark.plans.queries_flow import PROFILES, SWEEPS, day_cuts, deal_log, flat_cuts, rounded, turnover_pairs
-from tidemark.plans.queries_screens import K, T, YEARS, exits, grid
+from tidemark.plans.queries_screens import GRID, K, T, YEARS, exits, grid_bars
 from tidemark.session import stage
 
 V.VIEW_SQL["cut_events"] = """
@@ -362,5 +364,7 @@ SELECT symbol, param_id, t::BIGINT AS t, round(stop, 6) AS stop, exit FROM r WHE
 
 @query("wn45_ratchet_stops", "SELECT * FROM ratchet")
 def _(spark, d):
-    signals = grid(spark, d).select("symbol", "param_id", "t", "entry", "close", "atr")
-    return rounded(M.ratchet_stops(signals, [*K, "param_id"], "t", YEARS, 0.3))
+    """The stops of all parameter sets run in one pass over each supplier's bars."""
+    enter = F.array_compact(F.array(*[F.when(F.col(f"_hit{i}"), F.lit(i)) for i in range(len(GRID))])).alias("entry")
+    signals = S.grid_hits(grid_bars(spark, d), GRID, "t").select(*K, POS, "t", enter, "close", "atr")
+    return rounded(M.ratchet_stops(signals, K, "t", YEARS, 0.3, points="param_id").select(*K, "param_id", "t", "stop", "exit"))

@@ -187,10 +187,14 @@ SELECT symbol, t, high, close, atr, param_id, k_atr, coalesce(mn > 1e-6 AND mx >
 FROM a, (VALUES """ + ", ".join(f"({i}, {p.cv_w}, {p.ct}, {p.vg}::DOUBLE, {p.k_atr}::DOUBLE)" for i, p in enumerate(GRID)) + """) g(param_id, cv_w, ct, vg, k_atr)"""
 
 
-def grid(spark, d):
+def grid_bars(spark, d):
     s = stocks(spark, d, S.grid_back(GRID))
     s = s.add(_range=F.col("high") - F.col("low"))
-    return S.grid_signals(s.add(atr=s.sma("_range", 5)), GRID, "t", YEARS)
+    return s.add(atr=s.sma("_range", 5))
+
+
+def grid(spark, d):
+    return S.grid_signals(grid_bars(spark, d), GRID, "t", YEARS)
 
 
 @query("wn22_grid_entries", "SELECT symbol, t, param_id, entry FROM grid_sig")
