@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import POS, Series, average_rank, exact_percentiles, running
+from tidemark.functions.series import BKT, POS, Series, _joinable, average_rank, exact_percentiles, running
 from tidemark.operators import indicators as I
 from tidemark.session import stage
 
@@ -196,23 +196,58 @@ def grid_signals(s: Series, grid: list[Params], t: str, bucket: str, day_gain: f
     return rows.select(*keep, F.explode(points).alias("_g")).select(*keep, "_g.*")
 
 
+def _exits(rows: DataFrame, keys: list[str], t: str, bucket: str, sets: list[tuple[Column, Column]]) -> DataFrame:
+    """``_entry``, ``_seg``, ``_peak``, ``_stop`` and ``_exit`` of every set (entry flag, k), numbered, beside the bars.
+
+    Entries and maxima are counted inside each bucket; what a bucket starts from, the entries before it and the maximum
+    since the last of them, comes from one row per bucket. A breach is an exit if none came earlier in its segment.
+    """
+    n = range(len(sets))
+    df, own = _joinable(rows.withColumns({f"_entry{i}": F.coalesce(e, F.lit(False)) for i, (e, _) in enumerate(sets)}), keys, bucket)
+    inside = Window.partitionBy(*own, BKT).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumns({f"_n{i}": F.sum(F.col(f"_entry{i}").cast("bigint")).over(inside) for i in n})
+    local = stage(local.withColumns({f"_m{i}": F.max(F.struct(f"_n{i}", "high")).over(inside)["high"] for i in n}))
+    before = Window.partitionBy(*own).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
+    ends = local.groupBy(*own, BKT).agg(
+        *[F.max(f"_n{i}").alias(f"_n{i}") for i in n], *[F.max_by(f"_m{i}", t).alias(f"_m{i}") for i in n])
+    ends = ends.withColumns({f"_from{i}": F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)) for i in n})
+    ends = ends.withColumns({f"_top{i}": F.max(F.struct(F.col(f"_from{i}") + F.col(f"_n{i}"), f"_m{i}")).over(before)[f"_m{i}"] for i in n})
+    carry = ends.select(*own, BKT, *[f"_from{i}" for i in n], *[f"_top{i}" for i in n])
+    out = local.join(carry.hint("merge"), [*own, BKT])
+    out = out.withColumns({
+        **{f"_seg{i}": F.col(f"_from{i}") + F.col(f"_n{i}") for i in n},
+        **{f"_peak{i}": F.when(F.col(f"_n{i}") == 0, F.greatest(f"_m{i}", f"_top{i}")).otherwise(F.col(f"_m{i}")) for i in n}})
+    out = out.withColumns({f"_stop{i}": F.col(f"_peak{i}") - k * F.col("atr") for i, (_, k) in enumerate(sets)})
+    out = out.withColumns({f"_breach{i}": F.coalesce((F.col(f"_seg{i}") > 0) & (F.col("close") < F.col(f"_stop{i}")), F.lit(False)) for i in n})
+    out = stage(out.drop(*own, BKT, *[f"_{c}{i}" for c in ("n", "m", "from", "top") for i in n]))
+    seen = {f"_seen{i}": ("max", F.when(F.col(f"_breach{i}"), F.col(f"_seg{i}"))) for i in n}
+    out = running(out, keys, [t], bucket, seen, inclusive=False)
+    first = {f"_exit{i}": F.col(f"_breach{i}") & (F.coalesce(f"_seen{i}", F.lit(0)) < F.col(f"_seg{i}")) for i in n}
+    return out.withColumns(first).drop(*[f"_{c}{i}" for c in ("breach", "seen") for i in n])
+
+
 def chandelier_exits(rows: DataFrame, keys: list[str], t: str, bucket: str) -> DataFrame:
-    """First close below ``running max(high) - k_atr*atr`` after each entry; an entry restarts the maximum.
+    """First close below ``running max(high) - k_atr*atr`` after each entry; an entry restarts the maximum."""
+    out = _exits(rows.drop("seg"), keys, t, bucket, [(F.col("entry"), F.col("k_atr"))])
+    return out.withColumnsRenamed({f"_{c}0": c for c in ("seg", "peak", "stop", "exit")}).drop("_entry0")
 
-    Entries number the segments; maximum and first breach are then plain running values per segment.
+
+def grid_exits(hits: DataFrame, grid: list[Params], keys: list[str], t: str, bucket: str, events: bool = False) -> DataFrame:
+    """Chandelier exits of every grid point on the bars of ``grid_hits``, long form with ``param_id``.
+
+    All points share their passes over the bars and are spread last; ``events`` keeps only rows that enter or exit.
     """
-    if "seg" in rows.columns:
-        seg = stage(rows)
-    else:
-        seg = stage(running(stage(rows), keys, [t], bucket, {"seg": ("sum", F.col("entry").cast("bigint"))}))
-    in_seg = [*keys, "seg"]
-    hh = running(seg, in_seg, [t], bucket, {"peak": ("max", F.col("high"))})
-    stop = F.col("peak") - F.col("k_atr") * F.col("atr")
-    hh = hh.withColumns({"stop": stop, "breach": F.coalesce((F.col("seg") > 0) & (F.col("close") < stop), F.lit(False))})
-    hh = stage(hh)
-    first = hh.where("breach").groupBy(*in_seg).agg(F.min(t).alias("_exit"))
-    out = hh.join(first, in_seg, "left")
-    return out.withColumn("exit", F.coalesce(F.col(t) == F.col("_exit"), F.lit(False))).drop("_exit", "breach")
+    sets = [(F.col(f"_hit{i}"), F.lit(float(p.k_atr))) for i, p in enumerate(grid)]
+    rows = _exits(stage(hits.drop(POS)), keys, t, bucket, sets)
+    points = F.array(*[
+        F.struct(F.lit(i).alias("param_id"), *[F.col(f"_{c}{i}").alias(c) for c in ("entry", "seg", "peak", "exit")])
+        for i in range(len(grid))
+    ])
+    if events:  # staged, so that the condition is read as plain columns and not as all that made them
+        rows = stage(rows.select(*keys, t, "high", "close", *[f"_{c}{i}" for c in ("entry", "seg", "peak", "exit") for i in range(len(grid))]))
+        rows = rows.where(F.greatest(*[F.col(f"_{c}{i}") for c in ("entry", "exit") for i in range(len(grid))]))
+    out = rows.select(*keys, t, "high", "close", F.explode(points).alias("_g")).select(*keys, t, "high", "close", "_g.*")
+    return out.where("entry or exit") if events else out
 
 
 def ranked(df: DataFrame, by: str, n: int, *order: Column, out: str = "rnk") -> DataFrame:
@@ -365,10 +400,10 @@ def pair_trades(signals: DataFrame, keys: list[str], t: str, bucket: str) -> Dat
     """Trades of an entry/exit table: first entry since the last exit, and that holding's exit.
 
     Exits counted before a row number the holdings; each trade is then one aggregated group. A holding
-    without an exit is an open trade.
+    without an exit is an open trade. Rows that neither enter nor exit change nothing and are left out first.
     """
     numbered = running(
-        stage(signals), keys, [t], bucket, {"_h": ("sum", F.col("exit").cast("bigint"))}, inclusive=False
+        stage(signals.where(F.col("entry") | F.col("exit")).select(*keys, t, "close", "entry", "exit")), keys, [t], bucket, {"_h": ("sum", F.col("exit").cast("bigint"))}, inclusive=False
     ).withColumn("_h", F.coalesce("_h", F.lit(0)))
     at_entry, at_exit = F.when(F.col("entry"), F.col(t)), F.when(F.col("exit"), F.col(t))
     trades = numbered.groupBy(*keys, "_h").agg(

@@ -219,8 +219,8 @@ c AS (SELECT *, coalesce(seg > 0 AND close < peak - k_atr * atr, false) AS breac
 SELECT *, breach AND sum(breach::INTEGER) OVER (PARTITION BY symbol, param_id, seg ORDER BY t ROWS UNBOUNDED PRECEDING) = 1 AS exit FROM c"""
 
 
-def exits(spark, d):
-    return S.chandelier_exits(grid(spark, d), ["symbol", "param_id"], "t", YEARS)
+def exits(spark, d, events=False):
+    return S.grid_exits(S.grid_hits(grid_bars(spark, d), GRID, "t"), GRID, K, "t", YEARS, events)
 
 
 @query("wn23_chandelier_exit", "SELECT symbol, t, param_id, seg::BIGINT AS seg, peak, exit FROM exits")
@@ -239,7 +239,7 @@ FROM a GROUP BY symbol, param_id, h HAVING count(*) FILTER (WHERE entry) > 0"""
 SELECT symbol, param_id, entry_t, entry_price, exit_t, exit_price, exit_price - entry_price AS pnl,
   round((exit_price - entry_price) / entry_price, 6) AS ret FROM grid_trades""")
 def _(spark, d):
-    return rounded(S.pair_trades(exits(spark, d), ["symbol", "param_id"], "t", YEARS))
+    return rounded(S.pair_trades(exits(spark, d, events=True), ["symbol", "param_id"], "t", YEARS))
 
 
 V.VIEW_SQL["daily_lists"] = """
