@@ -69,12 +69,13 @@ def walk_forward_slices(start: int, end: int, window: int, step: int) -> list[tu
     return out
 
 
-def in_slices(bars: DataFrame, key: str, t: str, window: int, step: int, min_rows: int) -> DataFrame:
+def in_slices(bars: DataFrame, key: str, t: str, window: int, step: int, min_rows: int, times: DataFrame | None = None) -> DataFrame:
     """Rows assigned to every walk-forward window that covers them; thin (key, window) pairs are skipped.
 
-    Windows start every ``step`` from the first time on, so each row computes its own windows: no range join.
+    Windows start every ``step`` from the first time on, so each row computes its own windows: no range join. ``times``
+    has the times that the windows span, where ``bars`` holds only some of them.
     """
-    bounds = bars.agg(F.min(t).alias("_a"), F.max(t).alias("_b")).withColumn("_k", F.lit(0))
+    bounds = (bars if times is None else times).agg(F.min(t).alias("_a"), F.max(t).alias("_b")).withColumn("_k", F.lit(0))
     rows = bars.withColumn("_k", F.lit(0)).join(F.broadcast(bounds), "_k").drop("_k")  # one row
     off, span = F.col(t) - F.col("_a"), F.col("_b") - F.col("_a")
     # Windows run while the next start lies more than one unit before the end.
@@ -83,5 +84,7 @@ def in_slices(bars: DataFrame, key: str, t: str, window: int, step: int, min_row
     last_no = F.least(F.floor(off / step).cast("int"), last)
     rows = rows.withColumns({"_f": first_no, "_l": last_no}).where("_f <= _l")
     rows = rows.withColumn("slice_no", F.explode(F.sequence("_f", "_l")))
+    if min_rows < 2:  # a pair that is there has a row
+        return rows.drop("_a", "_b", "_f", "_l")
     thick = rows.groupBy(key, "slice_no").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     return rows.drop("_a", "_b", "_f", "_l").join(thick.drop("_n"), [key, "slice_no"], "left_semi")

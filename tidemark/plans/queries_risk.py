@@ -145,10 +145,9 @@ FROM (SELECT * FROM grid_trades WHERE exit_t IS NOT NULL) JOIN wf_slices ON entr
 
 
 def wf_scores(spark, d):
-    trades = stage(S.pair_trades(exits(spark, d), ["symbol", "param_id"], "t", YEARS).where("exit_t is not null"))
-    bounds = V.bars_m(spark, d).select("symbol", "t")
-    sliced = J.in_slices(bounds, "symbol", "t", 24, 6, 0).select("symbol", F.col("t").alias("entry_t"), "slice_no")
-    return stage(trades.join(sliced, ["symbol", "entry_t"]).groupBy("slice_no", "param_id").agg(
+    trades = S.pair_trades(exits(spark, d, events=True), ["symbol", "param_id"], "t", YEARS).where("exit_t is not null")
+    sliced = J.in_slices(trades, "symbol", "entry_t", 24, 6, 0, V.bars_m(spark, d).select(F.col("t").alias("entry_t")))
+    return stage(sliced.groupBy("slice_no", "param_id").agg(
         F.avg("ret").alias("score"), F.count("*").alias("n")))
 
 
