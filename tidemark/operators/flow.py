@@ -1,7 +1,8 @@
 """Order-flow metrics of executions: sweeps, size tiers, minute flow, cancels.
 
-Every aggregate is combined before its shuffle, and orders are first reduced to (order, minute) rows, so a
-heavily traded stock-day or order reaches a task only as partial sums.
+An order has few trades, a minute of a stock few orders: sums kept before the shuffle would hold nearly every row in the
+memory of the task that reads it and shuffle wider rows. So the narrow rows are dealt out by order, or by minute of a
+stock, and summed there; no task gets a whole stock or day. Days are made of those sums, combined before their shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from tidemark.functions.series import exact_percentiles, open_series
 from tidemark.session import stage
 
 DAY = ["SecuCode", "TradingDay"]
+ORDER = [*DAY, "_buy", "OrderID"]
 EPS = 1e-8
 TIER_PROBS = {"p70": 0.70, "p95": 0.95, "p995": 0.995}
 CATEGORIES = ["act_buy", "pas_buy", "act_sell", "pas_sell"]
@@ -38,10 +40,30 @@ def both_sides(deals: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt out by ``keys`` to all of the session's shuffle partitions.
+
+    Without their number adaptive execution would join partitions up to its advisory size of compressed rows, which take
+    twenty times that in hash tables.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _by_order(deals: DataFrame, *columns: str | Column) -> DataFrame:
+    """Each trade under its buy (``_buy``) and its sell order, with all trades of an order in one task."""
+    rows = both_sides(deals).select(*DAY, (F.col("order_side") == "buy").alias("_buy"), "OrderID", *columns)
+    return _dealt(rows, ORDER)
+
+
+def _side_names(orders: DataFrame) -> DataFrame:
+    names = [F.when(F.col("_buy"), "buy").otherwise("sell").alias("order_side") if c == "_buy" else c for c in orders.columns]
+    return orders.select(*names)
+
+
 def order_executions(deals: DataFrame) -> DataFrame:
     """Per order: times, price range, first/last price, volume, turnover, price levels and fills."""
     at = deal_key()
-    return both_sides(deals).groupBy(*DAY, "order_side", "OrderID").agg(
+    return _side_names(_by_order(deals, "DealTime", "DealID", "Price", "Volume").groupBy(*ORDER).agg(
         F.min("DealTime").alias("start_time"),
         F.max("DealTime").alias("end_time"),
         F.min("Price").alias("price_min"),
@@ -53,7 +75,7 @@ def order_executions(deals: DataFrame) -> DataFrame:
         F.count_distinct("Price").alias("depth"),
         F.count(F.lit(1)).alias("fills"),
         F.bool_or(C.in_auction(F.col("DealTime"))).alias("in_auction"),
-    )
+    ))
 
 
 def sweeps(deals: DataFrame) -> DataFrame:
@@ -63,7 +85,18 @@ def sweeps(deals: DataFrame) -> DataFrame:
 
 def sweep_metrics(deals: DataFrame) -> DataFrame:
     """Daily sweep metrics; an empty side has depth 1 and zeros elsewhere."""
-    orders = order_executions(deals)
+    return order_sweep_metrics(order_sums(deals))
+
+
+def order_sums(deals: DataFrame) -> DataFrame:
+    """Volume, turnover, price levels and fills of every order of a day."""
+    return _side_names(_by_order(deals, "Price", "Volume").groupBy(*ORDER).agg(
+        F.sum("Volume").alias("volume"), F.sum(F.col("Price") * F.col("Volume")).alias("turnover"),
+        F.count_distinct("Price").alias("depth"), F.count(F.lit(1)).alias("fills")))
+
+
+def order_sweep_metrics(orders: DataFrame) -> DataFrame:
+    """``sweep_metrics`` of ``order_sums``."""
 
     def pick(side: str, column: str, deep: bool = False) -> Column:
         sweep = (F.col("order_side") == side) & (F.col("fills") > 1)
@@ -103,7 +136,7 @@ def sweep_metrics(deals: DataFrame) -> DataFrame:
 
 def order_volumes(deals: DataFrame) -> DataFrame:
     """Executed volume of every order of a day."""
-    return both_sides(deals).groupBy(*DAY, "order_side", "OrderID").agg(F.sum("Volume").alias("volume"))
+    return _side_names(_by_order(deals, "Volume").groupBy(*ORDER).agg(F.sum("Volume").alias("volume")))
 
 
 def order_tier_sizes(deals: DataFrame) -> DataFrame:
@@ -164,33 +197,28 @@ def minute_orders(deals: DataFrame) -> DataFrame:
 
     The window spans the minutes of one order in one day, at most a few hundred rows.
     """
-    per_minute = (
-        both_sides(deals)
-        .groupBy(*DAY, "order_side", "OrderID", C.minute_of(F.col("DealTime")).alias("minute"))
-        .agg(
-            F.sum("Volume").alias("volume"),
-            F.min("Side").alias("_min"), F.max("Side").alias("_max"),
-        )
-    )
-    order = Window.partitionBy(*DAY, "order_side", "OrderID")
-    active = F.when(F.col("order_side") == "buy", F.min("_min").over(order) == 0).otherwise(
-        F.max("_max").over(order) == 1
-    )
-    return per_minute.withColumns(
+    per_minute = _by_order(deals, C.minute_of(F.col("DealTime")).alias("minute"), "Volume", "Side").groupBy(*ORDER, "minute").agg(
+        F.sum("Volume").alias("volume"), F.min("Side").alias("_min"), F.max("Side").alias("_max"))
+    order = Window.partitionBy(*ORDER)
+    active = F.when(F.col("_buy"), F.min("_min").over(order) == 0).otherwise(F.max("_max").over(order) == 1)
+    return _side_names(per_minute.withColumns(
         {"order_volume": F.sum("volume").over(order), "active": active}
-    ).drop("_min", "_max")
+    ).drop("_min", "_max"))
+
+
+def _minute_sums(rows: DataFrame, names: Column, columns: list[str], volume: str) -> DataFrame:
+    """Volume of each stock and minute in a column of its own for every name; 0 where there is none."""
+    number = F.array_position(F.array(*[F.lit(c) for c in columns]), names) - 1
+    rows = _dealt(rows.select(*DAY, "minute", number.cast("byte").alias("_c"), volume), [*DAY, "minute"])
+    return rows.groupBy(*DAY, "minute").agg(
+        *[F.coalesce(F.sum(F.when(F.col("_c") == i, F.col(volume))), F.lit(0)).alias(c) for i, c in enumerate(columns)])
 
 
 def minute_flow(deals: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Traded volume per minute by {active, passive} x {buy, sell} x tier; a fixed set of columns."""
     rows = with_tier(minute_orders(deals), F.col("order_volume"), F.col("order_side"), thresholds)
-    category = F.concat(F.when(F.col("active"), "act_").otherwise("pas_"), F.col("order_side"))
-    columns = [f"{c}_vol_{t}" for c in CATEGORIES for t in C.TIERS]
-    wide = (
-        rows.withColumn("_c", F.concat(category, F.lit("_vol_"), F.col("tier")))
-        .groupBy(*DAY, "minute").pivot("_c", columns).agg(F.sum("volume"))
-    )
-    return wide.select(*DAY, "minute", *[F.coalesce(c, F.lit(0)).alias(f"deal_{c}") for c in columns])
+    category = F.concat(F.lit("deal_"), F.when(F.col("active"), "act_").otherwise("pas_"), F.col("order_side"), F.lit("_vol_"), F.col("tier"))
+    return _minute_sums(rows, category, [f"deal_{c}_vol_{t}" for c in CATEGORIES for t in C.TIERS], "volume")
 
 
 def minute_cancels(cancels: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
@@ -200,13 +228,9 @@ def minute_cancels(cancels: DataFrame, thresholds: DataFrame | None = None) -> D
         cancels.where(C.is_cancel(F.col("Side"))).withColumn("_side", side), F.col("Volume"), F.col("_side"),
         thresholds,
     )
-    columns = [f"cancel{s}_vol_{t}" for s in ("buy", "sell") for t in C.TIERS]
-    wide = (
-        rows.withColumn("_c", F.concat(F.lit("cancel"), F.col("_side"), F.lit("_vol_"), F.col("tier")))
-        .groupBy(*DAY, C.minute_of(F.col("DealTime")).alias("minute"))
-        .pivot("_c", columns).agg(F.sum("Volume"))
-    )
-    return wide.select(*DAY, "minute", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+    rows = rows.withColumn("minute", C.minute_of(F.col("DealTime")))
+    name = F.concat(F.lit("cancel"), F.col("_side"), F.lit("_vol_"), F.col("tier"))
+    return _minute_sums(rows, name, [f"cancel{s}_vol_{t}" for s in ("buy", "sell") for t in C.TIERS], "Volume")
 
 
 def minute_features(deals: DataFrame, thresholds: DataFrame | None = None, how: str = "left") -> DataFrame:
