@@ -50,6 +50,15 @@ def _joinable(df: DataFrame, keys: list[str], bucket: str | Column) -> tuple[Dat
     return df.withColumns(columns), [*names, "_knull"]
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt out by ``keys`` to all of the session's shuffle partitions.
+
+    Without their number adaptive execution would join partitions up to its advisory size of compressed rows, which take
+    twenty times that in hash tables.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], bucket: str | Column) -> DataFrame:
     """Add ``_pos``, 1 for the first row of each key. ``bucket`` must not decrease along ``order``."""
     df, own = _joinable(df, keys, bucket)

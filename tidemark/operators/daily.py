@@ -38,10 +38,11 @@ def daily_metrics(
     bars = stage(daily_bars(deals))
     at_price = stage(P.volume_at_price(deals))
     profile = P.profile_metrics(at_price, stage(pairs(at_price)), bars.select(*DAY, "close"))
-    flow = O.minute_features(deals, cuts).groupBy(*DAY).agg(
+    flow = O.minute_flow(deals, cuts).groupBy(*DAY).agg(
         F.count(F.lit(1)).alias("minutes"), *[F.sum(f"deal_{c}_vol_Mega").alias(f"{c}_mega") for c in O.CATEGORIES])
     cancels = O.minute_cancels(deals, cancel_cuts).groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in CANCELS])
-    tiers = O.tier_thresholds(O.order_volumes(deals)).where("book = 'total'").select(
+    orders = stage(O.order_sums(deals))  # for the sweeps and the tiers
+    tiers = O.tier_thresholds(orders).where("book = 'total'").select(
         "SecuCode", *[F.col(p).alias(f"order_{p}") for p in ("p70", "p95", "p995")])
-    out = bars.drop("close").join(O.sweep_metrics(deals), DAY).join(flow, DAY).join(profile, DAY).join(tiers, "SecuCode")
+    out = bars.drop("close").join(O.order_sweep_metrics(orders), DAY).join(flow, DAY).join(profile, DAY).join(tiers, "SecuCode")
     return out.join(cancels, DAY, "left").fillna(0, CANCELS)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
-from tidemark.functions.series import exact_percentiles, open_series
+from tidemark.functions.series import dealt, exact_percentiles, open_series
 from tidemark.session import stage
 
 DAY = ["SecuCode", "TradingDay"]
@@ -40,19 +40,10 @@ def both_sides(deals: DataFrame) -> DataFrame:
     )
 
 
-def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows dealt out by ``keys`` to all of the session's shuffle partitions.
-
-    Without their number adaptive execution would join partitions up to its advisory size of compressed rows, which take
-    twenty times that in hash tables.
-    """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _by_order(deals: DataFrame, *columns: str | Column) -> DataFrame:
     """Each trade under its buy (``_buy``) and its sell order, with all trades of an order in one task."""
     rows = both_sides(deals).select(*DAY, (F.col("order_side") == "buy").alias("_buy"), "OrderID", *columns)
-    return _dealt(rows, ORDER)
+    return dealt(rows, ORDER)
 
 
 def _side_names(orders: DataFrame) -> DataFrame:
@@ -209,7 +200,7 @@ def minute_orders(deals: DataFrame) -> DataFrame:
 def _minute_sums(rows: DataFrame, names: Column, columns: list[str], volume: str) -> DataFrame:
     """Volume of each stock and minute in a column of its own for every name; 0 where there is none."""
     number = F.array_position(F.array(*[F.lit(c) for c in columns]), names) - 1
-    rows = _dealt(rows.select(*DAY, "minute", number.cast("byte").alias("_c"), volume), [*DAY, "minute"])
+    rows = dealt(rows.select(*DAY, "minute", number.cast("byte").alias("_c"), volume), [*DAY, "minute"])
     return rows.groupBy(*DAY, "minute").agg(
         *[F.coalesce(F.sum(F.when(F.col("_c") == i, F.col(volume))), F.lit(0)).alias(c) for i, c in enumerate(columns)])
 

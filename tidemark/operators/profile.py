@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
-from tidemark.functions.series import open_series, running
+from tidemark.functions.series import dealt, open_series, running
 
 DAY = ["SecuCode", "TradingDay"]
 EPS = 1e-8
@@ -50,10 +50,13 @@ def lookback_turnover(days: DataFrame, shares: DataFrame, turnover: float = 1.0)
 
 
 def pooled_profiles(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Volume by price over each target's days, with the target day's own volume beside it."""
+    """Volume by price over each target's days, with the target day's own volume beside it.
+
+    A task gets the whole profiles that ``value_areas`` needs, so their prices are summed where its windows run.
+    """
     today = F.when(F.col("TradingDay") == F.col("target"), F.col("Volume"))
     return (
-        pairs.join(profile, DAY)
+        dealt(pairs.join(profile, DAY).select("SecuCode", "target", "TradingDay", "Price", "Volume"), ["SecuCode", "target"])
         .groupBy("SecuCode", "target", "Price")
         .agg(F.sum("Volume").alias("Volume"), F.coalesce(F.sum(today), F.lit(0)).alias("today"))
     )
