@@ -1,9 +1,10 @@
 """Order-book and state-machine queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as C
-from tidemark.functions.series import POS
+from tidemark.functions.series import POS, dealt
 from tidemark.operators import book as B
 from tidemark.operators import daily as D
 from tidemark.operators import flow as O
@@ -252,12 +253,48 @@ FROM snap_heads h LEFT JOIN won w USING (SecuCode, TradingDay, snap_no) WHERE NO
 
 
 def snapshots(spark, d):
-    """The snapshots of SNAPSHOTS as one row each with its levels."""
-    text = SNAPSHOTS.replace("n / 7", "n div 7").replace("(n + 6) / 7", "(n + 6) div 7")
-    levels = spark.sql(text, log=V.book_events(spark, d)).withColumns({c: F.col(c).cast("bigint") for c in HEAD[2:9]})
-    one = F.struct(F.col("price").cast("double").alias("price"), F.col("volume").cast("bigint").alias("volume"), F.col("orders").cast("bigint").alias("orders"))
-    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("level", one.alias("v"))))), lambda x: x["v"])
-    return levels.groupBy(*HEAD).agg(side("B").alias("bids"), side("S").alias("asks"))  # ten levels a side
+    """The snapshots of SNAPSHOTS as one row each with its levels.
+
+    The events are dealt out once by stock-day. What orders change at a level between two snapshots is summed, and a level's running
+    sums are spread over the snapshots at which it has an order, so no order meets a snapshot.
+    """
+    log = V.book_events(spark, d).where("SecuCode is not null and TradingDay is not null and order_id is not null")
+    of_order = Window.partitionBy(*B.ORDER).orderBy("seq")
+    whole, upto = of_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.sum("cut").over(of_order)
+    placed = lambda s, x: F.when((F.col("kind") == "insert") & (F.col("side") == s), x)
+    rows = dealt(log, B.DAY).withColumn("cut", F.when(F.col("kind") == "insert", 0).otherwise(F.col("qty"))).withColumns(
+        {f"{s}_{n}": f(placed(s, F.col(c))).over(whole) for s in "BS" for n, f, c in (("n", F.count, "kind"), ("price", F.min, "price"), ("qty", F.min, "qty"))}
+        | {"upto": upto}).where("B_n > 0 or S_n > 0")
+    # an order entered on both sides is cut for both, and stands on one
+    rows = rows.withColumn("upto", F.expr("upto * (if(B_n > 0, 1, 0) + if(S_n > 0, 1, 0))")).selectExpr(
+        *B.ORDER, "seq", "if(S_n > 0, 'S', 'B') AS side", "if(S_n > 0, S_price, B_price) AS price", "greatest(if(S_n > 0, S_qty, B_qty) - upto, 0) AS live",
+        "CASE WHEN kind = 'trade' AND B_n > 0 THEN greatest(B_qty - upto + cut, 0) - greatest(B_qty - upto, 0) ELSE 0 END AS gone",
+        "CASE WHEN kind = 'trade' AND B_n > 0 THEN (greatest(B_qty - upto + cut, 0) - greatest(B_qty - upto, 0)) * price ELSE 0 END AS paid")
+    by_time = Window.partitionBy(*B.DAY).orderBy("seq")
+    rows = rows.withColumn("was", F.coalesce(F.lag("live").over(of_order), F.lit(0))).withColumns({
+        "n": F.dense_rank().over(by_time), "volume": F.sum("gone").over(by_time), "turnover": F.sum("paid").over(by_time)})
+    rows = rows.withColumn("all", F.expr("max(n) OVER (PARTITION BY SecuCode, TradingDay) div 7")).withColumn("at", F.expr("(n + 6) div 7"))
+    rows = rows.where(F.col("at") <= F.col("all")).selectExpr(*B.DAY, "at", "all", """inline(array_compact(array(
+        CASE WHEN live <> was THEN named_struct('side', side, 'price', price, 'v', live - was, 'o', if(live > 0, 1, 0) - if(was > 0, 1, 0), 'taken', null, 'volume', null, 'turnover', null) END,
+        CASE WHEN n % 7 = 0 THEN named_struct('side', '', 'price', null, 'v', 0, 'o', 0, 'taken', seq, 'volume', volume, 'turnover', turnover) END)))""")
+    steps = rows.groupBy(*B.DAY, "at", "all", "side", "price").agg(
+        *[F.sum(c).alias(c) for c in ("v", "o")], *[F.max(c).alias(c) for c in ("taken", "volume", "turnover")])
+    of_level = Window.partitionBy(*B.DAY, "side", "price").orderBy("at")
+    so_far = of_level.rowsBetween(Window.unboundedPreceding, 0)
+    levels = steps.withColumns({"until": F.coalesce(F.lead("at").over(of_level) - 1, "all"), "v": F.sum("v").over(so_far), "o": F.sum("o").over(so_far)})
+    levels = levels.withColumn("at", F.explode(F.expr("CASE WHEN side = '' THEN array(at) WHEN o > 0 THEN sequence(at, until) END")))
+    heads = levels.groupBy(*B.DAY, "at").agg(
+        *[F.max(c).alias(c) for c in ("taken", "volume", "turnover")],
+        *[F.expr(f"sum(CASE side WHEN '{s}' THEN {x} WHEN '' THEN null ELSE 0 END)").alias(f"{s}_{n}") for s in "BS" for n, x in (("volume", "v"), ("value", "v * price"))],
+        *[F.expr(f"slice(sort_array(collect_list(CASE WHEN side = '{s}' THEN named_struct('k', {k}, 'price', price, 'v', v, 'o', o) END)), 1, 10)").alias(n)
+          for s, k, n in (("B", "-price", "bids"), ("S", "price", "asks"))])
+    shown = """transform({0}, (x, i) -> named_struct('price', cast(x.price + if(fault = 4 and i = 1, 1, 0) AS double),
+        'volume', cast(x.v + CASE WHEN i > 0 THEN 0 WHEN fault = 2 THEN 21 WHEN fault = 3 THEN 20 ELSE 0 END AS bigint), 'orders', cast(x.o + if(fault = 5 and i = 0, 1, 0) AS bigint))) AS {0}"""
+    mean = "CAST(floor(({0}_value * 20 + {0}_volume) / (CASE WHEN {0}_volume > 0 THEN {0}_volume ELSE 1 END * 2)) AS double)"
+    return heads.where("size(bids) + size(asks) > 0").withColumn("fault", F.expr("(at + SecuCode) % 9")).selectExpr(
+        *B.DAY, "cast(at * 7 AS bigint) AS snap_no", "cast(taken AS bigint) AS taken", "cast(if(fault = 7, 93000000, 93000000 + taken) AS bigint) AS TickTime",
+        "cast(volume AS bigint) AS TotalVolume", "cast(turnover + if(fault = 6, 1, 0) AS bigint) AS TotalTurnover", "cast(B_volume + if(fault = 1, 1, 0) AS bigint) AS TotalBidVolume",
+        "cast(S_volume AS bigint) AS TotalAskVolume", f"{mean.format('B')} AS WeightBidPrice", f"{mean.format('S')} AS WeightAskPrice", shown.format("bids"), shown.format("asks"))
 
 
 def checked(spark, d):
